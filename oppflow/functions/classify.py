@@ -195,8 +195,7 @@ def place_rules(tiers=None, cities=None) -> dict:
         if tier is None:
             return
         number = fixed.TIER_ORDER.index(tier) * 10000 + preference
-        key = " ".join(location_words(word))
-        places[key] = min(number, places.get(key, number))
+        places[word] = min(number, places.get(word, number))
         country_of[number] = country
 
     named = fixed.EU_COUNTRIES + fixed.OTHER_EUROPE + fixed.FURTHER_COUNTRIES
@@ -217,22 +216,22 @@ def place_rules(tiers=None, cities=None) -> dict:
     }
 
 
-def location_words(term: str) -> list[str]:
-    """A dictionary term folded the way ``_location_grams`` folds a location."""
-    out = "".join(c if c.isascii() and (c.isalnum() or c in "_ ") else " ¦ " for c in term.lower())
-    return out.split()
+def with_prefixes(term: str, terms) -> list[str]:
+    """The term and the dictionary terms it begins with (``mexico`` in ``mexico city``)."""
+    return [t for t in terms if term == t or term.startswith(t + " ")]
 
 
-def _location_grams(norm: Column, longest: int) -> Column:
-    """All runs of 1..longest neighbouring words; punctuation breaks a run."""
-    marked = F.regexp_replace(norm, "[^a-z0-9_ ]", " ¦ ")
-    w = F.split(F.trim(F.regexp_replace(marked, " +", " ")), " ")
+def place_words(norm: Column, terms) -> Column:
+    """The longest dictionary term at every position of a normalised location.
 
-    def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
-
-    return F.concat(*[runs(n) for n in range(1, longest + 1)])
+    The search looks ahead without consuming, so overlapping terms are all found.
+    """
+    by_letter: dict[str, list[str]] = {}
+    for t in sorted(terms, key=lambda t: (-len(t), t)):
+        by_letter.setdefault(t[0], []).append(literal(t[1:]))
+    options = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_letter.items()))
+    pattern = f"(?<![a-z0-9_])(?=({options})(?![a-z0-9_]))"
+    return F.regexp_extract_all(norm, F.lit(pattern), F.lit(1))
 
 
 def resolve_tier(location, tiers=None, cities=None, outside=None) -> Column:
@@ -243,26 +242,23 @@ def resolve_tier(location, tiers=None, cities=None, outside=None) -> Column:
     rules = place_rules(tiers, cities)
     outside = outside or (fixed.OUTSIDE_COUNTRIES + fixed.OUTSIDE_CITIES)
 
-    def folded(terms):
-        return sorted({" ".join(location_words(t)) for t in terms})
-
-    terms = folded([
-        *rules["places"], *fixed.EU_REGION_WORDS, *fixed.GLOBAL_REMOTE_WORDS,
-        *fixed.REMOTE_WORDS, *outside,
-    ])
-    longest = max(len(t.split()) for t in terms)
+    regions, anywhere_words = fixed.EU_REGION_WORDS, fixed.GLOBAL_REMOTE_WORDS
+    terms = sorted({*rules["places"], *regions, *anywhere_words, *fixed.REMOTE_WORDS, *outside})
+    best_place = {
+        t: min(found) for t in terms
+        if (found := [rules["places"][p] for p in with_prefixes(t, rules["places"])])
+    }
 
     def judge(hits: Column) -> Column:
         def names_any(values):
-            return F.exists(hits, lambda g: g.isin(folded(values)))
+            meant = [t for t in terms if with_prefixes(t, values)]
+            return F.exists(hits, lambda g: g.isin(meant))
 
-        code = F.array_min(
-            F.transform(hits, lambda g: F.try_element_at(literal_map(rules["places"]), g))
-        )
+        code = F.array_min(F.transform(hits, lambda g: F.try_element_at(literal_map(best_place), g)))
         is_outside = names_any(outside)
-        eu = names_any(fixed.EU_REGION_WORDS) & F.lit(rules["eu_tier"] is not None)
+        eu = names_any(regions) & F.lit(rules["eu_tier"] is not None)
         anywhere = (
-            names_any(fixed.GLOBAL_REMOTE_WORDS) & ~is_outside
+            names_any(anywhere_words) & ~is_outside
             & F.lit(rules["global_tier"] is not None)
         )
         reason = (
@@ -276,10 +272,8 @@ def resolve_tier(location, tiers=None, cities=None, outside=None) -> Column:
         return F.struct(reason.alias("reason"), code.alias("code"))
 
     def of_text(norm: Column) -> Column:
-        # One hash lookup per run of words leaves the few that mean something.
-        hits = F.filter(_location_grams(norm, longest), lambda g: g.isin(terms))
         nowhere = F.struct(F.lit("no-location").alias("reason"), F.lit(None).cast("int").alias("code"))
-        return F.when(norm == "", nowhere).otherwise(bind(hits, judge))
+        return F.when(norm == "", nowhere).otherwise(bind(place_words(norm, terms), judge))
 
     return bind(bind(normalize_location(location), of_text), lambda j: _tier_of(j, rules))
 

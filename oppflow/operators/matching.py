@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oppflow.functions.text import dedup_tokens, role_tokens, stem_key
+from oppflow.session import durable
 
 # Word sets up to this size are matched through their subsets; the rare longer
 # ones meet through a pair of shared words and are then checked one by one.
@@ -43,79 +44,76 @@ def word_pairs(words: Column) -> Column:
     return F.flatten(rest)
 
 
-def _signatures(df: DataFrame, block: str, title: str, pos: str | None) -> DataFrame:
+def _signatures(df: DataFrame, block: str, title: str, pos: list[str]) -> DataFrame:
     words = F.array_sort(F.array_distinct(role_tokens(title)))
     base = df.select(
-        F.col(block).alias("block"), words.alias("words"), stem_key(title).alias("stem"),
-        *([F.col(pos).alias("pos")] if pos else []),
+        F.col(block).alias("block"), words.alias("words"), stem_key(title).alias("stem"), *pos
     )
     full = F.when(F.size("words") > 0, F.array_join("words", " ")).when(
         F.col("stem") != "", F.concat(F.lit("#"), F.col("stem"))
     )
-    base = base.withColumn("full", full).filter("full IS NOT NULL")
-    keys = ["block", "full"]
-    if pos:
-        return base.groupBy(*keys).agg(F.min("pos").alias("pos"), F.first("words").alias("words"))
-    return base.groupBy(*keys).agg(F.first("words").alias("words"))
+    return (
+        base.withColumn("full", full).filter("full IS NOT NULL").groupBy("block", "full")
+        .agg(F.first("words").alias("words"), *[F.min(p).alias(p) for p in pos])
+    )
 
 
 def first_same_role(
-    queries: DataFrame, targets: DataFrame, block: str, title: str, pos: str
+    queries: DataFrame, targets: DataFrame, block: str, title: str, pos: list[str]
 ) -> DataFrame:
-    """For every title in ``queries`` the smallest ``pos`` of a target that names the
-    same role in the same block, as ``(block, full, pos)`` per distinct title words.
+    """For every title in ``queries`` the smallest position of a target that names the
+    same role in the same block, as ``(block, full, *pos)`` per distinct title words.
+    Several position columns (one per table half, say) are answered together.
 
     The rule is ``role_fuzzy_match``: equal word sets, or one inside the other when
     the smaller has at least two words.
     """
-    q = _signatures(queries, block, title, None)
-    t = _signatures(targets, block, title, pos)
+    # Both are read by every branch below and are small next to their input.
+    q = durable(_signatures(queries, block, title, []))
+    t = durable(_signatures(targets, block, title, pos))
     n = F.size("words")
     short, long = n <= MAX_SUBSET_WORDS, n > MAX_SUBSET_WORDS
+    earliest = [F.min(p).alias(p) for p in pos]
 
-    def exploded(df, *cols):
-        return (
-            df.filter(short & (n >= 3))
-            .select("block", *cols, F.explode(subsets(F.col("words"), 2, n - 1)).alias("part"))
+    def parts_of(df, *cols):
+        return df.filter(short & (n >= 3)).select(
+            "block", *cols, F.explode(subsets(F.col("words"), 2, n - 1)).alias("part")
         )
 
-    equal = q.join(t.drop("words"), ["block", "full"]).select("block", "full", "pos")
+    equal = q.join(t.drop("words"), ["block", "full"]).select("block", "full", *pos)
     # target is the longer one: look the query up among the target's subsets
-    inside = exploded(t, "pos").groupBy("block", "part").agg(F.min("pos").alias("pos"))
+    inside = parts_of(t, *pos).groupBy("block", "part").agg(*earliest)
     wider = (
-        q.filter(n >= 2)
-        .join(inside.withColumnRenamed("part", "full"), ["block", "full"])
-        .select("block", "full", "pos")
+        q.filter(n >= 2).join(inside.withColumnRenamed("part", "full"), ["block", "full"])
+        .select("block", "full", *pos)
     )
     # query is the longer one: look its subsets up among the targets
     narrower = (
-        exploded(q, "full")
-        .join(t.filter(n >= 2).select("block", F.col("full").alias("part"), "pos"),
-              ["block", "part"])
-        .select("block", "full", "pos")
+        parts_of(q, "full")
+        .join(t.filter(n >= 2).select("block", F.col("full").alias("part"), *pos), ["block", "part"])
+        .select("block", "full", *pos)
     )
+    found = equal.unionByName(wider).unionByName(narrower)
     first_pair = F.concat_ws(" ", F.col("words")[0], F.col("words")[1])
 
-    def by_pair(longer, shorter, keep):
+    def by_pair(longer, longer_cols, shorter, shorter_cols):
         big = longer.filter(long).select(
-            "block", F.col("words").alias("big"), *keep[0],
+            "block", F.col("words").alias("big"), *longer_cols,
             F.explode(word_pairs(F.col("words"))).alias("pair"),
         )
         small = shorter.filter(n >= 2).select(
-            "block", F.col("words").alias("small"), *keep[1], first_pair.alias("pair")
+            "block", F.col("words").alias("small"), *shorter_cols, first_pair.alias("pair")
         )
         return (
             big.join(small, ["block", "pair"])
-            .filter(F.size(F.array_except("small", "big")) == 0)
-            .select("block", "full", "pos")
+            .filter(F.size(F.array_except("small", "big")) == 0).select("block", "full", *pos)
         )
 
-    full, position = [F.col("full")], [F.col("pos")]
-    long_targets = by_pair(t, q, (position, full))
-    long_queries = by_pair(q, t, (full, position))
-    found = equal.unionByName(wider).unionByName(narrower)
-    found = found.unionByName(long_targets).unionByName(long_queries)
-    return found.groupBy("block", "full").agg(F.min("pos").alias("pos"))
+    if not t.filter(long).isEmpty():
+        found = found.unionByName(by_pair(t, pos, q, ["full"]))
+    if not q.filter(long).isEmpty():
+        found = found.unionByName(by_pair(q, ["full"], t, pos))
+    return found.groupBy("block", "full").agg(*earliest)
 
 
 def title_signature(title) -> Column:

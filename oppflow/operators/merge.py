@@ -8,41 +8,54 @@ from pyspark.sql import functions as F
 from oppflow.functions.text import company_key, parse_score_loose, report_num
 from oppflow.operators.matching import first_same_role, title_signature
 from oppflow.operators.ranks import first_per_key
+from oppflow.session import durable
 
 ACTIONS = ("inserted", "updated", "held")
 
 
-def find_duplicate(additions: DataFrame, apps: DataFrame, add_id: str = "file_no",
-                   pos: str = "pos") -> DataFrame:
-    """``additions`` plus ``match_pos`` and ``match_kind`` of the tracker row each one
-    belongs to: the first row of the company with the same report number, else the
-    first with the same role.  The company must agree either way."""
+def _matches(additions: DataFrame, targets: dict[str, DataFrame], pos: str = "pos") -> DataFrame:
+    """``additions`` with ``<name>_pos`` and ``<name>_kind`` per table half.
+
+    All halves are matched in one pass: each contributes a position column.
+    """
+    names = list(targets)
+    parts = [
+        df.select(
+            company_key("company").alias("block"), report_num("report").alias("num"), "role",
+            *[(F.col(pos) if n == name else F.lit(None).cast("bigint")).alias(f"p_{n}") for n in names],
+        )
+        for name, df in targets.items()
+    ]
+    t = parts[0]
+    for part in parts[1:]:
+        t = t.unionByName(part)
+    columns = [f"p_{n}" for n in names]
     a = additions.withColumns({
         "_block": company_key("company"), "_num": report_num("report"),
         "_full": title_signature(F.col("role")),
     })
-    t = apps.select(
-        company_key("company").alias("block"), report_num("report").alias("num"),
-        F.col("role"), F.col(pos).alias("pos"),
-    )
-    by_number = (
-        t.filter("num IS NOT NULL").groupBy("block", "num").agg(F.min("pos").alias("_by_number"))
+    by_number = t.filter("num IS NOT NULL").groupBy("block", "num").agg(
+        *[F.min(c).alias(f"n{c}") for c in columns]
     )
     by_role = first_same_role(
-        a.select(F.col("_block").alias("block"), "role"), t, "block", "role", "pos"
-    ).withColumnRenamed("pos", "_by_role")
+        a.select(F.col("_block").alias("block"), "role"), t, "block", "role", columns
+    ).withColumnRenamed("block", "rblock")
     joined = a.join(
         by_number, (F.col("_block") == F.col("block")) & (F.col("_num") == F.col("num")), "left"
-    ).drop("block", "num").join(
-        by_role, (F.col("_block") == F.col("block")) & (F.col("_full") == F.col("full")), "left"
-    )
-    kind = F.when(F.col("_by_number").isNotNull(), F.lit("report")).when(
-        F.col("_by_role").isNotNull(), F.lit("role")
-    )
-    return joined.select(
-        *additions.columns,
-        F.coalesce("_by_number", "_by_role").alias("match_pos"), kind.alias("match_kind"),
-    )
+    ).join(by_role, (F.col("_block") == F.col("rblock")) & (F.col("_full") == F.col("full")), "left")
+    matched = []
+    for n in names:
+        number, role = F.col(f"np_{n}"), F.col(f"p_{n}")
+        kind = F.when(number.isNotNull(), F.lit("report")).when(role.isNotNull(), F.lit("role"))
+        matched += [F.coalesce(number, role).alias(f"{n}_pos"), kind.alias(f"{n}_kind")]
+    return joined.select(*additions.columns, *matched)
+
+
+def find_duplicate(additions: DataFrame, apps: DataFrame, pos: str = "pos") -> DataFrame:
+    """``additions`` plus ``match_pos`` and ``match_kind`` of the tracker row each one
+    belongs to: the first row of the company with the same report number, else the
+    first with the same role.  The company must agree either way."""
+    return _matches(additions, {"match": apps}, pos)
 
 
 def merge_actions(live: DataFrame, archive: DataFrame, additions: DataFrame) -> DataFrame:
@@ -52,12 +65,7 @@ def merge_actions(live: DataFrame, archive: DataFrame, additions: DataFrame) ->
     takes one update per merge, the one with the lowest file number that beats its
     score; everything else that matches it is held.
     """
-    in_live = find_duplicate(additions, live).withColumnsRenamed(
-        {"match_pos": "live_pos", "match_kind": "live_kind"}
-    )
-    both = find_duplicate(in_live, archive).withColumnsRenamed(
-        {"match_pos": "archive_pos", "match_kind": "archive_kind"}
-    )
+    both = _matches(additions, {"live": live, "archive": archive})
     targets = live.select(
         F.col("pos").alias("live_pos"), F.col("role").alias("live_role"),
         parse_score_loose(F.col("priority").cast("string")).alias("old_score"),
@@ -99,7 +107,8 @@ def merge_additions(live: DataFrame, archive: DataFrame, additions: DataFrame):
     An update keeps the row's date, status, output, location and URL (a legacy row
     takes the addition's date) and says in the notes which score replaced which.
     """
-    actions = merge_actions(live, archive, additions)
+    # Read three times below: for the updates, for the inserts and by the caller.
+    actions = durable(merge_actions(live, archive, additions))
     update = actions.filter("action = 'updated'").select(
         F.col("live_pos").alias("pos"), F.col("date").alias("new_date"),
         *[F.col(c).alias(f"new_{c}") for c in ("company", "role", "fit", "odds", "priority", "report")],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oppflow.plans import q_rules  # noqa: F401
+from oppflow.plans import q_joins, q_rules  # noqa: F401
 from oppflow.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -8,6 +8,7 @@ whole of its tables.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,10 +55,10 @@ VIEWS = {
     "app": """
         SELECT o_orderkey AS pos, o_orderkey AS num, CAST(o_orderdate AS DATE) AS date, company,
                title AS role,
-               CAST(1 + (o_orderkey * 37 % 401) / 100.0 AS DOUBLE) AS fit,
-               CAST(1 + (o_orderkey * 53 % 401) / 100.0 AS DOUBLE) AS odds,
-               CAST(1 + (o_orderkey * 71 % 401) / 100.0 AS DOUBLE) AS priority,
-               CAST(1 + (o_orderkey * 37 % 401) / 100.0 AS DOUBLE) AS score,
+               CAST(100 + o_orderkey * 37 % 401 AS DOUBLE) / 100 AS fit,
+               CAST(100 + o_orderkey * 53 % 401 AS DOUBLE) / 100 AS odds,
+               CAST(100 + o_orderkey * 71 % 401 AS DOUBLE) / 100 AS priority,
+               CAST(100 + o_orderkey * 37 % 401 AS DOUBLE) / 100 AS score,
                CASE (o_orderkey * 7 + o_custkey) % 16 WHEN 0 THEN '' WHEN 1 THEN '✅' WHEN 2 THEN '📬'
                     WHEN 3 THEN '🎯' WHEN 4 THEN '💰' WHEN 5 THEN '❌' WHEN 6 THEN '🚫'
                     WHEN 7 THEN '👻' WHEN 8 THEN '⏭️' WHEN 9 THEN 'Applied' WHEN 10 THEN '**Rejected**'
@@ -81,7 +82,7 @@ VIEWS = {
                CASE WHEN o_orderstatus = 'P' THEN 'archive' ELSE 'live' END AS file,
                o_orderstatus = 'P' AS archived
         FROM {orders} JOIN @companies@ co ON o_custkey = c_custkey
-        JOIN @titles@ ti ON p_partkey = o_orderkey % (SELECT count(*) FROM {part})""",
+        JOIN @titles@ ti ON p_partkey = o_orderkey % #part#""",
     "outcome": """
         SELECT pos, num + CASE WHEN pos % 3 = 0 THEN 1 ELSE 0 END AS report, company, date,
                pos % 6 AS stages_passed,
@@ -106,13 +107,13 @@ VIEWS = {
                          || CAST(p_partkey % 50 AS STRING) END AS url,
                'board-' || o_orderstatus AS source
         FROM {orders} JOIN @companies@ co ON o_custkey = c_custkey
-        JOIN @titles@ ti ON p_partkey = (o_orderkey * 3 + 1) % (SELECT count(*) FROM {part})""",
+        JOIN @titles@ ti ON p_partkey = (o_orderkey * 3 + 1) % #part#""",
     "history": f"""
         SELECT 'https://boards.example.com/' || CAST(l_suppkey AS STRING) || '/'
                || CAST(l_partkey % 50 AS STRING) AS url,
                CAST(l_shipdate AS DATE) AS first_seen,
                CAST(year(l_shipdate) * 400 + dayofyear(l_shipdate) AS BIGINT) AS pos,
-               'board' AS source, title,
+               'board' AS source, title, l_partkey AS part_no,
                CASE l_linenumber % 5 WHEN 0 THEN 'BUILDING ' WHEN 1 THEN 'MACHINERY ' WHEN 2 THEN 'AUTOMOBILE '
                     WHEN 3 THEN 'HOUSEHOLD ' ELSE 'FURNITURE ' END || n_name AS company
         FROM {{lineitem}} JOIN @titles@ ti ON l_partkey = p_partkey
@@ -122,20 +123,20 @@ VIEWS = {
         SELECT c_custkey AS pos, company, DATE '1997-01-15' AS date, 'no ' || c_name AS reason,
                CASE WHEN c_custkey % 2 = 0 THEN '*' ELSE title END AS role
         FROM {customer} JOIN @companies@ co USING (c_custkey)
-        JOIN @titles@ ti ON p_partkey = c_custkey % (SELECT count(*) FROM {part})
+        JOIN @titles@ ti ON p_partkey = c_custkey % #part#
         WHERE c_mktsegment = 'FURNITURE' AND c_acctbal < 2000""",
     "curated": """SELECT DISTINCT company FROM @companies@ co WHERE n_nationkey < 6""",
     "addition": """
         SELECT o_orderkey AS file_no, CAST(o_orderdate AS DATE) AS date, company, title AS role,
-               CAST(1 + (o_orderkey * 41 % 401) / 100.0 AS DOUBLE) AS fit,
-               CAST(1 + (o_orderkey * 43 % 401) / 100.0 AS DOUBLE) AS odds,
-               CAST(1 + (o_orderkey * 47 % 401) / 100.0 AS DOUBLE) AS priority,
+               CAST(100 + o_orderkey * 41 % 401 AS DOUBLE) / 100 AS fit,
+               CAST(100 + o_orderkey * 43 % 401 AS DOUBLE) / 100 AS odds,
+               CAST(100 + o_orderkey * 47 % 401 AS DOUBLE) / 100 AS priority,
                '' AS status, '-' AS output,
                '[' || CAST(o_custkey AS STRING) || '](../reports/' || CAST(o_custkey AS STRING) || '-y.md)'
                     AS report,
                location, 'note ' || CAST(o_orderkey AS STRING) AS notes, '-' AS url
         FROM {orders} JOIN @companies@ co ON o_custkey = c_custkey
-        JOIN @titles@ ti ON p_partkey = (o_orderkey * 5 + 2) % (SELECT count(*) FROM {part})
+        JOIN @titles@ ti ON p_partkey = (o_orderkey * 5 + 2) % #part#
         WHERE o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW')""",
     "item": """
         SELECT p_partkey AS id, p_partkey AS pos,
@@ -143,7 +144,7 @@ VIEWS = {
                     ELSE '' END AS url,
                title || ' @ ' || company || CASE WHEN p_size % 2 = 0 THEN ' | 87% | https://real.example.com/'
                     || CAST(p_partkey AS STRING) ELSE '' END AS notes
-        FROM @titles@ ti JOIN @companies@ co ON c_custkey = p_partkey % (SELECT count(*) FROM {customer})""",
+        FROM @titles@ ti JOIN @companies@ co ON c_custkey = p_partkey % #customer#""",
     "state": """
         SELECT p_partkey AS id, p_partkey AS pos,
                CASE p_size % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 THEN 'pending'
@@ -158,19 +159,27 @@ VIEWS = {
 }
 
 
-def _resolve(name: str, tables: dict[str, str]) -> str:
+def _resolve(name: str, tables: dict[str, str], counts) -> str:
     """The text of a view with the views it reads put in as subqueries."""
-    text = re.sub(r"@(\w+)@", lambda m: f"({_resolve(m.group(1), tables)})", VIEWS[name])
+    text = re.sub(r"@(\w+)@", lambda m: f"({_resolve(m.group(1), tables, counts)})", VIEWS[name])
+    text = re.sub(r"#(\w+)#", lambda m: str(counts(m.group(1))), text)
     return re.sub(r"\{(\w+)\}", lambda m: tables[m.group(1)], text)
 
 
 def duck_view(name: str) -> str:
-    return _resolve(name, {t: t for t in TABLES})
+    return _resolve(name, {t: t for t in TABLES}, lambda t: f"(SELECT count(*) FROM {t})")
+
+
+@lru_cache(maxsize=64)
+def _row_count(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(path).count()
 
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base = sf_dir.rstrip("/")
-    return spark.sql(_resolve(name, {t: f"parquet.`{base}/{t}.parquet`" for t in TABLES}))
+    tables = {t: f"parquet.`{base}/{t}.parquet`" for t in TABLES}
+    # The row counts come from the file footers; a subquery would scan again.
+    return spark.sql(_resolve(name, tables, lambda t: _row_count(spark, f"{base}/{t}.parquet")))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
