@@ -154,6 +154,9 @@ VIEWS = {
                CASE WHEN p_size % 8 = 0 THEN '-' ELSE CAST(CAST(p_size % 5 AS DECIMAL(4,1)) + 0.5 AS STRING) END
                     AS score
         FROM {part}""",
+    "report_source": """
+        SELECT o_orderkey AS num, p_partkey, p_size, p_name
+        FROM {orders} JOIN {part} ON p_partkey = o_orderkey % #part#""",
     "doc": "SELECT doc_id, text, lang, source, n_chars FROM {documents}",
     "page": "SELECT page_id, url, html FROM {pages}",
 }
