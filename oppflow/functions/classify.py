@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from oppflow.functions import fixed
 from oppflow.functions.regex import BOUND, literal, words
 from oppflow.functions.text import (
-    as_col, blank_to_null, normalize_location, strip_bold,
+    as_col, bind, blank_to_null, normalize_location, strip_bold,
 )
 
 
@@ -21,8 +21,15 @@ def any_of(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
+def sql_literal(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
 def literal_map(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    """A constant lookup, parsed from one text rather than built entry by entry."""
+    return F.expr("map(" + ", ".join(sql_literal(x) for kv in pairs.items() for x in kv) + ")")
 
 
 # --- status --------------------------------------------------------------------
@@ -242,47 +249,48 @@ def resolve_tier(location, tiers=None, cities=None, outside=None) -> Column:
     rules = place_rules(tiers, cities)
     outside = outside or (fixed.OUTSIDE_COUNTRIES + fixed.OUTSIDE_CITIES)
 
-    regions, anywhere_words = fixed.EU_REGION_WORDS, fixed.GLOBAL_REMOTE_WORDS
-    terms = sorted({*rules["places"], *regions, *anywhere_words, *fixed.REMOTE_WORDS, *outside})
+    kinds = [fixed.EU_REGION_WORDS, fixed.GLOBAL_REMOTE_WORDS, fixed.REMOTE_WORDS, outside]
+    terms = sorted({*rules["places"], *(w for words_ in kinds for w in words_)})
     best_place = {
         t: min(found) for t in terms
         if (found := [rules["places"][p] for p in with_prefixes(t, rules["places"])])
     }
+    # Which kinds of word a term stands for, one bit per kind.
+    bits = {t: sum(1 << i for i, k in enumerate(kinds) if with_prefixes(t, k)) for t in terms}
 
     def judge(hits: Column) -> Column:
-        def names_any(values):
-            meant = [t for t in terms if with_prefixes(t, values)]
-            return F.exists(hits, lambda g: g.isin(meant))
-
         code = F.array_min(F.transform(hits, lambda g: F.try_element_at(literal_map(best_place), g)))
-        is_outside = names_any(outside)
-        eu = names_any(regions) & F.lit(rules["eu_tier"] is not None)
-        anywhere = (
-            names_any(anywhere_words) & ~is_outside
-            & F.lit(rules["global_tier"] is not None)
+        seen = F.aggregate(
+            hits, F.lit(0), lambda acc, g: acc.bitwiseOR(F.try_element_at(literal_map(bits), g))
+        )
+        return F.struct(code.alias("code"), seen.alias("seen"))
+
+    def decide(found: Column) -> Column:
+        code = found["code"]
+        region, anywhere, remote, is_outside = (
+            found["seen"].bitwiseAND(F.lit(1 << i)) != 0 for i in range(len(kinds))
         )
+        eu = region & F.lit(rules["eu_tier"] is not None)
+        anywhere = anywhere & ~is_outside & F.lit(rules["global_tier"] is not None)
         reason = (
             F.when(code.isNotNull(), F.lit("country"))
             .when(eu, F.lit("eu-region"))
             .when(anywhere, F.lit("global-remote"))
             .when(is_outside, F.lit("outside-scope"))
-            .when(names_any(fixed.REMOTE_WORDS), F.lit("unqualified-remote"))
+            .when(remote, F.lit("unqualified-remote"))
             .otherwise(F.lit("unrecognized"))
         )
         return F.struct(reason.alias("reason"), code.alias("code"))
 
     def of_text(norm: Column) -> Column:
         nowhere = F.struct(F.lit("no-location").alias("reason"), F.lit(None).cast("int").alias("code"))
-        return F.when(norm == "", nowhere).otherwise(bind(place_words(norm, terms), judge))
+        return F.when(norm == "", nowhere).otherwise(
+            bind(bind(place_words(norm, terms), judge), decide)
+        )
 
     return bind(bind(normalize_location(location), of_text), lambda j: _tier_of(j, rules))
 
 
-def bind(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _tier_of(judged: Column, rules: dict) -> Column:
     tier_names = literal_map({i: t for i, t in enumerate(fixed.TIER_ORDER)})
     scores = literal_map({t: float(s) for t, s in rules["scores"].items() if s is not None})

@@ -29,6 +29,17 @@ def found(value, pattern: str, group: int = 1) -> Column:
     return blank_to_null(F.regexp_extract(as_col(value), pattern, group))
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def drop_first(array, n: int) -> Column:
+    """An array without its first n entries."""
+    a = as_col(array)
+    return F.slice(a, n + 1, F.greatest(F.size(a) - n, F.lit(0)))
+
+
 # --- cells ---------------------------------------------------------------------
 def strip_bold(value) -> Column:
     return F.replace(as_col(value), F.lit("**"), F.lit(""))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oppflow.functions import fixed
 from oppflow.functions.regex import BOUND
-from oppflow.functions.text import blank_to_null
+from oppflow.functions.text import blank_to_null, drop_first
 
 MONTHS = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 DAY = rf"(?:{MONTHS}\s+)?\d{{4}}"
@@ -31,7 +31,7 @@ def missing_subtitles(text: Column) -> Column:
     experience = F.try_element_at(
         F.filter(sections, lambda s: s.rlike("^(?i)(?:Work )?Experience")), F.lit(1)
     )
-    blocks = F.slice(F.split(F.coalesce(experience, F.lit("")), r"(?m)^### "), 2, 2147483647)
+    blocks = drop_first(F.split(F.coalesce(experience, F.lit("")), r"(?m)^### "), 1)
 
     def first_line(b):
         return F.call_function("substring_index", b, F.lit("\n"), F.lit(1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oppflow.functions.text import canonical_job_url, decode_entities, found, harvested_urls
+from oppflow.functions.text import canonical_job_url, decode_entities, drop_first, found, harvested_urls
 
 # --- fixed values: patterns of a result card -----------------------------------
 JOB_ID = r"urn:li:jobPosting:(\d+)"
@@ -29,7 +29,7 @@ def parse_search_cards(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per result card; a card needs an id, a title and a company."""
     keep = [c for c in pages.columns if c != html]
     chunks = pages.select(
-        *keep, F.posexplode(F.slice(F.split(html, r"<li[\s>]"), 2, 2147483647)).alias("card", "chunk")
+        *keep, F.posexplode(drop_first(F.split(html, r"<li[\s>]"), 1)).alias("card", "chunk")
     )
     c = F.col("chunk")
     cards = chunks.withColumn("job_id", found(c, JOB_ID)).filter("job_id IS NOT NULL").select(

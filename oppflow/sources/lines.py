@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from oppflow.functions import fixed
 from oppflow.functions.classify import literal_map, write_status
 from oppflow.functions.text import (
-    as_col, first_filled, found, is_iso_date, parse_int, parse_score, report_link_for_write,
+    as_col, bind, drop_first, first_filled, found, is_iso_date, parse_int, parse_score, report_link_for_write,
     report_num, split_row,
 )
 from oppflow.operators.ranks import with_rank
@@ -47,7 +47,7 @@ def read_inbox_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     df = lines.filter(text.startswith("- [")).withColumn("_cells", cells)
     df = df.withColumn("url", found(F.col("_cells")[0], r"(https?://\S+)"))
     df = df.filter("url IS NOT NULL AND size(_cells) >= 3")
-    tail = F.slice("_cells", 4, 2147483647)
+    tail = drop_first("_cells", 3)
     markers = F.filter(tail, lambda c: c.rlike(MARKER))
     plain = F.filter(tail, lambda c: ~c.rlike(MARKER))
     df = df.withColumns({"_markers": markers, "_plain": plain})
@@ -97,9 +97,12 @@ def header_fields(cells: Column) -> Column:
         lambda c: F.regexp_replace(F.lower(F.trim(F.replace(c, F.lit("**"), F.lit("")))), "[^a-z#]", ""),
     )
     names = F.transform(labels, lambda x: F.try_element_at(literal_map(fixed.HEADER_FIELDS), x))
-    return F.transform(
-        names, lambda n, i: F.when(F.array_position(names, n) == i + 1, n)
-    )
+    return bind(names, lambda all_names: F.transform(
+        all_names, lambda n, i: F.when(F.array_position(all_names, n) == i + 1, n)
+    ))
+
+
+HEADER_WORDS = r"(?i)(?:status|estado)"
 
 
 def read_tracker(lines: DataFrame) -> DataFrame:
@@ -110,52 +113,64 @@ def read_tracker(lines: DataFrame) -> DataFrame:
     as a row when its date cell holds a date.
     """
     pipes = lines.filter(F.col("line").startswith("|"))
-    rules = pipes.filter(is_separator("line")).select(
-        "file", (F.col("line_no") - 1).alias("line_no")
-    )
-    data = pipes.filter(~is_separator("line")).withColumn("cells", split_row("line"))
-    named = data.withColumn("fields", header_fields(F.col("cells"))).filter(
-        F.array_contains("fields", "status") & F.array_contains("fields", "company")
+    data = pipes.filter(~is_separator("line")).select("file", "line_no", split_row("line").alias("cells"))
+    # A header and the rule below it meet under the header's line number, so finding
+    # it takes one pass over the few lines that look like either.
+    rule = is_separator("line")
+    named = header_fields(split_row("line"))
+    slots = pipes.filter(rule | F.col("line").rlike(HEADER_WORDS)).select(
+        "file", F.when(rule, F.col("line_no") - 1).otherwise(F.col("line_no")).alias("slot"),
+        F.when(~rule, named).alias("fields"),
     )
     header = (
-        named.join(rules, ["file", "line_no"], "left_semi")
-        .groupBy("file").agg(F.min_by("fields", "line_no").alias("fields"))
+        slots.groupBy("file", "slot")
+        .agg(F.max("fields").alias("fields"), F.count(F.lit(1)).alias("lines"))
+        .filter((F.col("lines") == 2) & F.array_contains("fields", "status")
+                & F.array_contains("fields", "company"))
+        .groupBy("file").agg(F.min_by("fields", "slot").alias("fields"))
     )
     joined = data.join(header, "file", "left")
-    shifted = F.array(F.lit(None).cast("string"))
-
-    def layout(columns):
-        return F.concat(shifted, F.array(*map(F.lit, columns)))
 
     def cell(i):
         return F.get("cells", F.lit(i))
 
+    def layout(columns):
+        return F.array(F.lit(None).cast("string"), *map(F.lit, columns))
+
     score_cell = F.coalesce(cell(4).rlike(r"^\*{0,2}\d+(?:\.\d+)?/5\*{0,2}$"), F.lit(False))
     by_shape = F.when(is_iso_date(cell(1)) & score_cell, layout(fixed.CANONICAL_COLUMNS)).when(
         parse_int(cell(1)).isNotNull() & is_iso_date(cell(2)), layout(fixed.LEGACY_COLUMNS)
     )
-    joined = joined.withColumn("fields", F.coalesce("fields", by_shape)).filter("fields IS NOT NULL")
-
-    def at(field):
-        place = F.array_position("fields", F.lit(field))
-        return F.when(place > 0, F.coalesce(F.get("cells", (place - 1).cast("int")), F.lit(""))).otherwise(F.lit(""))
-
-    rows = joined.withColumns({f"_{f}": at(f) for f in {*fixed.HEADER_FIELDS.values()}})
-    rows = rows.filter(is_iso_date("_date"))
-    score = first_filled("_fit", "_score")
-    number = F.coalesce(
-        F.nullif(parse_int("_num"), F.lit(0).cast("bigint")),
-        F.nullif(report_num("_report"), F.lit(0).cast("bigint")),
-    )
+    wanted = list(dict.fromkeys(fixed.HEADER_FIELDS.values()))
+    place = {f: i for i, f in enumerate(wanted)}
+
+    # All wanted cells of a row as one array, so the columns are looked up once.
+    def pick(fields: Column) -> Column:
+        return F.transform(
+            F.array(*map(F.lit, wanted)),
+            lambda f: F.coalesce(
+                F.get("cells", (F.array_position(fields, f) - 1).cast("int")), F.lit("")
+            ),
+        )
+
+    def dated(values: Column) -> Column:
+        return F.when(is_iso_date(values[place["date"]]), values)
+
+    record = bind(F.coalesce("fields", by_shape), lambda fields: F.when(
+        fields.isNotNull(), bind(pick(fields), dated)
+    ))
+    rows = joined.select("file", "line_no", F.explode(F.array_compact(F.array(record))).alias("v"))
+    at = {f: F.col("v")[i] for f, i in place.items()}
+    score = first_filled(at["fit"], at["score"])
+    zero = F.lit(0).cast("bigint")
+    number = F.coalesce(F.nullif(parse_int(at["num"]), zero), F.nullif(report_num(at["report"]), zero))
     return rows.select(
         "file", F.col("line_no").alias("pos"), number.alias("num"),
-        F.try_to_date(F.trim("_date")).alias("date"), F.col("_company").alias("company"),
-        F.col("_role").alias("role"), parse_score(score).alias("fit"),
-        parse_score("_odds").alias("odds"), parse_score("_priority").alias("priority"),
+        F.try_to_date(F.trim(at["date"])).alias("date"), at["company"].alias("company"),
+        at["role"].alias("role"), parse_score(score).alias("fit"),
+        parse_score(at["odds"]).alias("odds"), parse_score(at["priority"]).alias("priority"),
         parse_score(score).alias("score"), score.alias("score_raw"),
-        F.col("_status").alias("status"), F.col("_output").alias("output"),
-        F.col("_report").alias("report"), F.col("_location").alias("location"),
-        F.col("_notes").alias("notes"), F.col("_url").alias("url"),
+        *[at[f].alias(f) for f in ("status", "output", "report", "location", "notes", "url")],
     )
 
 
