@@ -173,17 +173,19 @@ def duck_view(name: str) -> str:
     return _resolve(name, {t: t for t in TABLES}, lambda t: f"(SELECT count(*) FROM {t})")
 
 
-@lru_cache(maxsize=64)
-def _row_count(spark: SparkSession, path: str) -> int:
-    return spark.read.parquet(path).count()
+@lru_cache(maxsize=256)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table by name.  Opened once per session, so its schema is read once."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    base = sf_dir.rstrip("/")
-    tables = {t: f"parquet.`{base}/{t}.parquet`" for t in TABLES}
-    # The row counts come from the file footers; a subquery would scan again.
-    return spark.sql(_resolve(name, tables, lambda t: _row_count(spark, f"{base}/{t}.parquet")))
+@lru_cache(maxsize=256)
+def _row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
+    return table(spark, sf_dir, name).count()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # The row counts come from the file footers; a subquery would scan again.
+    text = _resolve(name, {t: "{" + t + "}" for t in TABLES}, lambda t: _row_count(spark, sf_dir, t))
+    used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
+    return spark.sql(text, **used)
