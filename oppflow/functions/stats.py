@@ -37,9 +37,12 @@ def wilson(k, n, z: float = Z95) -> tuple[Column, Column]:
     reach = z * F.sqrt(
         F.try_divide(p * (1 - p), size) + F.try_divide(F.lit(z2 / 4), size * size)
     )
-    low = F.greatest(F.lit(0.0), (middle - reach) / width)
-    high = F.least(F.lit(1.0), (middle + reach) / width)
-    return F.coalesce(low, F.lit(0.0)), F.coalesce(high, F.lit(0.0))
+    low, high = (middle - reach) / width, (middle + reach) / width
+    some = size > 0
+    return (
+        F.when(some, F.greatest(F.lit(0.0), low)).otherwise(F.lit(0.0)),
+        F.when(some, F.least(F.lit(1.0), high)).otherwise(F.lit(0.0)),
+    )
 
 
 def pearson(x, y) -> Column:

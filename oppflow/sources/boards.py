@@ -63,8 +63,11 @@ def parse_board(raw: DataFrame, provider: str) -> DataFrame:
 
     A payload of the wrong shape yields no rows.
     """
-    parsed = F.from_json(F.col("payload"), SCHEMAS[provider])
-    jobs = parsed if SCHEMAS[provider].startswith("array") else parsed["jobs"]
+    is_list = SCHEMAS[provider].startswith("array")
+    # A lone object would be read as a list of one, so the root is checked first.
+    root = F.ltrim("payload").startswith("[" if is_list else "{")
+    parsed = F.when(root, F.from_json(F.col("payload"), SCHEMAS[provider]))
+    jobs = parsed if is_list else parsed["jobs"]
     exploded = raw.select("company", F.posexplode(jobs).alias("ordinal", "j"))
     f = _fields(provider, F.col("j"))
     return exploded.select(
