@@ -352,7 +352,7 @@ def classify_remote(value) -> Column:
         F.when(blank_to_null(value).isNull(), F.lit("unknown"))
         .when(c.rlike(words([*fixed.REMOTE_GEO, fixed.REMOTE_GEO_EXTRA])), F.lit("geo-restricted"))
         .when(c.rlike(words(fixed.REMOTE_HYBRID)), F.lit("hybrid/onsite"))
-        .when(c.rlike(words(fixed.REMOTE_GLOBAL)), F.lit("global remote"))
+        .when(c.rlike(words(fixed.REMOTE_GLOBAL, symbols=True)), F.lit("global remote"))
         .when(c.rlike(words(fixed.REMOTE_REGIONAL)), F.lit("regional remote"))
         .otherwise(F.lit("unknown"))
     )
@@ -392,8 +392,8 @@ def classify_blocker(description, severity) -> Column:
 
 def extract_tech_terms(text) -> Column:
     """Technology names in a text, first letter raised, in order of appearance."""
-    pattern = f"(?i)({BOUND}(?:{'|'.join(fixed.TECH_TERMS)}){BOUND})"
-    hits = F.regexp_extract_all(F.coalesce(as_col(text), F.lit("")), F.lit(pattern), F.lit(1))
+    pattern = words(fixed.TECH_TERMS, symbols=True)
+    hits = F.regexp_extract_all(F.coalesce(as_col(text), F.lit("")), F.lit(pattern), F.lit(0))
     return F.transform(
         hits, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 100))
     )

@@ -13,6 +13,16 @@ def literal(text: str) -> str:
     return "".join("\\" + c if c in r".*+?^${}()|[]\/" else c for c in text)
 
 
-def words(alternatives, tail: str = "") -> str:
-    """A case-insensitive whole-word pattern over ready-made alternatives."""
-    return f"(?i){BOUND}(?:{'|'.join(alternatives)}){tail}{BOUND}"
+def word(pattern: str) -> str:
+    """A pattern that begins and ends in a word character, as a whole word."""
+    return f"(?<!{WORD}){pattern}(?!{WORD})"
+
+
+def words(alternatives, tail: str = "", symbols: bool = False) -> str:
+    """A case-insensitive whole-word pattern over ready-made alternatives.
+
+    Terms that begin and end in a letter or digit only need a look at the character
+    before and after; ``symbols`` is for lists with terms such as ``C++``.
+    """
+    before, after = (BOUND, BOUND) if symbols else (f"(?<!{WORD})", f"(?!{WORD})")
+    return f"(?i){before}(?:{'|'.join(alternatives)}){tail}{after}"

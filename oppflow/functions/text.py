@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from oppflow.functions import fixed
-from oppflow.functions.regex import BOUND, literal
+from oppflow.functions.regex import BOUND, literal, word
 
 
 def as_col(value) -> Column:
@@ -224,12 +224,12 @@ def normalize_role(title) -> Column:
     c = F.lower(F.coalesce(as_col(title), F.lit("")))
     rules = [
         (r"\((?:all genders|[mwfdx](?:\s*/\s*[mwfdx])+)\)", " "),
-        (BOUND + r"[mwfdx]\s*/\s*[mwfdx](?:\s*/\s*[mwfdx])?" + BOUND, " "),
-        (BOUND + "tpm" + BOUND, " technical product manager "),
-        (BOUND + "pm" + BOUND, " product manager "),
-        (BOUND + "po" + BOUND, " product owner "),
-        (BOUND + "(?:sr|snr)" + BOUND + r"\.?", " senior "),
-        (BOUND + "jr" + BOUND + r"\.?", " junior "),
+        (word(r"[mwfdx]\s*/\s*[mwfdx](?:\s*/\s*[mwfdx])?"), " "),
+        (word("tpm"), " technical product manager "),
+        (word("pm"), " product manager "),
+        (word("po"), " product owner "),
+        (word("(?:sr|snr)") + r"\.?", " senior "),
+        (word("jr") + r"\.?", " junior "),
         ("[^a-z0-9]+", " "),
     ]
     for pattern, replacement in rules:
@@ -242,7 +242,7 @@ def group_title(title) -> Column:
     countries = "|".join(fixed.GROUP_COUNTRY_SUFFIXES)
     c = F.regexp_replace(as_col(title), rf"(?i)[\s–—-]+(?:{countries})\s*$", "")
     c = F.regexp_replace(F.lower(c), r"\([^)]*\)", " ")
-    c = F.regexp_replace(c, BOUND + "(?:remote|hybrid|onsite)" + BOUND, " ")
+    c = F.regexp_replace(c, word("(?:remote|hybrid|onsite)"), " ")
     return F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oppflow.functions import fixed
-from oppflow.functions.regex import BOUND
+from oppflow.functions.regex import BOUND, WORD
 from oppflow.functions.text import blank_to_null, drop_first
 
 MONTHS = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
@@ -16,6 +16,11 @@ SAMPLE = 80
 
 
 def ascii_bounds(pattern: str) -> str:
+    """A rule's word boundaries, made ASCII; one that opens the rule looks back only."""
+    for opening in (r"(?i)\b", r"\b"):
+        if pattern.startswith(opening):
+            pattern = pattern.replace(opening, opening[:-2] + f"(?<!{WORD})(?={WORD})", 1)
+            break
     return pattern.replace(r"\b", BOUND)
 
 

@@ -9,7 +9,7 @@ from oppflow.functions import fixed
 from oppflow.functions.classify import literal_map, normalize_status
 from oppflow.functions.text import effective_applied_date, posted_date
 from oppflow.operators.funnel import count_if
-from oppflow.operators.ranks import with_rank
+from oppflow.operators.ranks import desc, with_rank
 
 GROUP_INDEX = {s: i for i, (_, ids, _) in enumerate(fixed.QUEUE_GROUPS) for s in ids}
 GROUP_RULE = {i: rule for i, (_, _, rule) in enumerate(fixed.QUEUE_GROUPS)}
@@ -39,11 +39,11 @@ def _queue_keys(apps: DataFrame) -> tuple[DataFrame, list]:
     keys = [
         F.col("queue_group"),
         F.when(by_lane, lane),
-        F.when(fresh, F.col("_posted")).desc_nulls_last(),
-        F.when(by_date, F.col("_sent")).desc_nulls_last(),
-        F.col("priority").desc(),
-        F.when(~by_date, F.col("_sent")).desc_nulls_last(),
-        F.when(~by_date, F.col("odds")).desc_nulls_last(),
+        desc(F.when(fresh, F.col("_posted"))),
+        desc(F.when(by_date, F.col("_sent"))),
+        desc("priority"),
+        desc(F.when(~by_date, F.col("_sent"))),
+        desc(F.when(~by_date, F.col("odds"))),
         F.col("pos"),
     ]
     return df, keys
@@ -91,8 +91,8 @@ TABS = ["all", "evaluated", "applied", "interview", "top", "skip"]
 
 def view_order(mode: str) -> list:
     keys = {
-        "score": [F.col("score").desc()],
-        "date": [F.col("date").desc_nulls_last()],
+        "score": [desc("score")],
+        "date": [desc("date")],
         "company": [F.lower("company")],
         "status": [view_status_rank("status_id")],
     }

@@ -10,6 +10,11 @@ from oppflow.session import durable
 _PARTITION_SHIFT = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
+def desc(value):
+    """A descending sort key for ``with_rank``; NULL comes last."""
+    return ("desc", value)
+
+
 def with_rank(df: DataFrame, order: list, name: str = "rank", within: list[str] | None = None):
     """Add the 1-based position of every row in a total order.
 
@@ -20,8 +25,17 @@ def with_rank(df: DataFrame, order: list, name: str = "rank", within: list[str]
     """
     within = within or []
     ids = f"_{name}_id"
+    # Keys become columns first: a sort works out an expression at every comparison.
+    values = [k[1] if isinstance(k, tuple) else k for k in order]
+    keyed = df.withColumns({
+        f"_{name}_{i}": F.col(v) if isinstance(v, str) else v for i, v in enumerate(values)
+    })
+    keys = [
+        F.col(f"_{name}_{i}").desc_nulls_last() if isinstance(k, tuple) else F.col(f"_{name}_{i}").asc()
+        for i, k in enumerate(order)
+    ]
     frozen = durable(
-        df.orderBy(*within, *order).withColumn(ids, F.monotonically_increasing_id())
+        keyed.orderBy(*within, *keys).select(*df.columns, F.monotonically_increasing_id().alias(ids))
     )
     part = F.shiftright(F.col(ids), _PARTITION_SHIFT)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

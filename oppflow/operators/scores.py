@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oppflow.functions import fixed
 from oppflow.functions.classify import weighted
-from oppflow.operators.ranks import with_rank
+from oppflow.operators.ranks import desc, with_rank
 
 
 def composite_scores(df: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def offer_total(weights: dict | None = None):
 def compare_offers(df: DataFrame, weights: dict | None = None, key: str = "offer_id") -> DataFrame:
     """Weighted total over the dimensions and its rank; equal totals share a rank."""
     total = F.floor(offer_total(weights) * 1e6 + 0.5).cast("double") / 1e6
-    ranked = with_rank(df.withColumn("total", total), [F.col("total").desc(), F.col(key)], "_place")
+    ranked = with_rank(df.withColumn("total", total), [desc("total"), key], "_place")
     # The rank of a total is the place of its first row.
     first = ranked.groupBy("total").agg(F.min("_place").alias("rank"))
     return ranked.join(first, "total").drop("_place")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from oppflow.functions import fixed
 from oppflow.functions.classify import detect_lanes, is_agency, literal_map, title_flags
 from oppflow.functions.text import as_col, opening_key, truncate
-from oppflow.operators.ranks import top_per_key, with_rank
+from oppflow.operators.ranks import desc, top_per_key, with_rank
 from oppflow.operators.seen import (
     exclusion_match, mark_company, posting_history, tracked_by_url,
 )
@@ -213,8 +213,7 @@ def order_triage(rows: DataFrame) -> DataFrame:
     """Review order as a column.  Companies compare by code point, ties by position."""
     return with_rank(
         rows,
-        [verdict_rank("verdict"), tier_rank("tier"), F.col("posted").desc_nulls_last(),
-         F.col("company"), F.col("pos")],
+        [verdict_rank("verdict"), tier_rank("tier"), desc("posted"), "company", "pos"],
         "review_rank",
     )
 

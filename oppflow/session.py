@@ -60,13 +60,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` so that it survives lost executors.
+    """Cut the lineage of ``df`` by writing it to the shared folder and reading it back.
 
-    A checkpoint is also what freezes values such as row ids that a re-run of
-    the plan could assign differently.
+    The rows are worked out once, survive lost executors, and values a re-run could
+    assign differently, such as row ids, are frozen.  Unlike a checkpoint, which works
+    everything out a second time to save it, a written table is also read by column.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
