@@ -37,8 +37,11 @@ def greedy_first(members: DataFrame) -> DataFrame:
     the sequential one.  Only per-key minima are exchanged, never pairs, so a hot
     key costs one number per task.
     """
-    left = durable(members.select("pos", "key", "small"))
-    accepted = []
+    everyone = durable(members.select("pos", "key", "small"))
+    # A key with one member can make nobody clash, and most keys are of that kind.
+    shared = everyone.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    left = durable(everyone.join(shared.select("key"), "key", "left_semi"))
+    accepted = [everyone.select("pos").distinct().join(left, "pos", "left_anti")]
     while not left.isEmpty():
         taken = durable(
             left.join(_firsts(left, "first"), "key")
@@ -51,8 +54,6 @@ def greedy_first(members: DataFrame) -> DataFrame:
         winners = _firsts(left.join(taken, "pos", "left_semi"), "won")
         clashing = left.join(winners, "key").filter(_earlier("won")).select("pos")
         left = durable(left.join(clashing.union(taken).distinct(), "pos", "left_anti"))
-    if not accepted:
-        return members.select("pos").limit(0)
     return reduce(DataFrame.union, accepted)
 
 
