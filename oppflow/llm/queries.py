@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from public_tokenizers import path as tokenizer_path
 
+from oppflow.llm.bpe import bpe_encode
 from oppflow.llm.exact_dedup import exact_copies
 from oppflow.llm.sharding import ring_shards
 from oppflow.llm.tables import table
+from oppflow.llm.token_files import token_file_round_trip
+
+WORD_BPE = tokenizer_path("word_bpe_49k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +44,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = ring_shards(table(spark, sf_dir, "documents"), shards=8, slack=0.0)
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+@query("op5_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(table(spark, sf_dir, "documents"), WORD_BPE, keep_ids=False)
+
+
+@query("op8_token_files")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = token_file_round_trip(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
+    return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
