@@ -10,6 +10,7 @@ from public_tokenizers import path as tokenizer_path
 
 from oppflow.llm.bpe import bpe_encode
 from oppflow.llm.exact_dedup import exact_copies
+from oppflow.llm.packing import pack_documents
 from oppflow.llm.sharding import ring_shards
 from oppflow.llm.tables import table
 from oppflow.llm.token_files import token_file_round_trip
@@ -55,3 +56,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = token_file_round_trip(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op9_best_fit_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, end_id=0, capacity=2048)
