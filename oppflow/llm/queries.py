@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
+from oppflow.llm import language, toxicity
 from oppflow.llm.bpe import bpe_encode
 from oppflow.llm.exact_dedup import exact_copies
+from oppflow.llm.html_text import extract_text
 from oppflow.llm.packing import pack_documents
+from oppflow.llm.samples import remainder
 from oppflow.llm.sharding import ring_shards
 from oppflow.llm.tables import table
 from oppflow.llm.token_files import token_file_round_trip
@@ -61,3 +64,25 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, end_id=0, capacity=2048)
+
+
+@query("op4_html_extraction")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_on_labels(docs, table(spark, sf_dir, "labels"), hold_out=(3, 1))
+    return toxicity.toxicity_scores(docs, model).select(
+        "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+@query("op2_language")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.languages(docs, language.fit_on_rows(docs, hold_out=(5, 0)))
+    return found.withColumn("held_out", remainder("doc_id", 5) == 0)
