@@ -43,6 +43,8 @@ WINDOW, STEP = 128, 112
 #: Shorter windows, and their steps, for places where the lengths differ.
 CLOSER = ((64, 16), (48, 16), (32, 8))
 BLOCK_BYTES = 4 << 20
+#: An ordinary text taken for toxic counts as much as so many toxic texts missed.
+CAUTION = 2.5
 SHORTEST, LONGEST = 4, 12
 _WORD = re.compile(r"\w+")
 
@@ -148,7 +150,7 @@ def specific_beginnings(toxic: list[str], ordinary: list[str]) -> list[str]:
     """Word beginnings specific to the toxic texts, the rarest first, each as long as it stays common."""
     there, elsewhere = _neighbours(toxic), _neighbours(ordinary)
     n_there, n_else = sum(map(len, toxic)) + 1, sum(map(len, ordinary)) + 1
-    least = max(3, len(toxic) // 100)
+    least = max(4, len(toxic) // 50)
     specific = {w for w, n in there.items() if n >= least and 20 * elsewhere[w] * n_there < n * n_else}
     cores: dict[str, int] = {}
     for word in sorted(specific):
@@ -181,6 +183,7 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     x = features([t for t, _ in rows], content, specific)
     center, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     weights = _logistic((x - center) / scale, np.array([float(y) for _, y in rows]))
+    weights[-1] -= np.log(CAUTION)
     return Model(content, specific, tuple(weights), tuple(center), tuple(scale))
 
 
