@@ -67,10 +67,13 @@ def exact_copies(
         keyed = keyed.withColumn("_open", F.lit(True))
     full = F.sha2(F.col("_text"), 256)
     rows = keyed.select(
-        "_id", (full if hash_all else F.when(F.col("_open"), full)).alias("_full"), "_open"
-    ).withColumn("_key", F.when(F.col("_open"), F.col("_full")))
+        "_id", (full if hash_all else F.when(F.col("_open"), full)).alias("_full"), "_open", "_length", "_prefix",
+    )
+    # A row that is alone by a shorter key joins under that key, so such rows spread over all tasks.
+    alone = F.concat_ws(":", "_length", "_prefix")
+    rows = rows.withColumn("_key", F.when(F.col("_open"), F.col("_full")).otherwise(alone))
     groups = (
-        rows.where("_key IS NOT NULL").groupBy("_key")
+        rows.where("_open").groupBy("_key")
         .agg(F.max("_id").alias("_keep"), F.count("*").alias("_size"))
     )
     keep = F.coalesce(F.col("_keep"), F.col("_id"))
