@@ -12,6 +12,7 @@ from oppflow.llm import language, toxicity
 from oppflow.llm.bpe import bpe_encode
 from oppflow.llm.exact_dedup import exact_copies
 from oppflow.llm.html_text import extract_text
+from oppflow.llm.near_dedup import near_copies
 from oppflow.llm.packing import pack_documents
 from oppflow.llm.samples import remainder
 from oppflow.llm.sharding import ring_shards
@@ -86,3 +87,28 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.languages(docs, language.fit_on_rows(docs, hold_out=(5, 0)))
     return found.withColumn("held_out", remainder("doc_id", 5) == 0)
+
+
+@query("op7_near_dedup", r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_sort(list_distinct(
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM words
+), classes AS (
+  SELECT s, min(doc_id) AS id, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), items AS (SELECT id, n, unnest(s) AS item FROM classes),
+links AS (
+  SELECT a.id AS u, b.id AS v FROM items a JOIN items b ON a.item = b.item AND a.id < b.id
+    AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT id AS u, id AS v FROM classes UNION SELECT r.u, w.v FROM reach r JOIN ways w ON r.v = w.u),
+named AS (SELECT u AS id, min(v) AS component FROM reach GROUP BY u)
+SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(n.component, d.doc_id) AS component_id,
+       d.doc_id = coalesce(n.component, d.doc_id) AS kept
+FROM sets d LEFT JOIN classes c ON c.s = d.s LEFT JOIN named n ON n.id = c.id
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"), words=2, threshold=80)
