@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oppflow.llm.tables import whole_text, written
+from oppflow.llm.tables import whole_text, without, written
 
 #: Characters that the second step hashes.
 PREFIX_CHARS = 64
@@ -50,7 +50,7 @@ def exact_copies(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS,
     broadcast_keys: int = BROADCAST_KEYS, hash_all: bool = False,
 ) -> DataFrame:
-    """One row per input row: ``id_col, keep_id, group_size, kept, full_hash``.
+    """One row per input row: ``id_col, keep_id, group_size, kept, full_hash, text_hash``.
 
     Of equal texts the row with the largest id stays.  ``full_hash`` is null where a shorter key
     already showed that no other row has this text, unless ``hash_all`` asks for every digest.  Few
@@ -67,7 +67,7 @@ def exact_copies(
         keyed = keyed.withColumn("_open", F.lit(True))
     full = F.sha2(F.col("_text"), 256)
     rows = keyed.select(
-        "_id", (full if hash_all else F.when(F.col("_open"), full)).alias("_full"), "_open", "_length", "_prefix",
+        "_id", (full if hash_all else F.when(F.col("_open"), full)).alias("_full"), "_open", "_length", "_prefix", F.xxhash64("_text").alias("_hash"),
     )
     # A row that is alone by a shorter key joins under that key, so such rows spread over all tasks.
     alone = F.concat_ws(":", "_length", "_prefix")
@@ -81,10 +81,11 @@ def exact_copies(
         F.col("_id").alias(id_col), keep.alias("keep_id"),
         F.coalesce(F.col("_size"), F.lit(1)).cast("long").alias("group_size"),
         F.col("_id").eqNullSafe(keep).alias("kept"), F.col("_full").alias("full_hash"),
+        F.col("_hash").alias("text_hash"),
     )
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns.  Only the ids of dropped rows meet the table."""
-    dropped = exact_copies(df, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_gone"))
-    return df.join(dropped, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    """The rows that stay, with all their columns.  Rows without an id stay."""
+    dropped = exact_copies(df, id_col, text_col).where("NOT kept")
+    return without(df, dropped.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")), id_col, text_col)

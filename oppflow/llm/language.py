@@ -138,12 +138,9 @@ def fit_on_rows(
     return fit(sample_per_label(df, label, fit_rows, fit_chars, id_col, text_col))
 
 
-def languages(
-    df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """``id_col, lang_pred, score, languages, shares`` and the columns in ``keep`` for every row."""
-    names = list(dict.fromkeys((id_col, *keep)))
-    own = df.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], whole_text(text_col).alias("_text"))
+def _predicted(df: DataFrame, model: Model | None, columns: list[str], text_col: str) -> DataFrame:
+    """``columns`` as ``_0, _1, ...`` and what is found in the text, in one pass."""
+    own = df.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)], whole_text(text_col).alias("_text"))
     out = ", ".join(f"{c} {kind}" for c, kind in own.dtypes if c != "_text")
     out += ", lang_pred string, score double, languages array<string>, shares array<double>"
 
@@ -168,4 +165,17 @@ def languages(
                 shares=[row[s].tolist() for row, s in zip(shares, sets)],
             )
 
-    return own.mapInPandas(predict, out).withColumnsRenamed({f"_{i}": c for i, c in enumerate(names)})
+    return own.mapInPandas(predict, out)
+
+
+def languages(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, lang_pred, score, languages, shares`` for every row."""
+    return _predicted(df, model, [id_col], text_col).withColumnRenamed("_0", id_col)
+
+
+def drop_unknown(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows whose text is in a language, with all their columns; without a model, all rows."""
+    if model is None:
+        return df
+    kept = _predicted(df, model, df.columns, text_col).where(F.col("lang_pred") != UNKNOWN)
+    return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(df.columns)])

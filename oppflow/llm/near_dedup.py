@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oppflow.llm.components import components
-from oppflow.llm.tables import whole_text, written
+from oppflow.llm.tables import whole_text, without, written
 
 WORDS = 5
 THRESHOLD = 80  # per cent
@@ -108,8 +108,9 @@ def _signatures(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
                 sketch=[sketch(s).tobytes() if len(s) else None for s in sets],
             )
 
-    rows = df.select(F.col(f"`{id_col}`").alias("_id"), whole_text(text_col).alias("_text"))
-    return rows.mapInPandas(sign, f"_id {kind}, n long, digest binary, sketch binary")
+    text = whole_text(text_col)
+    rows = df.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
+    return rows.mapInPandas(sign, f"_id {kind}, _hash long, n long, digest binary, sketch binary")
 
 
 def _banded(classes: DataFrame) -> DataFrame:
@@ -248,7 +249,7 @@ def near_copies(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD,
     block: int = BLOCK, broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
-    """``id_col, n_shingles, component_id, kept`` per row.
+    """``id_col, n_shingles, component_id, kept, text_hash`` per row.
 
     Two documents are linked if 100 * common shingles >= ``threshold`` * all shingles of both.  A component
     is named after its smallest id, which is kept.
@@ -291,11 +292,11 @@ def near_copies(
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id"))
     return joined.select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.col("_id").eqNullSafe(component).alias("kept"),
+        F.col("_id").eqNullSafe(component).alias("kept"), F.col("_hash").alias("text_hash"),
     )
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` that are kept, with all their columns."""
-    dropped = near_copies(df, id_col, text_col, **options).where("NOT kept").select(F.col(id_col).alias("_gone"))
-    return df.join(dropped, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    dropped = near_copies(df, id_col, text_col, **options).where("NOT kept")
+    return without(df, dropped.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")), id_col, text_col)

@@ -43,7 +43,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return exact_copies(docs, hash_all=True).withColumnRenamed("full_hash", "text_sha256")
+    return exact_copies(docs, hash_all=True).withColumnRenamed("full_hash", "text_sha256").drop("text_hash")
 
 
 @query("op10_ring_sharding")
@@ -112,7 +112,7 @@ SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(n.component, d.doc_id) AS comp
 FROM sets d LEFT JOIN classes c ON c.s = d.s LEFT JOIN named n ON n.id = c.id
 """)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies(table(spark, sf_dir, "documents"), words=2, threshold=80)
+    return near_copies(table(spark, sf_dir, "documents"), words=2, threshold=80).drop("text_hash")
 
 
 @query("op6_top_k", """

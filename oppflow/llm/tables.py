@@ -37,6 +37,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that are sent to every task to pick rows; beyond it rows are moved to the keys.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(df: DataFrame, gone: DataFrame, id_col: str, text_col: str, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """``df`` without the rows named in ``gone`` by ``_id`` and ``_hash``, the hash of the text.
+
+    Texts only move if there are more than ``broadcast_keys`` rows to leave out.
+    """
+    gone = written(gone.select("_id", "_hash").distinct(), "gone")
+    few = gone.count() <= broadcast_keys
+    same = (F.col(f"`{id_col}`") == F.col("_id")) & (F.xxhash64(whole_text(text_col)) == F.col("_hash"))
+    return df.join(F.broadcast(gone) if few else gone, same, "left_anti")
+
+
 def whole_text(column: str):
     """The text column as a string, null counted as empty."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))

@@ -220,16 +220,24 @@ def fit_on_labels(
     return fit(sample_per_label(df, label, fit_rows, fit_chars, id_col, text_col))
 
 
-def toxicity_scores(
-    df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """``id_col, score`` and the columns in ``keep`` for every row."""
-    names = list(dict.fromkeys((id_col, *keep)))
-    own = df.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], whole_text(text_col).alias("_text"))
+def _scored(df: DataFrame, model: Model | None, columns: list[str], text_col: str) -> DataFrame:
+    """``columns`` as ``_0, _1, ...`` and the score of the text, in one pass."""
+    own = df.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)], whole_text(text_col).alias("_text"))
     out = ", ".join(f"{c} {kind}" for c, kind in own.dtypes if c != "_text") + ", score double"
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.assign(score=scores(batch.pop("_text").tolist(), model))
 
-    return own.mapInPandas(score, out).withColumnsRenamed({f"_{i}": c for i, c in enumerate(names)})
+    return own.mapInPandas(score, out)
+
+
+def toxicity_scores(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, score`` for every row."""
+    return _scored(df, model, [id_col], text_col).withColumnRenamed("_0", id_col)
+
+
+def drop_toxic(df: DataFrame, model: Model | None, limit: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows whose score is below ``limit``, with all their columns."""
+    kept = _scored(df, model, df.columns, text_col).where(F.col("score") < limit)
+    return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(df.columns)])
