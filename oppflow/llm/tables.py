@@ -48,7 +48,8 @@ def without(df: DataFrame, gone: DataFrame, id_col: str, text_col: str, broadcas
     """
     gone = written(gone.select("_id", "_hash").distinct(), "gone")
     few = gone.count() <= broadcast_keys
-    same = (F.col(f"`{id_col}`") == F.col("_id")) & (F.xxhash64(whole_text(text_col)) == F.col("_hash"))
+    text = F.coalesce(df[f"`{text_col}`"].cast("string"), F.lit(""))
+    same = (df[f"`{id_col}`"] == gone["_id"]) & (F.xxhash64(text) == gone["_hash"])
     return df.join(F.broadcast(gone) if few else gone, same, "left_anti")
 
 
