@@ -247,7 +247,7 @@ def resolve_tier(location, tiers=None, cities=None, outside=None) -> Column:
     A location that names several places is judged by its best one.
     """
     rules = place_rules(tiers, cities)
-    outside = outside or (fixed.OUTSIDE_COUNTRIES + fixed.OUTSIDE_CITIES)
+    outside = outside or fixed.OUTSIDE_PLACES
 
     kinds = [fixed.EU_REGION_WORDS, fixed.GLOBAL_REMOTE_WORDS, fixed.REMOTE_WORDS, outside]
     terms = sorted({*rules["places"], *(w for words_ in kinds for w in words_)})
@@ -395,7 +395,7 @@ def extract_tech_terms(text) -> Column:
     pattern = words(fixed.TECH_TERMS, symbols=True)
     hits = F.regexp_extract_all(F.coalesce(as_col(text), F.lit("")), F.lit(pattern), F.lit(0))
     return F.transform(
-        hits, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 100))
+        hits, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t)))
     )
 
 

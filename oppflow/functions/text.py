@@ -351,7 +351,7 @@ ENTITY = r"&(?:#[xX]?[0-9a-fA-F]+|[a-zA-Z]+);"
 
 
 def _one_entity(entity: Column) -> Column:
-    code = F.lower(F.substring(entity, 2, 40))
+    code = F.lower(F.substring(entity, F.lit(2), F.length(entity)))
     code = F.regexp_replace(code, ";$", "")
     known = F.create_map(*[F.lit(x) for kv in fixed.HTML_ENTITIES.items() for x in kv])
     hexed = F.when(code.startswith("#x"), F.regexp_extract(code, "^#x([0-9a-f]+)", 1)).otherwise(

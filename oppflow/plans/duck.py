@@ -197,7 +197,7 @@ def tier_ctes(source: str) -> str:
     kinds = [(folded_place(t), "eu") for t in fixed.EU_REGION_WORDS]
     kinds += [(folded_place(t), "global") for t in fixed.GLOBAL_REMOTE_WORDS]
     kinds += [(folded_place(t), "remote") for t in fixed.REMOTE_WORDS]
-    kinds += [(folded_place(t), "outside") for t in fixed.OUTSIDE_COUNTRIES + fixed.OUTSIDE_CITIES]
+    kinds += [(folded_place(t), "outside") for t in fixed.OUTSIDE_PLACES]
     norm = replace_all("replace(lower(strip_accents(location)), '.', '')",
                        (r"[|/,;()\[\]—–-]+", " "), (r"\s+", " "))
     return f"""

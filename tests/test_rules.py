@@ -196,3 +196,30 @@ def test_titles(spark):
     assert column(spark, [("anything",)], "t string", C.classify_title("t")) == [("pass",)]
     rows = column(spark, [("Findr",), ("Acme Talent",), ("Talented",), ("Best Jobs",), ("Jobs Ltd",)], "c string", C.is_agency("c"))
     assert [r[0] for r in rows] == [True, True, False, True, False]
+
+
+def test_no_length_is_special(spark):
+    """Words, entities and terms of any length, and the cities that were once left out."""
+    from oppflow.functions import classify as C
+    from oppflow.functions import text as T
+    from oppflow.operators.enrich import best_role_match
+
+    long = "x" * 70
+    apps = spark.createDataFrame([("Acme", f"{long} beta")], "company string, role string")
+    titles = spark.createDataFrame([("Acme", "other", 1), ("Acme", f"{long}, lead", 2)], "company string, title string, pos long")
+    assert [r.best_pos for r in best_role_match(apps, titles).collect()] == [2]
+    entity = "&#" + "0" * 45 + "65;"
+    row = spark.createDataFrame([(entity + "&#x" + "0" * 50 + "42;",)], "t string").select(T.decode_entities("t").alias("d")).first()
+    assert row.d == "AB"
+    cities = [("Jena", "S"), ("St. Gallen", "A"), ("Winterthur", "A"), ("Turku", "B"), ("Naples", "B"), ("Mechelen", "C")]
+    places = spark.createDataFrame([(c,) for c, _ in cities], "location string").select(
+        "location", C.resolve_tier("location").alias("t")).collect()
+    assert [(r.location, r.t.reason, r.t.keep) for r in places] == [(c, "country", True) for c, _ in cities]
+
+
+def test_views_keep_every_row(spark, sf_dir):
+    from oppflow.plans.views import spark_view, table
+
+    for view, name in (("outcome", "orders"), ("followup", "lineitem"), ("history", "lineitem"),
+                       ("exclusion", "customer"), ("addition", "orders"), ("posting", "orders"), ("app", "orders")):
+        assert spark_view(spark, sf_dir, view).count() == table(spark, sf_dir, name).count(), view
