@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from oppflow.functions.text import company_base
 from oppflow.operators.matching import MAX_SUBSET_WORDS, subsets
+from oppflow.session import durable
 
-LONGEST_WORD = 64
+# Role words are longer than two characters, so each has a part of this length.
+PART = 3
 
 
 def _words(text) -> Column:
@@ -20,16 +22,11 @@ def _role_words(text) -> Column:
     return F.filter(_words(text), lambda w: F.length(w) > 2)
 
 
-def _pieces(word: Column) -> Column:
-    """Every part of a word longer than two characters."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(word) - 2, F.lit(1)))
-    longest = F.least(F.length(word), F.lit(LONGEST_WORD))
-
-    def from_start(start: Column) -> Column:
-        lengths = F.sequence(F.lit(3), F.greatest(F.least(longest, F.length(word) - start + 1), F.lit(3)))
-        return F.transform(lengths, lambda n: F.substring(word, start, n))
-
-    return F.flatten(F.transform(starts, from_start))
+def _parts(word: Column) -> Column:
+    """Every part of ``PART`` characters of a word; none of a shorter one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(word) - PART + 1, F.lit(1)))
+    parts = F.transform(starts, lambda at: F.substring(word, at, F.lit(PART)))
+    return F.filter(parts, lambda p: F.length(p) == PART)
 
 
 def best_role_match(apps: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -37,7 +34,8 @@ def best_role_match(apps: DataFrame, candidates: DataFrame) -> DataFrame:
     holds most words of the role; the first one on a tie or without any.
 
     ``apps`` is (company, role), ``candidates`` (company, title, pos); companies are
-    compared by their base name.  Titles are reduced to the role words they hold and
+    compared by their base name.  A role word is looked for in the titles that hold its
+    first three characters.  Titles are reduced to the role words they hold and
     meet the roles through common word subsets, so a company with many openings
     never has its roles multiplied by its titles.
     """
@@ -45,42 +43,55 @@ def best_role_match(apps: DataFrame, candidates: DataFrame) -> DataFrame:
     roles = roles.withColumns({"bag": _role_words("role")}).withColumn(
         "words", F.array_sort(F.array_distinct("bag"))
     )
-    cands = candidates.select(company_base("company").alias("block"), "title", "pos")
+    # Read by several branches below, and small next to their inputs.
+    roles = durable(roles)
+    cands = durable(candidates.select(company_base("company").alias("block"), "title", "pos"))
     titles = cands.groupBy("block", "title").agg(F.min("pos").alias("pos"))
-    vocabulary = roles.select("block", F.explode("words").alias("word")).distinct()
-    pieces = titles.select(
-        "block", "pos",
-        F.explode(F.array_distinct(F.flatten(F.transform(
-            F.array_distinct(_words("title")), _pieces)))).alias("word"),
+    vocabulary = roles.select("block", F.explode("words").alias("word")).distinct().withColumn(
+        "part", F.substring("word", 1, PART)
+    )
+    # Each word of a company's titles is looked up once.
+    title_words = titles.select("block", F.explode(F.array_distinct(_words("title"))).alias("title_word")).distinct()
+    inside = (
+        title_words.withColumn("part", F.explode(F.array_distinct(_parts(F.col("title_word")))))
+        .join(vocabulary, ["block", "part"]).filter(F.contains("title_word", "word"))
+        .select("block", "title_word", "word").distinct()
     )
-    held = (
-        pieces.join(vocabulary, ["block", "word"])
-        .groupBy("block", "pos").agg(F.array_sort(F.collect_set("word")).alias("held"))
+    pieces = titles.select(
+        "block", "pos", F.explode(F.array_distinct(_words("title"))).alias("title_word")
+    ).join(inside, ["block", "title_word"])
+    held = durable(
+        pieces.groupBy("block", "pos").agg(F.array_sort(F.collect_set("word")).alias("held"))
         .groupBy("block", F.array_join("held", " ").alias("held_key"))
         .agg(F.min("pos").alias("pos"), F.first("held").alias("held"))
     )
-    small_role = F.size("words") <= MAX_SUBSET_WORDS
-    small_held = F.size("held") <= MAX_SUBSET_WORDS
+    short_roles = roles.filter((F.size("words") <= MAX_SUBSET_WORDS) & (F.size("words") > 0))
+    long_roles = roles.filter(F.size("words") > MAX_SUBSET_WORDS)
+    short_held = held.filter(F.size("held") <= MAX_SUBSET_WORDS)
+    long_held = held.filter(F.size("held") > MAX_SUBSET_WORDS)
     by_part = (
-        held.filter(small_held)
-        .select("block", "pos", F.explode(subsets(F.col("held"), 1, F.size("held"))).alias("part"))
+        short_held.select("block", "pos", F.explode(subsets(F.col("held"), 1, F.size("held"))).alias("part"))
         .groupBy("block", "part").agg(F.min("pos").alias("pos"))
     )
-    asked = roles.filter(small_role & (F.size("words") > 0)).select(
+    asked = short_roles.select(
         "block", "role", "bag", F.explode(subsets(F.col("words"), 1, F.size("words"))).alias("part")
     )
     weight = F.size(F.filter("bag", lambda w: F.array_contains(F.split("part", " "), w)))
     through_parts = asked.join(by_part, ["block", "part"]).select(
         "block", "role", weight.cast("bigint").alias("score"), "pos"
     )
-    # Very long titles on either side are scored word by word.
-    role_word = roles.select("block", "role", small_role.alias("_sr"), F.explode("bag").alias("word"))
-    held_word = held.select("block", "pos", small_held.alias("_sh"), F.explode("held").alias("word"))
-    word_by_word = (
-        role_word.join(held_word, ["block", "word"]).filter("NOT (_sr AND _sh)")
-        .groupBy("block", "role", "pos").agg(F.count(F.lit(1)).alias("score"))
-        .select("block", "role", "score", "pos")
-    )
+
+    # Very long titles on either side are scored word by word; two short ones never meet here.
+    def by_word(some_roles: DataFrame, some_held: DataFrame) -> DataFrame:
+        role_word = some_roles.select("block", "role", F.explode("bag").alias("word"))
+        held_word = some_held.select("block", "pos", F.explode("held").alias("word"))
+        return (
+            role_word.join(held_word, ["block", "word"])
+            .groupBy("block", "role", "pos").agg(F.count(F.lit(1)).alias("score"))
+            .select("block", "role", "score", "pos")
+        )
+
+    word_by_word = by_word(long_roles, held).unionByName(by_word(short_roles, long_held))
     best = (
         through_parts.unionByName(word_by_word).groupBy("block", "role")
         .agg(F.max(F.struct("score", (-F.col("pos")).alias("back"))).alias("b"))
@@ -95,9 +106,10 @@ def best_role_match(apps: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def _by_company(apps: DataFrame, candidates: DataFrame, name: str) -> DataFrame:
     match = best_role_match(apps, candidates)
-    urls = match.join(
-        candidates.select(F.col("pos").alias("best_pos"), F.col("url").alias(name)), "best_pos"
-    ).select("block", F.col("role").alias("_role"), name)
+    listed = candidates.select(
+        company_base("company").alias("block"), F.col("pos").alias("best_pos"), F.col("url").alias(name)
+    )
+    urls = match.join(listed, ["block", "best_pos"]).select("block", F.col("role").alias("_role"), name)
     return apps.withColumn("_block", company_base("company")).join(
         urls, (F.col("_block") == F.col("block")) & F.col("role").eqNullSafe(F.col("_role")), "left"
     ).drop("_block", "block", "_role")
