@@ -10,7 +10,7 @@ from oppflow.functions.stats import fixed_places
 from oppflow.operators import calibration, funnel, patterns, quality
 from oppflow.plans import duck as D
 from oppflow.plans.duck import any_word, pct, places, with_views
-from oppflow.plans.q_joins import COHORT_SQL, COHORT_VIEWS, cohort_of
+from oppflow.plans.q_joins import COHORT_SQL, COHORT_VIEWS, FILES_SQL, cohort_of, report_files
 from oppflow.plans.q_rules import TECH_SQL, _GAP, _SEV, _TEAM, blocker_sql
 from oppflow.plans.registry import register
 
@@ -461,13 +461,10 @@ def row_format(v):
         FROM (SELECT pos, {DUP_KEY} AS k FROM app) GROUP BY k HAVING count(*) > 1
     UNION ALL SELECT 'report not found', 'error', pos::VARCHAR, 'reports/' || k || '-x.md'
         FROM (SELECT pos, regexp_extract(report, '\\[(\\d+)\\]', 1) AS k FROM app WHERE report <> '')
-        WHERE k NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_mktsegment <> 'MACHINERY')
-    UNION ALL SELECT 'pending additions', 'warning', '', count(*)::VARCHAR FROM addition""", CHECKS_SQL))
+        WHERE 'reports/' || k || '-x.md' NOT IN (SELECT path FROM files)
+    UNION ALL SELECT 'pending additions', 'warning', '', count(*)::VARCHAR FROM addition""", CHECKS_SQL, FILES_SQL))
 def integrity_report(v):
-    files = v.table("customer").filter("c_mktsegment <> 'MACHINERY'").select(
-        F.concat(F.lit("reports/"), F.col("c_custkey").cast("string"), F.lit("-x.md")).alias("path")
-    )
-    return quality.integrity_report(entries_of(v), lines_of(v), files, v.addition)
+    return quality.integrity_report(entries_of(v), lines_of(v), report_files(v), v.addition)
 
 
 @register("wilson", f"""

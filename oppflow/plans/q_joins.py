@@ -11,7 +11,7 @@ from oppflow.functions import text as T
 from oppflow.operators import calibration, dedup, enrich, merge, quality, scan, seen
 from oppflow.plans import duck as D
 from oppflow.plans.duck import with_views
-from oppflow.plans.q_rules import AS_OF_DATE, TITLE_CLASS_SQL, TITLE_FILTER
+from oppflow.plans.q_rules import AS_OF_DATE, TITLE_CLASS_SQL, TITLE_FILTER, only_named
 from oppflow.plans.registry import register
 from oppflow.sources import lines
 
@@ -93,18 +93,19 @@ def scan_filtered_stages(v):
 
 
 @register("empty_boards", with_views(["companies", "posting"], """
-    SELECT DISTINCT company AS name FROM companies WHERE company NOT IN (SELECT company FROM posting
-    WHERE posted >= DATE '2000-01-01')"""))
+    SELECT DISTINCT company AS name FROM companies WHERE company NOT IN (
+        SELECT CASE WHEN posted >= DATE '2000-01-01' THEN company ELSE 'Closed ' || company END FROM posting)"""))
 def empty_boards(v):
     targets = v.companies.select(F.col("company").alias("name")).distinct()
-    return scan.empty_boards(targets, v.posting.filter("posted >= DATE'2000-01-01'"))
+    named = F.expr("CASE WHEN posted >= DATE'2000-01-01' THEN company ELSE 'Closed ' || company END")
+    return scan.empty_boards(targets, v.posting.withColumn("company", named))
 
 
 @register("engaged_intersection", with_views(["posting", "app"], """
     SELECT pos, company FROM posting WHERE lower(trim(company)) IN
-        (SELECT lower(trim(company)) FROM app WHERE status = '🎯')"""))
+        (SELECT lower(trim(CASE WHEN status = '🎯' THEN company ELSE 'Other ' || company END)) FROM app)"""))
 def engaged_intersection(v):
-    return seen.engaged_intersection(v.posting, v.app.filter("status = '🎯'")).select("pos", "company")
+    return seen.engaged_intersection(v.posting, only_named(v.app, "🎯")).select("pos", "company")
 
 
 # --- lookups -------------------------------------------------------------------
@@ -154,10 +155,11 @@ def exclusion_match(v):
 
 
 @register("known_company", with_views(["posting", "app"], """
-    SELECT pos, lower(trim(company)) IN (SELECT lower(trim(company)) FROM app WHERE status = '💰') AS known
+    SELECT pos, lower(trim(company)) IN (
+        SELECT lower(trim(CASE WHEN status = '💰' THEN company ELSE 'Other ' || company END)) FROM app) AS known
     FROM posting"""))
 def known_company(v):
-    return seen.mark_company(v.posting, v.app.filter("status = '💰'"), "known").select("pos", "known")
+    return seen.mark_company(v.posting, only_named(v.app, "💰"), "known").select("pos", "known")
 
 
 @register("curated_company", with_views(["posting", "curated"], """
@@ -401,19 +403,23 @@ def enrich_inputs(v):
         T.report_num("report").cast("string").alias("report_number"),
     )
     hist = v.history.groupBy("company", "title").agg(
-        F.min("url").alias("url")
-    ).withColumn("pos", F.xxhash64("company", "title"))
+        F.min("url").alias("url"), F.min(F.col("pos") * 1000000 + F.col("part_no")).alias("pos")
+    )
     return apps, batch_of(v), v.state, hist
 
 
-@register("enrich_urls", with_views(["app", "item", "state"], """
+@register("enrich_urls", with_views(["app", "item", "state", "history"], """
     SELECT a.pos, CASE WHEN starts_with(own, 'http') THEN 'own' WHEN has_report AND report_url IS NOT NULL THEN 'report'
             WHEN has_report AND i.job_url IS NOT NULL THEN 'batch id'
             WHEN has_report AND s.job_url IS NOT NULL THEN 'report number'
+            WHEN hbest.best_pos IS NOT NULL THEN 'history'
             WHEN best.best_pos IS NOT NULL THEN 'batch company' END AS url_from,
         COALESCE(CASE WHEN starts_with(own, 'http') THEN own END, CASE WHEN has_report THEN report_url END,
-            CASE WHEN has_report THEN i.job_url END, CASE WHEN has_report THEN s.job_url END, c.job_url) AS job_url
+            CASE WHEN has_report THEN i.job_url END, CASE WHEN has_report THEN s.job_url END,
+            h.url, c.job_url) AS job_url
     FROM a LEFT JOIN items i ON i.id = a.batch_id LEFT JOIN done s ON s.rn = a.report_number
+    LEFT JOIN hbest ON hbest.block = a.block AND hbest.role = a.role
+    LEFT JOIN hist h ON h.block = a.block AND h.pos = hbest.best_pos
     LEFT JOIN best ON best.block = a.block AND best.role = a.role LEFT JOIN items c ON c.pos = best.best_pos""",
     _ITEMS_SQL, f"""
     a AS MATERIALIZED (SELECT pos, role, {D.company_base('company')} AS block,
@@ -425,22 +431,31 @@ def enrich_inputs(v):
         ELSE report_num END])) AS rn, state.pos, job_url FROM state JOIN items USING (id)
         WHERE status = 'completed' AND report_num NOT IN ('', '-') AND job_url IS NOT NULL),
     done AS MATERIALIZED (SELECT rn, arg_max(job_url, pos) AS job_url FROM spelled GROUP BY rn),
+    hist AS MATERIALIZED (SELECT company, title, {D.company_base('company')} AS block, min(url) AS url,
+        min(pos * 1000000 + part_no) AS pos FROM history GROUP BY 1, 2, 3),
     named AS MATERIALIZED (SELECT company, role AS title, pos FROM items WHERE job_url IS NOT NULL)""",
-    best_sql("best", "app", "named")))
+    best_sql("best", "app", "named"), best_sql("hbest", "app", "hist")))
 def enrich_urls(v):
     apps, items, state, hist = enrich_inputs(v)
-    return enrich.enrich_urls(apps, items, state, hist.limit(0)).select("pos", "url_from", "job_url")
+    return enrich.enrich_urls(apps, items, state, hist).select("pos", "url_from", "job_url")
+
+
+FILE_PATH = """CASE WHEN c_mktsegment <> 'MACHINERY' THEN 'reports/' ELSE 'drafts/' END
+    || CAST(c_custkey AS VARCHAR) || '-x.md'"""
+FILES_SQL = f"files AS MATERIALIZED (SELECT {FILE_PATH} AS path FROM customer)"
 
 
 @register("broken_report_links", with_views(["app"], """
     SELECT pos, 'reports/' || k || '-x.md' AS target
     FROM (SELECT pos, regexp_extract(report, '\\[(\\d+)\\]', 1) AS k FROM app WHERE report <> '')
-    WHERE k NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_mktsegment <> 'MACHINERY')"""))
+    WHERE 'reports/' || k || '-x.md' NOT IN (SELECT path FROM files)""", FILES_SQL))
 def broken_report_links(v):
-    files = v.table("customer").filter("c_mktsegment <> 'MACHINERY'").select(
-        F.concat(F.lit("reports/"), F.col("c_custkey").cast("string"), F.lit("-x.md")).alias("path")
-    )
-    return quality.broken_links(v.app, files).select("pos", "target")
+    return quality.broken_links(v.app, report_files(v)).select("pos", "target")
+
+
+def report_files(v):
+    """One file per customer, some of them in another folder."""
+    return v.table("customer").select(F.expr(FILE_PATH.replace("VARCHAR", "STRING")).alias("path"))
 
 
 PLACES, REMOTE_PLACES = ["Germany", "Austria", "Spain"], ["Europe", "Worldwide"]

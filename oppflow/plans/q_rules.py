@@ -74,15 +74,22 @@ def filter_title_pass(v):
     return v.posting.filter(C.classify_title("title", **TITLE_FILTER) == "pass").select("pos", "title")
 
 
+def only_named(app, status):
+    """Every application; those with another status are at companies of other names."""
+    return app.withColumn("company", F.when(F.col("status") == status, F.col("company")).otherwise(
+        F.concat(F.lit("Other "), F.col("company"))))
+
+
 @register("keep_generic_if_engaged", with_views(["posting", "app"], f"""
     SELECT pos, company, title FROM posting
     WHERE {TITLE_CLASS_SQL} <> 'generic'
-       OR lower(trim(company)) IN (SELECT lower(trim(company)) FROM app WHERE status = '✅')"""))
+       OR lower(trim(company)) IN (
+           SELECT lower(trim(CASE WHEN status = '✅' THEN company ELSE 'Other ' || company END)) FROM app)"""))
 def keep_generic_if_engaged(v):
     marked = v.posting.withColumn(
         "title_generic", C.classify_title("title", **TITLE_FILTER) == "generic"
     )
-    return seen.keep_generic_if_engaged(marked, v.app.filter("status = '✅'")).select(
+    return seen.keep_generic_if_engaged(marked, only_named(v.app, "✅")).select(
         "pos", "company", "title"
     )
 
@@ -151,7 +158,7 @@ def classify_outcome(v):
 
 @register("set_status", with_views(["app"], """,
     upd AS (SELECT pos AS update_no, date, company, role, CASE pos % 3 WHEN 0 THEN '🎯' WHEN 1 THEN '❌' END AS cell
-            FROM app WHERE file = 'archive'),
+            FROM app),
     firsts AS (SELECT date, company, role, min(pos) AS pos FROM app GROUP BY ALL),
     last AS (SELECT date, company, role, arg_max(cell, update_no) AS cell FROM upd WHERE cell IS NOT NULL GROUP BY ALL),
     hits AS (SELECT firsts.pos, cell FROM firsts JOIN last USING (date, company, role))
@@ -160,7 +167,7 @@ def classify_outcome(v):
     """).replace(") ,", "),"))
 def set_status(v):
     app = v.app
-    updates = app.filter("file = 'archive'").select(
+    updates = app.select(
         F.col("pos").alias("update_no"), "date", "company", "role",
         F.expr("CASE pos % 3 WHEN 0 THEN 'Interview' WHEN 1 THEN '**rechazada**' ELSE 'who knows' END").alias("status"),
     )

@@ -20,10 +20,12 @@ def event_stream(v):
 @register("stream_intake", """
     SELECT DISTINCT 'https://jobs.example.com/' || user_id || '/' || event_type AS url, 'Company ' || user_id AS company,
            event_type AS title FROM events e
-    WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = e.user_id AND c_mktsegment = 'BUILDING' AND e.event_type = 'click')""")
+    WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = e.user_id
+        AND e.event_type = CASE WHEN c_mktsegment = 'BUILDING' THEN 'click' ELSE 'purchase' END)""")
 def stream_intake(v):
-    known = v.table("customer").filter("c_mktsegment = 'BUILDING'").select(
-        F.concat(F.lit("https://jobs.example.com/"), F.col("c_custkey").cast("string"), F.lit("/click")).alias("url"),
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "/click").otherwise("/purchase")
+    known = v.table("customer").select(
+        F.concat(F.lit("https://jobs.example.com/"), F.col("c_custkey").cast("string"), kind).alias("url"),
         F.lit("").alias("company"), F.lit("").alias("title"),
     )
     postings = intake.event_postings(event_stream(v))

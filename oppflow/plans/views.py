@@ -2,7 +2,8 @@
 
 The tables hold orders, parts and line items; the views read them as applications,
 titles, outcomes, postings and so on.  Nothing is left out: every view covers the
-whole of its tables.
+whole of its tables.  Where a view plays a part that only some of its rows should match, the others
+carry another name instead of being filtered away.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ TABLES = [
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 AS_OF = "2000-06-30"
-SPLIT_DAY = "1998-01-01"
 
 # One location text per nation, so that every rule of the place cascade is met.
 LOCATIONS = [
@@ -27,9 +27,15 @@ LOCATIONS = [
     "Madrid; Barcelona", "Northern Ireland", "Deutschland", "Hybrid", "København", "Anywhere, Europe",
     "São Paulo, Brazil",
 ]
-_PLACE = "CASE n_nationkey " + " ".join(
+# Places that only the names of smaller cities tell, for every ninth company.
+SMALL_PLACES = [
+    "Jena", "St. Gallen", "Winterthur", "Turku", "Naples", "Sophia Antipolis", "Banja Luka", "Stavanger",
+]
+_PLACE = "CASE WHEN c_custkey % 9 = 0 THEN CASE c_custkey % 8 " + " ".join(
+    f"WHEN {i} THEN '{p}'" for i, p in enumerate(SMALL_PLACES)
+) + " END ELSE CASE n_nationkey " + " ".join(
     f"WHEN {i} THEN '{p}'" for i, p in enumerate(LOCATIONS)
-) + " ELSE '' END"
+) + " ELSE '' END END"
 
 _COMPANY = (
     "CASE WHEN c_acctbal > 0 THEN c_mktsegment || ' ' || n_name ELSE c_name END || "
@@ -84,12 +90,13 @@ VIEWS = {
         FROM {orders} JOIN @companies@ co ON o_custkey = c_custkey
         JOIN @titles@ ti ON p_partkey = o_orderkey % #part#""",
     "outcome": """
-        SELECT pos, num + CASE WHEN pos % 3 = 0 THEN 1 ELSE 0 END AS report, company, date,
+        SELECT pos, num + CASE WHEN pos % 3 = 0 THEN 1 ELSE 0 END AS report,
+               CASE WHEN url LIKE '%linkedin%' THEN company ELSE 'Unlisted ' || company END AS company, date,
                pos % 6 AS stages_passed,
                CASE pos % 7 WHEN 0 THEN 'screen' WHEN 1 THEN 'hm_round' WHEN 2 THEN 'technical'
                     WHEN 3 THEN 'take_home' WHEN 4 THEN 'final' WHEN 5 THEN '' ELSE 'verbal_offer' END
                     AS furthest_stage
-        FROM @app@ ap WHERE url LIKE '%linkedin%'""",
+        FROM @app@ ap""",
     "stage": """
         SELECT l_orderkey AS num,
                CASE l_linenumber WHEN 1 THEN 'screen' WHEN 2 THEN 'hm' WHEN 3 THEN 'technical'
@@ -98,7 +105,7 @@ VIEWS = {
         FROM {lineitem}""",
     "followup": """
         SELECT l_orderkey AS app_num, CAST(l_shipdate AS DATE) AS date
-        FROM {lineitem} WHERE l_returnflag = 'R'""",
+        FROM {lineitem}""",
     "posting": """
         SELECT o_orderkey AS pos, company, title, location, CAST(o_orderdate AS DATE) AS posted,
                CASE o_orderpriority WHEN '1-URGENT' THEN 'https://de.linkedin.com/jobs/view/x-'
@@ -117,15 +124,17 @@ VIEWS = {
                CASE l_linenumber % 5 WHEN 0 THEN 'BUILDING ' WHEN 1 THEN 'MACHINERY ' WHEN 2 THEN 'AUTOMOBILE '
                     WHEN 3 THEN 'HOUSEHOLD ' ELSE 'FURNITURE ' END || n_name AS company
         FROM {{lineitem}} JOIN @titles@ ti ON l_partkey = p_partkey
-        JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey
-        WHERE l_shipdate < TIMESTAMP '{SPLIT_DAY} 00:00:00'""",
+        JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey""",
     "exclusion": """
-        SELECT c_custkey AS pos, company, DATE '1997-01-15' AS date, 'no ' || c_name AS reason,
+        SELECT c_custkey AS pos,
+               CASE WHEN c_mktsegment = 'FURNITURE' AND c_acctbal < 2000 THEN company
+                    ELSE 'Former ' || c_name END AS company, DATE '1997-01-15' AS date, 'no ' || c_name AS reason,
                CASE WHEN c_custkey % 2 = 0 THEN '*' ELSE title END AS role
         FROM {customer} JOIN @companies@ co USING (c_custkey)
-        JOIN @titles@ ti ON p_partkey = c_custkey % #part#
-        WHERE c_mktsegment = 'FURNITURE' AND c_acctbal < 2000""",
-    "curated": """SELECT DISTINCT company FROM @companies@ co WHERE n_nationkey < 6""",
+        JOIN @titles@ ti ON p_partkey = c_custkey % #part#""",
+    "curated": """
+        SELECT DISTINCT CASE WHEN n_nationkey < 6 THEN company ELSE 'Listed ' || company END AS company
+        FROM @companies@ co""",
     "addition": """
         SELECT o_orderkey AS file_no, CAST(o_orderdate AS DATE) AS date, company, title AS role,
                CAST(100 + o_orderkey * 41 % 401 AS DOUBLE) / 100 AS fit,
@@ -136,8 +145,7 @@ VIEWS = {
                     AS report,
                location, 'note ' || CAST(o_orderkey AS STRING) AS notes, '-' AS url
         FROM {orders} JOIN @companies@ co ON o_custkey = c_custkey
-        JOIN @titles@ ti ON p_partkey = (o_orderkey * 5 + 2) % #part#
-        WHERE o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW')""",
+        JOIN @titles@ ti ON p_partkey = (o_orderkey * 5 + 2) % #part#""",
     "item": """
         SELECT p_partkey AS id, p_partkey AS pos,
                CASE WHEN p_size > 10 THEN 'https://jack.example.com/' || CAST(p_partkey AS STRING)
