@@ -9,11 +9,14 @@ from oppflow.streaming import activity, intake, jobs, timers
 
 
 def event_stream(v):
-    """The event table as a stream, its local timestamps read as UTC."""
-    schema = v.table("events").schema
-    stream = (
-        v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(v.sf_dir)
-    )
+    """The event table as a stream, its local timestamps read as UTC; a folder or a single file."""
+    path = f"{v.sf_dir.rstrip('/')}/events.parquet"
+    reader = v.spark.readStream.schema(v.table("events").schema)
+    file = v.spark._jvm.org.apache.hadoop.fs.Path(path)
+    if file.getFileSystem(v.spark._jsc.hadoopConfiguration()).getFileStatus(file).isDirectory():
+        stream = reader.parquet(path)
+    else:  # a file source watches folders
+        stream = reader.option("pathGlobFilter", "events.parquet").parquet(v.sf_dir)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -40,16 +43,19 @@ def stream_weekly_activity(v):
 
 
 @register("stream_reposts", """
-    WITH daily AS (SELECT DISTINCT user_id AS company, event_type AS title, event_id % 5 AS url, CAST(ts AS DATE) AS day FROM events),
-    ends AS (SELECT company, title, day + CAST(k + 1 AS INTEGER) AS window_end FROM daily, range(0, 7) r(k))
-    SELECT CAST(company AS VARCHAR) AS company, title, window_end, count(*) AS urls FROM ends
-    GROUP BY ALL HAVING count(*) >= 2 AND window_end <= (SELECT max(day) - 1 FROM daily)""")
+    WITH daily AS (SELECT company, title, day, count(*) AS n FROM (
+        SELECT DISTINCT user_id AS company, event_type AS title, event_id % 5 AS url, CAST(ts AS DATE) AS day FROM events)
+        GROUP BY ALL),
+    windows AS (SELECT company, title, day, sum(n) OVER (PARTITION BY company, title ORDER BY day
+        RANGE BETWEEN INTERVAL 89 DAYS PRECEDING AND CURRENT ROW) AS urls FROM daily)
+    SELECT CAST(company AS VARCHAR) AS company, title, CAST(day + INTERVAL 1 DAY AS DATE) AS window_end,
+        urls::BIGINT AS urls FROM windows WHERE urls >= 2""")
 def stream_reposts(v):
     postings = event_stream(v).select(
         "ts", F.col("user_id").cast("string").alias("company"), F.col("event_type").alias("title"),
         (F.col("event_id") % 5).cast("string").alias("url"),
     )
-    return jobs.run_to_table(activity.stream_reposts(postings, days=7, n=2), "append").drop("batch_id")
+    return activity.stream_reposts(postings)
 
 
 def touches_of(events):
@@ -60,4 +66,4 @@ def touches_of(events):
 @register("stream_follow_up_timers")
 def stream_follow_up_timers(v):
     stream = timers.stream_follow_up_timers(touches_of(event_stream(v)))
-    return jobs.run_to_table(stream, "append").drop("batch_id")
+    return jobs.run_to_table(stream, "append", settings=timers.SETTINGS).drop("batch_id")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from oppflow.functions.text import iso_week
+from oppflow.streaming.jobs import run_to_table
 
 
 def stream_weekly_activity(rows: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -16,19 +18,40 @@ def stream_weekly_activity(rows: DataFrame, delay: str = "1 day") -> DataFrame:
     ).select(iso_week(F.to_date("w.start")).alias("week"), "rows")
 
 
-def stream_reposts(postings: DataFrame, days: int = 90, n: int = 2, delay: str = "1 day") -> DataFrame:
-    """Roles posted n or more times within a sliding window of days.
+def stream_daily_postings(postings: DataFrame, delay: str = "1 day") -> DataFrame:
+    """URLs per role and day so far, to be written in update mode.
 
-    A URL counts once per day.  Its repeats are dropped before the windows, so what
-    enters the many windows of a role is one row per URL and day.
+    A URL counts once per day.  The state holds one number per role and day, and the
+    URLs of the days that the watermark has not passed.
     """
     daily = (
         postings.select(F.date_trunc("day", "ts").alias("day"), "company", "title", "url")
         .withWatermark("day", delay).dropDuplicates(["day", "company", "title", "url"])
     )
-    sliding = F.window("day", f"{days} days", "1 day")
-    return (
-        daily.groupBy(sliding.alias("w"), "company", "title").agg(F.count(F.lit(1)).alias("urls"))
-        .filter(F.col("urls") >= n)
-        .select("company", "title", F.to_date("w.end").alias("window_end"), "urls")
+    return daily.groupBy(F.window("day", "1 day").alias("w"), "company", "title").agg(
+        F.count(F.lit(1)).alias("urls")
+    ).select(F.to_date("w.start").alias("day"), "company", "title", "urls")
+
+
+def repost_windows(daily: DataFrame, days: int = 90, n: int = 2) -> DataFrame:
+    """Roles posted n or more times within the days up to one of their postings.
+
+    ``daily`` is what the stream has written: the latest count of a role and day holds.
+    """
+    latest = daily.groupBy("company", "title", "day").agg(F.max_by("urls", "batch_id").alias("urls"))
+    window = (
+        Window.partitionBy("company", "title").orderBy(F.unix_date("day")).rangeBetween(-(days - 1), 0)
+    )
+    return latest.withColumn("urls", F.sum("urls").over(window)).filter(F.col("urls") >= n).select(
+        "company", "title", F.date_add("day", 1).alias("window_end"), "urls"
+    )
+
+
+def stream_reposts(
+    postings: DataFrame, days: int = 90, n: int = 2, delay: str = "1 day", path: str | None = None,
+    checkpoint: str | None = None,
+) -> DataFrame:
+    """Reposted roles after all that has arrived; windows that are still open count too."""
+    return repost_windows(
+        run_to_table(stream_daily_postings(postings, delay), "update", path, checkpoint), days, n
     )

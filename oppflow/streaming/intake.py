@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oppflow.operators.scan import dedup_within_scan
 from oppflow.operators.seen import new_postings, seen_keys
 from oppflow.session import durable, scratch_path
+from oppflow.streaming.jobs import batch_table, run_batches
 
 
 def in_flight(postings: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -17,40 +19,36 @@ def in_flight(postings: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
-def stream_intake(postings: DataFrame, known: DataFrame, path: str | None = None,
-                  delay: str = "1 day") -> DataFrame:
+def stream_intake(
+    postings: DataFrame, known: DataFrame, path: str | None = None, checkpoint: str | None = None,
+    delay: str = "1 day",
+) -> DataFrame:
     """Process all available postings and return the accepted ones.
 
     The watermark only bounds repeats in flight.  What was ever accepted is decided
-    by the written history: each batch is compared with ``known`` and with all
-    earlier batches, and replaces its own folder when it is run again.
+    by a table of keys: those of ``known`` are written once, each batch appends the
+    keys of what it accepted, and a batch that is run again replaces its own part.
+    With ``path`` and ``checkpoint`` of the caller's the next call carries on.
     """
     spark: SparkSession = postings.sparkSession
     path = path or scratch_path(spark, "intake")
     columns = [c for c in postings.columns if c != "ts"]
-    base = seen_keys(known)
-
-    def accepted_before(batch_id: int) -> DataFrame | None:
-        if batch_id == 0:
-            return None
-        earlier = [f"{path}/batch_id={i}" for i in range(batch_id)]
-        return seen_keys(spark.read.parquet(*earlier))
+    keys = f"{path}/keys"
+    key_schema = T.StructType().add("kind", "string").add("key", "string")
+    if batch_table(spark, keys, key_schema).isEmpty():
+        seen_keys(known).write.mode("overwrite").parquet(f"{keys}/batch_id=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = durable(batch.select(*columns))
-        earlier = accepted_before(batch_id)
-        seen = base if earlier is None else base.unionByName(earlier)
-        fresh = dedup_within_scan(new_postings(rows, seen))
-        fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    query = (
-        in_flight(postings, delay).writeStream.foreachBatch(write)
-        .option("checkpointLocation", scratch_path(spark, "offsets"))
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    schema = postings.select(*columns).schema
-    return spark.read.schema(schema).parquet(f"{path}/batch_id=*")
+        seen = batch_table(spark, keys, key_schema).filter(F.col("batch_id") < batch_id)
+        fresh = dedup_within_scan(new_postings(rows, seen.select("kind", "key")))
+        accepted = f"{path}/accepted/batch_id={batch_id}"
+        fresh.write.mode("overwrite").parquet(accepted)
+        written = spark.read.schema(batch.select(*columns).schema).parquet(accepted)
+        seen_keys(written).write.mode("overwrite").parquet(f"{keys}/batch_id={batch_id}")
+
+    run_batches(in_flight(postings, delay), "append", write, checkpoint)
+    return batch_table(spark, f"{path}/accepted", postings.select(*columns).schema).drop("batch_id")
 
 
 def event_postings(events: DataFrame) -> DataFrame:

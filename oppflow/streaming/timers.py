@@ -13,7 +13,11 @@ from oppflow.functions import fixed
 
 OUTPUT = "app long, day date, state string"
 STATE = "applied date, last date, sent int, state string"
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# What the session must be set to while the query is started and run.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
 DAY = dt.timedelta(days=1)
 
 
@@ -148,11 +152,9 @@ def stream_follow_up_timers(events: DataFrame, cfg: dict | None = None, delay: s
     """Transitions of every application as event time passes.
 
     ``events`` is (ts, app, kind).  A timer fires when the watermark passes its day;
-    events after retirement change nothing.
+    events after retirement change nothing.  Start the query under ``SETTINGS``.
     """
     cfg = {**fixed.CADENCE, "retire_days": fixed.RETIRE_DAYS, **(cfg or {})}
-    spark = events.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return daily_touches(events, delay).groupBy("app").transformWithStateInPandas(
         FollowUpTimers(cfg), OUTPUT, "append", "eventTime"
     )
