@@ -32,10 +32,9 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` of every node that has a link, from links ``u, v``; a component is its smallest id."""
-    now = written(links.select("u", "v").where("u <> v").distinct(), "links")
-    state = None
+    now, state = links.select("u", "v").where("u <> v"), None
     while True:
-        now = written(_small_star(_large_star(now)), "stars")
+        now = written(_small_star(_large_star(now)), "stars", per_core=1)
         found = now.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
         ).first()

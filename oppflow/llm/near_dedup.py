@@ -11,9 +11,10 @@ Which pairs are compared, without listing all pairs of a group:
 2. In every band bucket each member is compared with the bucket's smallest id; links found this way
    give first components.
 3. Buckets whose members are in more than one component are worked through: members outside the
-   bucket's largest component are compared with all members, in blocks of ``BLOCK`` rows that are dealt
-   over the tasks.  A pair is looked at in the first band that it shares only.  Pairs within a component
-   need no comparison, whatever they are.
+   bucket's largest component are compared with all members, in blocks of rows that are dealt over the
+   tasks.  A pair is looked at in the first band that it shares only, its sketches first; only rows
+   that are left with a partner fetch their sets.  Pairs within a component need no comparison, whatever
+   they are.
 So every pair that meets in a band and is not yet known to be connected is compared, and no link between
 components is left out.  A pair at the threshold of 0.8 meets in no band with probability 5e-8, and its
 estimate falls below the margin of ``MARGIN`` with probability 1e-8.
@@ -34,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oppflow.llm.batches import sliced
 from oppflow.llm.components import components
 from oppflow.llm.tables import whole_text, without, written
 
@@ -41,7 +43,8 @@ WORDS = 5
 THRESHOLD = 80  # per cent
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 MARGIN = 0.21
-BLOCK = 1000
+#: Shingles of the rows in a block, on average; a row's set has eight bytes for each.
+BLOCK = 1_000_000
 #: Candidate ids that are sent to every task to pick their texts; beyond it ids and texts are joined.
 BROADCAST_IDS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -101,7 +104,7 @@ def _signatures(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
     kind = dict(df.dtypes)[id_col]
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingles(t, words) for t in batch.pop("_text")]
             yield batch.assign(
                 n=[len(s) for s in sets], digest=[xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
@@ -133,7 +136,7 @@ def _sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int,
     kind = dict(df.dtypes)[id_col]
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingles(t, words) for t in batch.pop("_text")]
             yield batch.assign(
                 digest=[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], set=[s.tobytes() for s in sets]
@@ -145,19 +148,27 @@ def _sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int,
     return made.join(ids, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).drop("digest")
 
 
-def _star_links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs that are links.  Estimates come first, sets are only fetched for what they leave."""
-    margin = threshold / 100 - MARGIN
+def _likely(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """The pairs whose sizes and sketches allow a link."""
+    margin, kind = threshold / 100 - MARGIN, dict(pairs.dtypes)["u"]
     side = lambda name: classes.select(F.col("id").alias(name), F.col("sketch").alias(f"s{name}"), F.col("n").alias(f"n{name}"))
 
     def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                su = np.frombuffer(b"".join(batch["su"]), dtype="<u2").reshape(-1, REGISTERS)
-                sv = np.frombuffer(b"".join(batch["sv"]), dtype="<u2").reshape(-1, REGISTERS)
-                batch = batch[estimate((su == sv).sum(axis=1)) >= margin]
+                equal = _registers(batch["su"]) == _registers(batch["sv"])
+                batch = batch[estimate(equal.sum(axis=1)) >= margin]
             yield batch[["u", "v"]]
 
+    sized = F.expr(f"100 * least(nu, nv) >= {threshold} * greatest(nu, nv)")
+    met = pairs.join(side("v"), "v").join(side("u"), "u").where(sized).select("u", "v", "su", "sv")
+    return met.mapInPandas(likely, f"u {kind}, v {kind}")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs that are links by their full sets."""
+    kind = dict(pairs.dtypes)["u"]
+
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             near = [
@@ -166,65 +177,98 @@ def _star_links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold
             ]
             yield batch.loc[near, ["u", "v"]]
 
-    kind = dict(pairs.dtypes)["u"]
-    sized = F.expr(f"100 * least(nu, nv) >= {threshold} * greatest(nu, nv)")
-    met = pairs.join(side("v"), "v").join(side("u"), "u").where(sized).select("u", "v", "su", "sv")
-    left = met.mapInPandas(likely, f"u {kind}, v {kind}")
-    both = left.join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v").join(
+    both = pairs.join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v").join(
         sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u"
     )
     return both.select("u", "v", "a", "b").mapInPandas(links, f"u {kind}, v {kind}")
 
 
-def _block_links(left: pd.DataFrame, right: pd.DataFrame | None, threshold: int) -> list[tuple]:
-    """Links between the rows of two blocks of one bucket, or within one, that join different components."""
-    margin, within = threshold / 100 - MARGIN, right is None
-    right = left if within else right
-    regs = np.frombuffer(b"".join(right["sketch"]), dtype="<u2").reshape(-1, REGISTERS)
-    own = regs if within else np.frombuffer(b"".join(left["sketch"]), dtype="<u2").reshape(-1, REGISTERS)
-    sizes, comp, ids = right["n"].to_numpy(), right["component"].to_numpy().copy(), right["id"].to_numpy()
-    mine = comp if within else left["component"].to_numpy().copy()
-    sets = [np.frombuffer(s, dtype=np.uint64) for s in right["set"]]
-    band, found = int(left["band"].iloc[0]), []
-    for i, (me, size, raw) in enumerate(zip(left["id"], left["n"], left["set"])):
-        can = (comp != mine[i]) & (100 * np.minimum(sizes, size) >= threshold * np.maximum(sizes, size))
-        if within:
-            can[: i + 1] = False
-        at = np.flatnonzero(can)
-        if not len(at):
+def _registers(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), dtype="<u2").reshape(-1, REGISTERS)
+
+
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of rows with equal ``key, o, p`` from batches that are sorted by them."""
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pd.concat([rest, batch], ignore_index=True)
+        if not len(batch):
             continue
-        equal = regs[at] == own[i]
-        if band:  # the first common band has the pair
-            earlier = equal[:, : band * BAND].reshape(len(at), band, BAND).all(axis=2).any(axis=1)
-            at, equal = at[~earlier], equal[~earlier]
-        at = at[estimate(equal.sum(axis=1)) >= margin]
-        if not len(at):
+        names = batch[["key", "o", "p"]].to_numpy()
+        cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist()]
+        for low, high in zip(cuts, cuts[1:]):
+            yield batch.iloc[low:high]
+        rest = batch.iloc[cuts[-1]:]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _candidates(group: pd.DataFrame, threshold: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Row numbers of the group's two sides, and per row of the first the rows of the second it may link to.
+
+    Within one block both sides are the same rows, and a pair is listed once.
+    """
+    o, p = int(group["o"].iloc[0]), int(group["p"].iloc[0])
+    side = group["side"].to_numpy()
+    within = p == -1 - o
+    left = np.flatnonzero(side == 0)
+    right = left if within else np.flatnonzero(side == 1)
+    if not len(left) or not len(right):
+        return left, right, [right[:0]] * len(left)
+    registers, sizes = _registers(group["sketch"]), group["n"].to_numpy()
+    component, band = group["component"].to_numpy(), int(group["band"].iloc[0])
+    found = []
+    for at, i in enumerate(left):
+        can = (component[right] != component[i]) & (
+            100 * np.minimum(sizes[right], sizes[i]) >= threshold * np.maximum(sizes[right], sizes[i])
+        )
+        if within:
+            can[: at + 1] = False
+        may = right[can]
+        if len(may):
+            equal = registers[may] == registers[i]
+            keep = estimate(equal.sum(axis=1)) >= threshold / 100 - MARGIN
+            if band:  # the first common band has the pair
+                keep &= ~equal[:, : band * BAND].reshape(len(may), band, BAND).all(axis=2).any(axis=1)
+            may = may[keep]
+        found.append(may)
+    return left, right, found
+
+
+def _block_links(group: pd.DataFrame, threshold: int) -> list[tuple]:
+    """Links that join different components, in a group whose rows have their sets."""
+    left, _, partners = _candidates(group, threshold)
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in group["set"]]
+    component, ids = group["component"].to_numpy().copy(), group["id"].to_numpy()
+    sizes, found = group["n"].to_numpy(), []
+    for i, may in zip(left, partners):
+        may = may[component[may] != component[i]]
+        if not len(may):
             continue
-        a = np.frombuffer(raw, dtype=np.uint64)
-        flat, lengths = np.concatenate([sets[j] for j in at]), sizes[at]
-        place = np.minimum(np.searchsorted(a, flat), len(a) - 1)
-        common = np.add.reduceat((a[place] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-        for j in at[100 * common >= threshold * (len(a) + lengths - common)]:
-            theirs = comp[j]
-            if theirs != mine[i]:
-                found.append((me, ids[j]))
-                mine[mine == theirs] = mine[i]
-                comp[comp == theirs] = mine[i]
+        mine, flat, lengths = sets[i], np.concatenate([sets[j] for j in may]), sizes[may]
+        place = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        common = np.add.reduceat((mine[place] == flat).astype(np.int64), starts)
+        for j in may[100 * common >= threshold * (len(mine) + lengths - common)]:
+            if component[j] != component[i]:
+                found.append((ids[i], ids[j]))
+                component[component == component[j]] = component[i]
     return found
 
 
-def _split_buckets(rows: DataFrame, parts: DataFrame, block: int) -> DataFrame:
+def _split_buckets(rows: DataFrame, block: int) -> DataFrame:
     """Rows of buckets with several components, copied to each pair of blocks they take part in.
 
     ``group`` names a pair of blocks, ``side`` the block within it.  Blocks of a bucket's largest
     component are only paired with blocks of its other rows.
     """
-    by_part = rows.join(parts, "id").groupBy("key", "component").agg(F.count("*").alias("m"))
+    by_part = rows.groupBy("key", "component").agg(F.sum("n").alias("m"))
     largest = by_part.groupBy("key").agg(
         F.max(F.struct("m", "component"))["component"].alias("largest"), F.count("*").alias("parts"),
         F.sum("m").alias("all"), F.max("m").alias("most"),
-    ).where("parts > 1")
-    salted = rows.join(parts, "id").join(largest, "key").withColumn("main", F.col("component") == F.col("largest"))
+    ).where("parts > 1").drop("parts")
+    salted = rows.join(largest, "key").withColumn("main", F.col("component") == F.col("largest"))
     mains = F.ceil(F.col("most") / block).cast("int")
     others = F.ceil((F.col("all") - F.col("most")) / block).cast("int")
     # Which block a row is in is a hash of its id, so no bucket is numbered in one task.
@@ -240,11 +284,41 @@ def _split_buckets(rows: DataFrame, parts: DataFrame, block: int) -> DataFrame:
             F.when(o >= F.col("own"), 0).otherwise(1).alias("side"),
         )),
     ))
-    return numbered.select("key", "band", "id", "component", F.explode(targets).alias("t")).select(
-        "key", "band", "id", "component", "t.*"
+    return numbered.select("key", "band", "id", "component", "n", F.explode(targets).alias("t")).select(
+        "key", "band", "id", "component", "n", "t.*"
     )
 
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    """Groups of blocks dealt over the tasks, each together and in order."""
+    return rows.repartition("key", "o", "p").sortWithinPartitions("key", "o", "p", "side", "id")
+
+
+def _more_links(groups: DataFrame, classes: DataFrame, sets_of, threshold: int) -> DataFrame:
+    """Links between the components of a bucket: sketches first, sets only for rows with a partner left."""
+    kind = dict(groups.dtypes)["id"]
+    columns = ["key", "band", "id", "component", "n", "o", "p", "side", "sketch"]
+    schema = f"key long, band int, id {kind}, component {kind}, n long, o int, p int, side int, sketch binary"
+
+    def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches):
+            left, _, partners = _candidates(group, threshold)
+            rows = {*left[[len(m) > 0 for m in partners]].tolist(), *(j for m in partners for j in m.tolist())}
+            if rows:
+                yield group.iloc[sorted(rows)]
+
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches):
+            found = _block_links(group, threshold)
+            if found:
+                yield pd.DataFrame(found, columns=["u", "v"])
+
+    sketched = groups.join(classes.select("id", "sketch"), "id").select(*columns)
+    active = written(_grouped(sketched).mapInPandas(paired, schema), "active")
+    sets = sets_of(active.select("id").distinct())
+    return _grouped(active.join(sets, "id")).mapInPandas(links, f"u {kind}, v {kind}")
+
+
 def near_copies(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD,
     block: int = BLOCK, broadcast_ids: int = BROADCAST_IDS,
@@ -265,25 +339,21 @@ def near_copies(
     buckets = bands.groupBy("key").agg(F.min("id").alias("u"), F.max("id").alias("top")).where("u <> top")
     met = written(bands.join(buckets.select("key", "u"), "key"), "met")
     pairs = met.where("id <> u").select("u", F.col("id").alias("v")).distinct()
-    ids = met.select("id").distinct().join(classes.select("id", "digest"), "id")
-    sets = written(_sets(df, ids, id_col, text_col, words, broadcast_ids), "sets")
-    links = written(_star_links(pairs, classes, sets, threshold), "star_links")
-    found = components(links)
-    parts = written(met.select("id").distinct().join(found, "id", "left").select(
-        "id", F.coalesce("component", "id").alias("component")
-    ), "parts")
-    groups = _split_buckets(met.select("key", "band", "id"), parts, block)
-    full = groups.join(classes.select("id", "n", "sketch"), "id").join(sets, "id")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["side", "id"])
-        within = int(group["p"].iloc[0]) < 0 and int(group["o"].iloc[0]) == -1 - int(group["p"].iloc[0])
-        left, right = group[group["side"] == 0], None if within else group[group["side"] == 1]
-        out = [] if len(left) == 0 or (right is not None and len(right) == 0) else _block_links(left, right, threshold)
-        return pd.DataFrame(out, columns=["u", "v"])
-
-    more = full.groupBy("key", "o", "p").applyInPandas(compare, f"u {kind}, v {kind}")
-    every = components(links.unionByName(written(more, "block_links")))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return _sets(df, ids.join(classes.select("id", "digest"), "id"), id_col, text_col, words, broadcast_ids)
+
+    likely = written(_likely(pairs, classes, threshold), "likely", per_core=1)
+    ends = likely.select(F.col("u").alias("id")).unionByName(likely.select(F.col("v").alias("id"))).distinct()
+    links = written(_links(likely, written(sets_of(ends), "sets"), threshold), "star_links", per_core=1)
+    stars = components(links)
+    parts = met.join(stars, "id", "left").join(classes.select("id", "n"), "id").select(
+        "key", "band", "id", F.coalesce("component", "id").alias("component"), "n"
+    )
+    more = _more_links(_split_buckets(written(parts, "parts"), block), classes, sets_of, threshold)
+    more = written(more, "block_links", per_core=1)
+    known = stars.select(F.col("id").alias("u"), F.col("component").alias("v"))
+    every = stars if more.isEmpty() else components(known.unionByName(more))
     named = classes.select("digest", "id").join(every, "id", "left").select(
         "digest", F.coalesce("component", "id").alias("component")
     )

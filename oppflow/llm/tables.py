@@ -30,10 +30,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Files per core that a written table has at most.  Every file costs the store and the executors a few calls
+#: (on a local file system a forked process), so tables with many small partitions are written with fewer.
+FILES_PER_CORE = 4
+
+
+def few_files(df: DataFrame, per_core: int = FILES_PER_CORE) -> DataFrame:
+    """``df`` in at most ``per_core`` partitions for every core of the cluster, without a shuffle."""
+    return df.coalesce(per_core * max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def written(df: DataFrame, name: str, per_core: int = FILES_PER_CORE) -> DataFrame:
     """``df`` written to the shared folder and read back: worked out once, safe from lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    few_files(df, per_core).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,7 +56,7 @@ def without(df: DataFrame, gone: DataFrame, id_col: str, text_col: str, broadcas
 
     Texts only move if there are more than ``broadcast_keys`` rows to leave out.
     """
-    gone = written(gone.select("_id", "_hash").distinct(), "gone")
+    gone = written(gone.select("_id", "_hash").distinct(), "gone", per_core=1)
     few = gone.count() <= broadcast_keys
     text = F.coalesce(df[f"`{text_col}`"].cast("string"), F.lit(""))
     same = (df[f"`{id_col}`"] == gone["_id"]) & (F.xxhash64(text) == gone["_hash"])

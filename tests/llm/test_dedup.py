@@ -93,7 +93,7 @@ def near_rows(seed, groups=25, chain=40):
     return list(zip(ids, texts))
 
 
-@pytest.mark.parametrize("seed,block,ids", [(1, 1000, 10**6), (2, 3, 10**6), (3, 5, 0)])
+@pytest.mark.parametrize("seed,block,ids", [(1, 10**6, 10**6), (2, 150, 10**6), (3, 400, 0)])
 def test_near_against_brute_force(spark, seed, block, ids):
     rows = near_rows(seed)
     got = near_copies(frame(spark, rows), words=2, block=block, broadcast_ids=ids)
@@ -110,7 +110,7 @@ def test_near_links_that_no_star_has(spark):
         for _ in range(rng.randint(3, 6)):
             copy[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(copy)))
-    got = near_copies(frame(spark, rows), words=2, block=40)
+    got = near_copies(frame(spark, rows), words=2, block=2000)
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()) == brute_force(rows, 2, 80)
 
 
