@@ -1,5 +1,5 @@
 """oppflow: opportunity-tracking analytics as Spark DataFrame operators."""
 
-from oppflow.session import configure, durable, scratch_path, shared_dir
+from oppflow.session import configure, durable, release, scratch_path, shared_dir
 
-__all__ = ["configure", "durable", "scratch_path", "shared_dir"]
+__all__ = ["configure", "durable", "release", "scratch_path", "shared_dir"]

@@ -9,7 +9,6 @@ carry another name instead of being filtered away.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -181,40 +180,29 @@ def duck_view(name: str) -> str:
     return _resolve(name, {t: t for t in TABLES}, lambda t: f"(SELECT count(*) FROM {t})")
 
 
-SINGLE_FILE_BYTES = 1 << 20
+# Tables of a fixed few rows, whatever the scale.
+FIXED_TABLES = ("region", "nation")
 
 
-@lru_cache(maxsize=256)
-def _open(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, bool]:
-    """A table and whether it is kept as one file of some size.  Opened once per
-    session, so its schema is read once."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    file = spark._jvm.org.apache.hadoop.fs.Path(path)
-    status = file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file)
-    return spark.read.parquet(path), status.isFile() and status.getLen() > SINGLE_FILE_BYTES
-
-
-def _dealt_out(df: DataFrame, one_file: bool) -> DataFrame:
-    """Rows of a one-file table spread over the cores.
-
-    One file is one task's work however many cores there are.  A table kept as a
-    folder, as any large one is, has splits enough and is read as it lies.
-    """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if one_file else df
+def _open(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return _dealt_out(*_open(spark, sf_dir, name))
-
+    """A table, dealt out over the cores if it comes in fewer splits than there are cores.
 
-@lru_cache(maxsize=256)
-def _row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
-    return _open(spark, sf_dir, name)[0].count()
+    A test table kept as one file is one task's work otherwise.  Only the number of
+    splits decides, so a table of any real size is read as it lies.
+    """
+    df, cores = _open(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    if name in FIXED_TABLES or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # The row counts come from the file footers; a subquery would scan again.
-    text = _resolve(name, {t: "{" + t + "}" for t in TABLES}, lambda t: _row_count(spark, sf_dir, t))
-    used = {t: _open(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
-    df = spark.sql(text, **{t: opened for t, (opened, _) in used.items()})
-    return _dealt_out(df, any(one_file for _, one_file in used.values()))
+    text = _resolve(
+        name, {t: "{" + t + "}" for t in TABLES}, lambda t: _open(spark, sf_dir, t).count()
+    )
+    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text})

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +24,11 @@ EXCLUDED_RULE = "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerat
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else created."""
+    """Apply the runtime settings to a session somebody else created.
+
+    They stay set: UTC and ANSI decide what the results mean, so whoever hands over a
+    session hands over these settings of it.  Call this where the session is made.
+    """
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
@@ -39,24 +42,31 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of its own: on a cluster a
-    machine-local path would lose the data together with the machine.
+    Where that is unset it is a folder of the warehouse, which the driver and the
+    executors share too; never a machine-local one, which would lose the data together
+    with the machine.
     """
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
-    current = sc.getCheckpointDir()
-    if configured:
-        if current is None:
-            sc.setCheckpointDir(configured)
-        return configured
-    if current is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="oppflow-"))
-        current = sc.getCheckpointDir()
-    return current
+    return configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+
+
+# What this process has written for itself, by session.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``durable`` and the streams wrote under the shared folder.
+
+    To be called when no frame made from them is needed any more.  Returns how many
+    there were.  Folders that a caller named are never deleted.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -73,5 +83,7 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder for a written table."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder for a written table; ``release`` deletes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
