@@ -5,7 +5,7 @@ Every operator is one partially aggregated pass with a result of fixed size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oppflow.functions import fixed
@@ -40,8 +40,12 @@ def status_funnel(apps: DataFrame) -> DataFrame:
 
 def share_of_total(counts: DataFrame, column: str, name: str) -> DataFrame:
     """Whole-number percentage of the total, for an already aggregated table."""
-    total = F.sum(column).over(Window.partitionBy())
-    return counts.withColumn(name, percent(column, total))
+    # The total is one row; a window over everything would gather the counts in one task.
+    total = counts.agg(F.sum(column).alias("_total")).withColumn("_all", F.lit(True))
+    return (
+        counts.withColumn("_all", F.lit(True)).join(F.broadcast(total), "_all")
+        .withColumn(name, percent(column, F.col("_total"))).drop("_all", "_total")
+    )
 
 
 def queue_metrics(apps: DataFrame) -> DataFrame:

@@ -241,7 +241,29 @@ DERIVED = {
 }
 
 
+def greedy(name: str, members: str) -> str:
+    """CTE ``name(pos)``: rows taken in order unless an earlier taken row shares a key.
+
+    ``members`` gives ``pos, key``.  Each step takes what is first under all its keys
+    among the undecided and drops what shares a key with an earlier taken row; the
+    statement needs ``WITH RECURSIVE``.
+    """
+    return f"""
+    {name}_steps AS (
+        SELECT pos, key, 0 AS state, 0 AS step FROM ({members})
+        UNION ALL
+        SELECT pos, key, CASE WHEN state <> 0 THEN state WHEN taken THEN 1
+               WHEN max(won < pos) OVER (PARTITION BY pos) THEN 2 ELSE 0 END, step + 1
+        FROM (SELECT *, min(CASE WHEN state = 1 OR taken THEN pos END) OVER (PARTITION BY key) AS won
+              FROM (SELECT *, state = 0 AND NOT max(earliest < pos) OVER (PARTITION BY pos) AS taken
+                    FROM (SELECT *, min(CASE WHEN state = 0 THEN pos END) OVER (PARTITION BY key) AS earliest,
+                                 max(state = 0) OVER () AS going FROM {name}_steps)))
+        WHERE going),
+    {name} AS MATERIALIZED (SELECT DISTINCT pos FROM {name}_steps
+        WHERE state = 1 AND step = (SELECT max(step) FROM {name}_steps))"""
+
+
 def with_views(views: list[str], body: str, *more: str) -> str:
     """``WITH`` the named views and further CTE texts, then the body."""
     ctes = [f"{v} AS MATERIALIZED ({duck_view(v) if v not in DERIVED else DERIVED[v]})" for v in views]
-    return "WITH " + ", ".join([*ctes, *[m.strip() for m in more]]) + " " + body
+    return "WITH RECURSIVE " + ", ".join([*ctes, *[m.strip() for m in more]]) + " " + body

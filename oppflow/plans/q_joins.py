@@ -65,17 +65,35 @@ def new_postings(v):
     return seen.new_postings(v.posting, seen_of(v)).select("pos", "url", "company", "title")
 
 
-@register("first_wins_within_scan")
+def _scan_keys(relation: str) -> str:
+    return f"""SELECT pos, 'url ' || url AS key FROM {relation}
+        UNION ALL SELECT pos, 'job ' || ({D.job_id('url')}) FROM {relation} WHERE ({D.job_id('url')}) IS NOT NULL
+        UNION ALL SELECT pos, 'role ' || {D.role_key('company', 'title')} FROM {relation}"""
+
+
+@register("first_wins_within_scan", with_views(
+    ["posting"], "SELECT pos, url, company, title FROM posting JOIN firsts USING (pos)",
+    D.greedy("firsts", _scan_keys("posting"))))
 def first_wins_within_scan(v):
     return scan.dedup_within_scan(v.posting).select("pos", "url", "company", "title")
 
 
-@register("scan_summary")
+STAGED_SQL = [SEEN_SQL, D.tier_ctes("posting"), f"""
+    judged AS MATERIALIZED (SELECT *, {TITLE_CLASS_SQL} AS class FROM posting JOIN tiers USING (location))""",
+    NEW_SQL.replace("FROM posting)", "FROM judged WHERE class = 'pass' AND keep)"),
+    D.greedy("firsts", _scan_keys("fresh")), """
+    staged AS MATERIALIZED (SELECT *, CASE WHEN class <> 'pass' THEN 'filtered by title' WHEN NOT keep THEN 'out of tier'
+        WHEN pos IN (SELECT pos FROM firsts) THEN 'new' ELSE 'duplicate' END AS stage FROM judged)"""]
+
+
+@register("scan_summary", with_views(["history", "app", "posting"], """
+    SELECT stage, count(*) AS rows FROM staged GROUP BY stage""", *STAGED_SQL))
 def scan_summary(v):
     return scan.scan_summary(scan.scan_stages(v.posting, seen_of(v), TITLE_FILTER))
 
 
-@register("new_by_tier")
+@register("new_by_tier", with_views(["history", "app", "posting"], """
+    SELECT COALESCE(tier, '?') AS tier, count(*) AS rows FROM staged WHERE stage = 'new' GROUP BY 1""", *STAGED_SQL))
 def new_by_tier(v):
     return scan.new_by_tier(scan.scan_stages(v.posting, seen_of(v), TITLE_FILTER))
 
@@ -303,7 +321,36 @@ def merge_additions(v):
     return live.select("pos", "date", "company", "role", "priority", "status", "url", "notes")
 
 
-@register("dedup_clusters")
+_PROGRESS = "CASE lower(status) " + " ".join(
+    f"WHEN '{k}' THEN {n}" for k, n in dedup.fixed.ADVANCEMENT.items()) + " ELSE 0 END"
+
+
+@register("dedup_clusters", with_views(["app"], """
+    SELECT k.pos, CASE WHEN b.furthest.progress > k.progress THEN b.furthest.status ELSE k.status END AS status,
+           size AS cluster_size, NULLIF(size - 1, 0) AS removed
+    FROM best b JOIN clustered k ON k.pos = -b.keep.back""", f"""
+    bagged AS MATERIALIZED (SELECT pos, file, {D.company_words('company')} AS block, status, score, {_PROGRESS} AS progress,
+        list_sort({D.dedup_bag('role')}) AS bag FROM app),
+    sigs AS MATERIALIZED (SELECT file, block, bag, min(pos) AS pos FROM bagged GROUP BY ALL),
+    edges AS MATERIALIZED (
+        SELECT a.pos AS a, b.pos AS b FROM sigs a JOIN sigs b ON a.file = b.file AND a.block = b.block AND a.pos < b.pos
+        WHERE len(a.bag) >= 2 AND len(b.bag) >= 2 AND len(list_filter(a.bag, lambda w: list_contains(b.bag, w))) >= 2
+          AND len(list_filter(a.bag, lambda w: list_contains(b.bag, w))) * 10 >= least(len(a.bag), len(b.bag)) * 6)""",
+    D.greedy("seeds", """SELECT unnest([a, b]) AS pos, a || ' ' || b AS key FROM edges
+        UNION ALL SELECT pos, 'own ' || pos FROM sigs WHERE len(bag) >= 2"""), """
+    doubled AS MATERIALIZED (SELECT file, block, word, min(pos) AS pos FROM (
+        SELECT file, block, pos, bag, unnest(list_distinct(bag)) AS word FROM sigs WHERE pos IN (SELECT pos FROM seeds))
+        WHERE len(list_filter(bag, lambda w: w = word)) >= 2 GROUP BY ALL),
+    of_sig AS MATERIALIZED (SELECT s.file, s.block, s.bag, COALESCE(least(s.pos, min(e.a)), s.pos) AS seed
+        FROM sigs s LEFT JOIN edges e ON e.b = s.pos AND e.a IN (SELECT pos FROM seeds)
+        WHERE len(s.bag) >= 2 GROUP BY s.file, s.block, s.bag, s.pos),
+    clustered AS MATERIALIZED (SELECT r.*, CASE WHEN len(r.bag) = 1 AND d.pos < r.pos THEN d.pos
+            ELSE COALESCE(o.seed, r.pos) END AS seed
+        FROM bagged r LEFT JOIN of_sig o ON o.file = r.file AND o.block = r.block AND o.bag = r.bag
+        LEFT JOIN doubled d ON d.file = r.file AND d.block = r.block AND r.bag = [d.word]),
+    best AS MATERIALIZED (SELECT seed, count(*) AS size, max({'score': score, 'back': -pos}) AS keep,
+        max({'progress': progress, 'score': score, 'back': -pos, 'status': status}) AS furthest
+        FROM clustered GROUP BY seed)"""))
 def dedup_clusters(v):
     kept, removed = dedup.dedup_clusters(v.app)
     return kept.select("pos", "status", "cluster_size").join(

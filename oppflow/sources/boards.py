@@ -58,36 +58,45 @@ def _fields(provider: str, j: Column) -> dict[str, Column]:
 PROVIDERS = list(SCHEMAS)
 
 
+def _postings(provider: str, payload: Column) -> Column:
+    """The postings of one provider's payload as an array; NULL for another shape."""
+    is_list = SCHEMAS[provider].startswith("array")
+    # A lone object would be read as a list of one, so the root is checked first.
+    root = F.ltrim(payload).startswith("[" if is_list else "{")
+    parsed = F.when(root, F.from_json(payload, SCHEMAS[provider]))
+
+    def posting(job: Column) -> Column:
+        f = _fields(provider, job)
+        return F.struct(
+            first_filled(f["title"]).alias("title"), first_filled(f["url"]).alias("url"),
+            first_filled(f["location"]).alias("location"), to_posted_date(f["posted"]).alias("posted"),
+            F.lit(f"{provider}-api").alias("source"),
+        )
+
+    return F.transform(parsed if is_list else parsed["jobs"], posting)
+
+
+def _exploded(raw: DataFrame, postings: Column) -> DataFrame:
+    return raw.select("company", F.posexplode(postings).alias("ordinal", "j")).select(
+        "company", F.col("ordinal").cast("bigint").alias("ordinal"), "j.*"
+    )
+
+
 def parse_board(raw: DataFrame, provider: str) -> DataFrame:
     """Postings of one provider's payloads; ``raw`` is ``(company, payload)``.
 
     A payload of the wrong shape yields no rows.
     """
-    is_list = SCHEMAS[provider].startswith("array")
-    # A lone object would be read as a list of one, so the root is checked first.
-    root = F.ltrim("payload").startswith("[" if is_list else "{")
-    parsed = F.when(root, F.from_json(F.col("payload"), SCHEMAS[provider]))
-    jobs = parsed if is_list else parsed["jobs"]
-    exploded = raw.select("company", F.posexplode(jobs).alias("ordinal", "j"))
-    f = _fields(provider, F.col("j"))
-    return exploded.select(
-        "company", F.col("ordinal").cast("bigint").alias("ordinal"),
-        first_filled(f["title"]).alias("title"), first_filled(f["url"]).alias("url"),
-        first_filled(f["location"]).alias("location"),
-        to_posted_date(f["posted"]).alias("posted"),
-        F.lit(f"{provider}-api").alias("source"),
-    )
+    return _exploded(raw, _postings(provider, F.col("payload")))
 
 
 def ingest_postings(raw: DataFrame, providers: list[str] | None = None) -> DataFrame:
-    """One posting table from ``(company, provider, payload)`` rows of all boards."""
-    parts = [
-        parse_board(raw.filter(F.col("provider") == p), p) for p in (providers or PROVIDERS)
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """One posting table from ``(company, provider, payload)`` rows of all boards, in one scan."""
+    chosen, (first, *others) = F.col("provider"), providers or PROVIDERS
+    postings = F.when(chosen == first, _postings(first, F.col("payload")))
+    for provider in others:
+        postings = postings.when(chosen == provider, _postings(provider, F.col("payload")))
+    return _exploded(raw, postings)
 
 
 def detect_board(api, careers_url) -> Column:

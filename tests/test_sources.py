@@ -150,3 +150,12 @@ def test_sinks(spark, tmp_path):
     sinks.write_document(df, str(tmp_path / "doc"))
     sinks.write_review(df, str(tmp_path / "review"))
     assert spark.read.json(str(tmp_path / "doc")).first().url == "u"
+
+
+def test_ingest_reads_the_payloads_once(spark, sf_dir):
+    from oppflow.plans.queries import QUERIES
+
+    plan = QUERIES["ingest_postings"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation ") == 1
+    shares = QUERIES["share_of_total"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in shares
