@@ -51,22 +51,37 @@ def missing_subtitles(text: Column) -> Column:
     )
 
 
+#: The rule about the title that a résumé claims; a letter may name the role it is written for.
+TITLE_RULE = "TITLE_WITH_PRODUCT"
+
+
 def lint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                   rules: list | None = None) -> DataFrame:
-    """``(key, label, sample)`` for every rule a text breaks, with the first finding."""
+                   rules: list | None = None, name: str | None = None) -> DataFrame:
+    """``(key, label, sample)`` for every rule a text breaks, with the first finding.
+
+    ``name`` is a column with the document's file name, which tells its kind: the dash and
+    subtitle rules are about Markdown and pass over HTML, the title rule passes over cover
+    letters.  Without a name every rule applies.
+    """
     c = F.col(text)
+    named = F.lower(F.coalesce(F.col(name), F.lit(""))) if name else F.lit("")
+    markdown = ~named.endswith(".html")
+    letter = F.contains(named, F.lit("cover letter"))
 
-    def finding(label, sample):
-        return F.when(sample.isNotNull(), F.struct(F.lit(label).alias("label"), sample.alias("sample")))
+    def finding(label, sample, applies=None):
+        broken = sample.isNotNull() if applies is None else applies & sample.isNotNull()
+        return F.when(broken, F.struct(F.lit(label).alias("label"), sample.alias("sample")))
 
     found = [
-        finding(label, F.left(blank_to_null(F.regexp_extract(c, ascii_bounds(pattern), 0)), F.lit(SAMPLE)))
+        finding(label, F.left(blank_to_null(F.regexp_extract(c, ascii_bounds(pattern), 0)), F.lit(SAMPLE)),
+                ~letter if label == TITLE_RULE else None)
         for label, pattern in (rules or fixed.LINT_RULES)
     ]
     stripped = dash_text(c)
-    found.append(finding("DASH_IN_MD", F.when(stripped.rlike("[—–]"), F.left(stripped, F.lit(SAMPLE)))))
+    dash = F.when(stripped.rlike("[—–]"), F.left(stripped, F.lit(SAMPLE)))
+    found.append(finding("DASH_IN_MD", dash, markdown))
     subtitles = F.transform(
-        missing_subtitles(c),
+        F.when(markdown, missing_subtitles(c)).otherwise(F.array().cast("array<string>")),
         lambda s: F.struct(F.lit("MISSING_PRODUCT_SUBTITLE").alias("label"), s.alias("sample")),
     )
     return docs.select(

@@ -421,18 +421,36 @@ def min_age_filter(v):
 # --- corpus rules --------------------------------------------------------------
 def _lint_sql() -> str:
     parts = [
-        f"SELECT doc_id, {D.quote(label)} AS label, substr(regexp_extract(text, {D.quote(p)}), 1, 80) AS sample "
-        f"FROM doc WHERE regexp_matches(text, {D.quote(p)})"
+        f"SELECT doc_id, {D.quote(label)} AS label, substr(regexp_extract(body, {D.quote(p)}), 1, 80) AS sample "
+        f"FROM linted WHERE regexp_matches(body, {D.quote(p)})"
+        + (" AND name NOT LIKE '%cover letter%'" if label == corpus.TITLE_RULE else "")
         for label, p in LINT
     ]
     day = "(?:(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\\s+)?\\d{4}"
-    dash = (f"regexp_replace(regexp_replace(text, '({day})\\s*[–—]\\s*({day}|Present|present)', '\\1-\\2', 'g'), "
+    dash = (f"regexp_replace(regexp_replace(body, '({day})\\s*[–—]\\s*({day}|Present|present)', '\\1-\\2', 'g'), "
             "'`[^`\\n]*`', '``', 'g')")
-    parts.append(f"SELECT doc_id, 'DASH_IN_MD', substr(d, 1, 80) FROM (SELECT doc_id, {dash} AS d FROM doc) "
-                 "WHERE regexp_matches(d, '[—–]')")
+    parts.append(f"SELECT doc_id, 'DASH_IN_MD', substr(d, 1, 80) FROM (SELECT doc_id, name, {dash} AS d FROM linted) "
+                 "WHERE regexp_matches(d, '[—–]') AND NOT ends_with(name, '.html')")
+    parts.append("""SELECT doc_id, 'MISSING_PRODUCT_SUBTITLE', substr(trim(string_split(string_split(job, chr(10))[1], '|')[1]), 1, 40)
+        FROM (SELECT doc_id, unnest(string_split_regex(list_filter(string_split_regex(body, '(?m)^## '),
+                  lambda s: regexp_matches(s, '^(?i:(?:Work )?Experience)'))[1], '(?m)^### ')[2:]) AS job
+              FROM linted WHERE NOT ends_with(name, '.html'))
+        WHERE contains(string_split(job, chr(10))[1], '|') AND NOT regexp_matches(job, '(?m)^[_*]{0,2}Product:')""")
     return " UNION ALL ".join(parts)
 
 
+# Each text gets a section of its own and a name, so that every rule and every kind of document is met.
+_SECTION = """text || CASE doc_id % 5
+    WHEN 0 THEN concat(chr(10), '## Work Experience', chr(10), '### Acme ', doc_id, ' | PM | 2020', chr(10), 'Nov 2020 – Present',
+        chr(10), '### Beta | PM', chr(10), '_Product:_ Maps', chr(10), '### Side notes', chr(10), '## Projects', chr(10), '### Own | live')
+    WHEN 1 THEN concat(chr(10), 'Senior Product Manager, Platform — with `a — b`; strong match for ', doc_id, ' engineers')
+    WHEN 2 THEN concat(chr(10), 'Spearheaded 12,000 repos -- scaling Portfolio Management; שלום')
+    WHEN 3 THEN concat(chr(10), 'I lead the Internal Developer Platform team in 2019 – 2021')
+    ELSE '' END"""
+_NAME = """CASE doc_id % 3 WHEN 0 THEN concat('cv ', doc_id, '.md') WHEN 1 THEN concat('cover letter ', doc_id, '.md')
+    ELSE concat('cv ', doc_id, '.html') END"""
+
+
 # The corpus is invented prose, so rules of the same kind over its own words are added.
 LINT = fixed.LINT_RULES + [
     ("REPEATED_THE", r"(?i)\bthe the\b"),
@@ -441,9 +459,11 @@ LINT = fixed.LINT_RULES + [
 ]
 
 
-@register("lint_documents", with_views(["doc"], _lint_sql()))
+@register("lint_documents", with_views(
+    ["doc"], _lint_sql(), f"linted AS MATERIALIZED (SELECT doc_id, {_SECTION} AS body, {_NAME} AS name FROM doc)"))
 def lint_documents(v):
-    return corpus.lint_documents(v.doc, rules=LINT)
+    docs = v.doc.select("doc_id", F.expr(_SECTION).alias("text"), F.expr(_NAME).alias("name"))
+    return corpus.lint_documents(docs, rules=LINT, name="name")
 
 
 # Each text gets a closing line with a figure of its own, as the corpus holds few.

@@ -223,3 +223,14 @@ def test_views_keep_every_row(spark, sf_dir):
     for view, name in (("outcome", "orders"), ("followup", "lineitem"), ("history", "lineitem"),
                        ("exclusion", "customer"), ("addition", "orders"), ("posting", "orders"), ("app", "orders")):
         assert spark_view(spark, sf_dir, view).count() == table(spark, sf_dir, name).count(), view
+
+
+def test_lint_by_kind(spark):
+    from oppflow.operators.corpus import lint_documents
+
+    text = "Senior Product Manager, AI — x\n## Experience\n### Acme | PM\nnone"
+    rows = [(1, text, "cv.md"), (2, text, "Cover Letter x.md"), (3, text, "cv.HTML"), (4, text, None)]
+    found = lint_documents(spark.createDataFrame(rows, "doc_id long, text string, name string"), name="name").collect()
+    labels = {i: sorted(r.label for r in found if r.doc_id == i) for i in range(1, 5)}
+    every = ["DASH_IN_MD", "MISSING_PRODUCT_SUBTITLE", "TITLE_WITH_PRODUCT"]
+    assert labels == {1: every, 2: every[:2], 3: every[2:], 4: every}
