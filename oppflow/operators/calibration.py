@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from oppflow.functions.classify import normalize_status, score_band
 from oppflow.functions.stats import fixed_places, pearson, rate, wilson
 from oppflow.functions.text import days_between, effective_applied_date
 from oppflow.operators.funnel import count_if, literal_rows
+from oppflow.session import durable
 
 SCORES = ["priority", "fit", "odds"]
 
@@ -131,3 +134,27 @@ def median_stages(sent: DataFrame) -> DataFrame:
     return sent.filter("contact = 1").agg(
         F.coalesce(F.percentile("stages_passed", 0.5), F.lit(0.0)).alias("median_stages")
     )
+
+
+def calibration_document(sent: DataFrame, outcomes: DataFrame, days: int = 0) -> DataFrame:
+    """The calibration as ``(section, document)`` rows for a JSON sink.
+
+    The figures cover applications of at least ``days`` days; the two checks cover all.  Every
+    section is an aggregate of fixed size, so gathering its rows is safe; of the lines that
+    match nothing only the number is kept, ``orphan_outcomes`` and ``report_mismatch`` list them.
+    """
+    sent = durable(sent)  # read by every section
+    scoped = min_age(sent, days) if days else sent
+    count = F.count(F.lit(1)).alias("rows")
+    sections = {
+        "base_rate": base_rate(scoped), "correlation": score_correlation(scoped),
+        "bands": banded_rates(scoped), "gates": gate_options(scoped),
+        "furthest_stage": furthest_stage_histogram(scoped), "stages": median_stages(scoped),
+        "orphans": orphan_outcomes(sent, outcomes).agg(count), "mismatches": report_mismatch(sent).agg(count),
+    }
+    rows = [
+        df.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*df.columns)))).alias("document"))
+        .select(F.lit(name).alias("section"), "document")
+        for name, df in sections.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)

@@ -354,6 +354,25 @@ def recommendations(v):
     return patterns.recommendations(enriched_of(v))
 
 
+# Documents are compared by what they say: one row per figure of a section.
+@register("calibration_document", with_views(COHORT_VIEWS, f"""
+    SELECT 'base_rate' AS section, 'n' AS item, count(*)::DOUBLE AS figure FROM cohort
+    UNION ALL SELECT 'base_rate', 'k', COALESCE(sum(contact), 0) FROM cohort
+    UNION ALL SELECT 'correlation', s, r FROM (""" + " UNION ALL ".join(
+    f"SELECT '{s}' AS s, {places(f'corr({s}, contact)', 6)} AS r FROM cohort" for s in calibration.SCORES) + """)
+    UNION ALL SELECT 'orphans', 'rows', count(*) FROM outcome
+        WHERE (company, date) NOT IN (SELECT (company, date) FROM cohort WHERE contact = 1)
+    UNION ALL SELECT 'mismatches', 'rows', count(*) FROM cohort WHERE contact = 1 AND outcome_report <> num""", COHORT_SQL))
+def calibration_document(v):
+    documents = calibration.calibration_document(cohort_of(v), v.outcome)
+    rows = documents.select("section", F.explode(F.from_json(
+        "document", "array<struct<n:double,k:double,score:string,r:double,rows:double>>")).alias("x"))
+    figures = [(F.lit(n), F.col(f"x.{n}")) for n in ("n", "k", "rows")] + [(F.col("x.score"), F.col("x.r"))]
+    items = F.array(*[F.struct(name.alias("item"), value.alias("figure")) for name, value in figures])
+    return rows.where("section IN ('base_rate', 'correlation', 'orphans', 'mismatches')").select(
+        "section", F.explode(items).alias("i")).select("section", "i.item", "i.figure").where("figure IS NOT NULL")
+
+
 @register("analysis_document")
 def analysis_document(v):
     return patterns.analysis_document(enriched_of(v))

@@ -324,6 +324,33 @@ def report_header_links(v):
     return df.select("p_partkey", *[c.alias(n) for n, c in reports.report_header_links("text").items()])
 
 
+# The four list cells in every spelling, some missing, some longer than the list shows.
+_SUMMARY = """concat('# Report ', num, chr(10),
+    CASE num % 3 WHEN 0 THEN concat('| **Arquetipo detectado** | AI ', p_name, ' |') WHEN 1 THEN concat('**Arquetipo:** Platform ', p_size)
+        ELSE '' END, chr(10),
+    CASE num % 4 WHEN 0 THEN concat('| **TL;DR** | ', repeat(concat(p_name, ' '), p_size), ' |') WHEN 1 THEN concat('**tl;dr:**  short ', num, '  ||')
+        WHEN 2 THEN '' ELSE concat('| **TL;DR** | ', num, ' |', chr(10), '**TL;DR:** not this') END, chr(10),
+    '| **Remote** | Hybrid ', num % 7, ' | ', chr(10),
+    CASE num % 5 WHEN 0 THEN '' ELSE concat('**Comp** | ', num, '-', num + 10, 'k || ') END)"""
+
+
+def _summary_sql(*patterns: str) -> str:
+    cells = ", ".join(f"NULLIF(regexp_extract(body, {D.quote(p)}, 1), '')" for p in patterns)
+    return f"trim(rtrim(trim(COALESCE({cells})), '|'))"
+
+
+@register("report_summary", with_views(["report_source"], f"""
+    SELECT num, {_summary_sql('(?i)\\*\\*Arquetipo(?:\\s+detectado)?\\*\\*\\s*\\|\\s*(.+)', '(?i)\\*\\*Arquetipo:\\*\\*\\s*(.+)')} AS archetype,
+        CASE WHEN length(t) > 120 THEN substr(t, 1, 117) || '...' ELSE t END AS tldr,
+        {_summary_sql('(?i)\\*\\*Remote\\*\\*\\s*\\|\\s*(.+)')} AS remote,
+        {_summary_sql('(?i)\\*\\*Comp\\*\\*\\s*\\|\\s*(.+)')} AS comp
+    FROM (SELECT *, {_summary_sql('(?i)\\*\\*TL;DR\\*\\*\\s*\\|\\s*(.+)', '(?i)\\*\\*TL;DR:\\*\\*\\s*(.+)')} AS t FROM summaries)""",
+    f"summaries AS MATERIALIZED (SELECT num, {_SUMMARY} AS body FROM report_source)"))
+def report_summary(v):
+    df = v.report_source.select("num", F.expr(_SUMMARY).alias("text"))
+    return df.select("num", *[c.alias(n) for n, c in reports.report_summary("text").items()])
+
+
 # Facts a real corpus rarely carries: prose is scanned whole and yields nothing or noise.
 @register("parse_reports_corpus", with_views(["doc"], """
     SELECT doc_id, NULL::VARCHAR AS archetype, 0::BIGINT AS gaps FROM doc"""))

@@ -69,9 +69,15 @@ def report_summary(text) -> dict[str, Column]:
     }
 
 
-def report_header_links(text) -> dict[str, Column]:
-    """URL and batch id from a report's first 1000 characters."""
-    head = F.left(as_col(text), F.lit(1000))
+def report_header_links(text, first_chars: int | None = None) -> dict[str, Column]:
+    """URL and batch id from a report's header, the text up to its first table.
+
+    ``first_chars`` looks no further than that; without it the header has any length.
+    """
+    c = as_col(text)
+    head = F.left(c, F.lit(first_chars)) if first_chars else F.try_element_at(
+        F.split(c, r"(?m)^\|", 2), F.lit(1)
+    )
     return {
         "report_url": found(head, r"(?m)^\*\*URL:\*\*\s*(https?://\S+)"),
         "batch_id": found(head, r"(?m)^\*\*Batch ID:\*\*\s*(\d+)").try_cast("bigint"),
