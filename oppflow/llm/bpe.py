@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oppflow.llm.batches import sliced
 from oppflow.llm.tables import whole_text
 from oppflow.llm.tokens import Encoder, encoder
 
@@ -147,7 +148,7 @@ def bpe_encode(
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches):
             yield result(batch["_id"], enc.ids_of(batch["_text"]))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,7 +162,7 @@ def bpe_encode(
 
     def encode_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches, 64):
             yield batch.assign(_ids=enc.ids_of(batch["_text"]))
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:

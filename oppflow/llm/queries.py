@@ -16,7 +16,7 @@ from oppflow.llm.near_dedup import near_copies
 from oppflow.llm.packing import pack_documents
 from oppflow.llm.samples import remainder
 from oppflow.llm.sharding import ring_shards
-from oppflow.llm.tables import table
+from oppflow.llm.tables import few_files, table
 from oppflow.llm.token_files import token_file_round_trip
 from oppflow.llm.top_k import top_k
 
@@ -27,8 +27,10 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
+    """Register ``fn(spark, sf_dir)``; its result comes in a few partitions for every core."""
+
     def add(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: few_files(fn(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = sql
         return fn

@@ -30,14 +30,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Files per core that a written table has at most.  Every file costs the store and the executors a few calls
-#: (on a local file system a forked process), so tables with many small partitions are written with fewer.
-FILES_PER_CORE = 4
+#: Files per core that a written table has at most, or that share of the shuffle partitions if that is more.
+#: Every file costs the store and the executors a few calls (on a local file system a forked process), so tables
+#: with many small partitions are written with fewer.
+FILES_PER_CORE = 2
+PARTITIONS_PER_FILE = 8
 
 
 def few_files(df: DataFrame, per_core: int = FILES_PER_CORE) -> DataFrame:
-    """``df`` in at most ``per_core`` partitions for every core of the cluster, without a shuffle."""
-    return df.coalesce(per_core * max(1, df.sparkSession.sparkContext.defaultParallelism))
+    """``df`` in fewer partitions, without a shuffle; their number grows with the cluster and with the
+    number of shuffle partitions that the session asks for."""
+    spark = df.sparkSession
+    asked = int(spark.conf.get("spark.sql.shuffle.partitions")) * per_core // (FILES_PER_CORE * PARTITIONS_PER_FILE)
+    return df.coalesce(max(1, per_core * spark.sparkContext.defaultParallelism, asked))
 
 
 def written(df: DataFrame, name: str, per_core: int = FILES_PER_CORE) -> DataFrame:

@@ -11,8 +11,9 @@ A segment is a byte string that can be read alone:
     its chunk count; then per level its chunks (one byte each), its bitmap (padded to whole rank
     blocks) and its rank directory (unsigned 32-bit).
 
-Spark writes segments as rows of a Parquet folder, (part, segment, first_id, docs, ends, tokens,
-payload): documents in ascending id order, parts by id range, segments in order within a part.
+Spark writes segments as rows of a Parquet folder, (part, segment, first, docs, ends, tokens,
+payload): documents in ascending id order, parts by id range, segments in order within a part, of whose
+tokens ``first`` stand before the segment.
 Parquet is the container because Spark commits it task by task on any shared store.
 
 Defined cases: null text is empty and has only the end id; rows that repeat an id stand next to each
@@ -28,12 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from oppflow.llm.tables import scratch, whole_text
+from oppflow.llm.batches import sliced
+from oppflow.llm.tables import few_files, scratch, whole_text
 from oppflow.llm.tokens import encoder
 
 MAGIC = b"DAC1"
@@ -120,63 +120,67 @@ def write_token_files(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
-        docs, ids, size, number = [], [], 0, 0
+        enc, part = encoder(tokenizer), None
+        docs, ids, size, number, first = [], [], 0, 0, 0
 
         def segment() -> pd.DataFrame:
             ends = np.cumsum([len(b) // 4 for b in ids])
             return pd.DataFrame({
-                "part": [part], "segment": [number], "docs": [docs], "ends": [ends.tolist()],
+                "part": [part], "segment": [number], "first": [first], "docs": [docs], "ends": [ends.tolist()],
                 "tokens": [int(ends[-1])], "payload": [pack(np.frombuffer(b"".join(ids), dtype="<u4"))],
             })
 
-        for batch in batches:
+        for batch in sliced(batches):
             keys = [None if pd.isna(k) else k for k in batch["_id"].astype(object)]
-            for key, found in zip(keys, enc.ids_of(batch["_text"])):
+            for key, range_, found in zip(keys, batch["_part"].tolist(), enc.ids_of(batch["_text"])):
+                if range_ != part:  # a task may write several ranges, one after the other
+                    if docs:
+                        yield segment()
+                    docs, ids, size, number, first, part = [], [], 0, 0, 0, range_
                 docs.append(key)
                 ids.append(found + end)
                 size += len(ids[-1]) // 4
                 if size >= segment_tokens:
                     yield segment()
-                    docs, ids, size, number = [], [], 0, number + 1
+                    docs, ids, size, number, first = [], [], 0, number + 1, first + size
         if docs:
             yield segment()
 
     docs = df.select(F.col(f"`{id_col}`").alias("_id"), whole_text(text_col).alias("_text"))
     order = [F.col("_id").asc_nulls_first(), F.xxhash64("_text")]
-    docs.repartitionByRange(order[0]).sortWithinPartitions(*order).mapInPandas(
-        segments, f"part int, segment int, docs array<{kind}>, ends array<long>, tokens long, payload binary"
-    ).write.parquet(path)
+    ranges = docs.repartitionByRange(order[0]).sortWithinPartitions(*order)
+    few_files(ranges.withColumn("_part", F.spark_partition_id()).mapInPandas(
+        segments, f"part int, segment int, first long, docs array<{kind}>, ends array<long>, tokens long, payload binary"
+    )).write.parquet(path)
 
 
 def read_token_files(spark, path: str, id_col: str = "doc_id") -> DataFrame:
     """One row per document: ``id_col, start, n_tokens, ids``, ids as little-endian 32-bit integers.
 
-    ``start`` counts the ids of all documents before.  Segments get theirs from the sizes of the parts
-    before, one row per part, and of the segments before in the part.
+    ``start`` counts the ids of all documents before: in the parts before, of which one row each is collected,
+    and in the segments before in the part, which the segment itself knows.
     """
     files = spark.read.parquet(path)
     kind = files.schema["docs"].dataType.elementType.simpleString()
-    sizes = files.select("part", "segment", "tokens")
-    before = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    within = sizes.withColumn("_before", F.coalesce(F.sum("tokens").over(before), F.lit(0))).drop("tokens")
     # One row per part, so bounded by the number of partitions that wrote the files.
-    totals = sorted((r.part, r.n) for r in sizes.groupBy("part").agg(F.sum("tokens").alias("n")).collect())
+    totals = sorted((r.part, r.n) for r in files.groupBy("part").agg(F.sum("tokens").alias("n")).collect())
     starts, total = {}, 0
     for part, n in totals:
         starts[part], total = total, total + n
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for part, first, docs, ends, payload in batch.itertuples(index=False):
                 segment, at = Segment(payload), starts[part] + first
                 lows = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                # All documents are wanted here, so the codes are followed once for the whole segment.
+                ids = segment.tokens(0, segment.size).astype("<u4")
                 yield pd.DataFrame({
                     "_id": pd.Series(list(docs), dtype=object), "start": at + lows, "n_tokens": np.asarray(ends) - lows,
-                    "ids": [segment.tokens(int(a), int(b)).astype("<u4").tobytes() for a, b in zip(lows, ends)],
+                    "ids": [ids[a:b].tobytes() for a, b in zip(lows, ends)],
                 })
 
-    rows = files.join(within, ["part", "segment"]).select("part", "_before", "docs", "ends", "payload")
+    rows = files.select("part", "first", "docs", "ends", "payload")
     return rows.mapInPandas(documents, f"_id {kind}, start long, n_tokens long, ids binary").withColumnRenamed(
         "_id", id_col
     )

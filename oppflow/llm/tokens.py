@@ -1,7 +1,7 @@
 """Token ids of texts inside tasks, equal to those of the tokenizers library.
 
 A word-level BPE splits a text into pieces that are encoded one by one, so ids are looked up piece by
-piece and the library is asked once per new piece.  This way in is open to texts made of plain
+piece and the library's model is asked once per new piece.  This way in is open to texts made of plain
 characters only (ASCII, Latin letters with marks in composed form), where the library's normalizer does
 nothing but lower the case and its splitting rule is a short pattern; and it is open only to a
 tokenizer file that names exactly that normalizer and rule.  Everything else goes through the
@@ -13,9 +13,12 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 # The splitting rule of the tokenizer file this shortcut knows.
 KNOWN_RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -24,7 +27,29 @@ KNOWN_STEPS = ["NFC", "Replace", "Lowercase"]
 _PLAIN = re.compile("[\\x20-\\x7e\\t\\n\\rÀ-ÖØ-öø-įı-ž]*")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\\sa-z0-9ß-öø-ž]+")
 #: Pieces remembered per Python worker; beyond it the memory is emptied.
-REMEMBERED_PIECES = 400_000
+REMEMBERED_PIECES = 300_000
+
+
+class _Pieces(dict):
+    """The ids of pieces, worked out by the library's model when a piece is first met."""
+
+    def __init__(self, library):
+        super().__init__()
+        self._model = library.model
+        self._spelling = ByteLevel(add_prefix_space=False, use_regex=False)
+        self._spelled: dict[str, str] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        spelled = piece if piece.isascii() else "".join([self._spell(c) for c in piece])
+        ids = array("I", [token.id for token in self._model.tokenize(spelled)]).tobytes()
+        self[piece] = ids
+        return ids
+
+    def _spell(self, char: str) -> str:
+        """A character as the model spells its bytes; plain texts have a few hundred different ones."""
+        if char not in self._spelled:
+            self._spelled[char] = self._spelling.pre_tokenize_str(char)[0][0]
+        return self._spelled[char]
 
 
 class Encoder:
@@ -32,8 +57,6 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.library = Tokenizer.from_file(path)
@@ -47,12 +70,7 @@ class Encoder:
             == ["Split", "ByteLevel"]
             and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": KNOWN_RULE}
         )
-        suffix = self.library.model.end_of_word_suffix or ""
-        self._known = self._known and bool(suffix)
-        self._ends = np.zeros(self.size, dtype=bool)
-        for token, at in self.library.get_vocab(with_added_tokens=False).items():
-            self._ends[at] = bool(suffix) and token.endswith(suffix)
-        self._pieces: dict[str, bytes] = {}
+        self._pieces = _Pieces(self.library)
 
     def by_library(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
@@ -63,38 +81,19 @@ class Encoder:
 
     def ids_of(self, texts) -> list[bytes]:
         """The ids of each text, in order."""
-        pieces = [_PIECES.findall(t.lower()) if self._is_plain(t) else None for t in texts]
-        self._learn(pieces)
-        known = self._pieces
-        return [
-            self.by_library(t) if found is None else b"".join([known[p] for p in found])
-            for t, found in zip(texts, pieces)
-        ]
+        out, known = [], self._pieces
+        for text in texts:
+            if self._is_plain(text):
+                out.append(b"".join([known[p] for p in _PIECES.findall(text.lower())]))
+                if len(known) > REMEMBERED_PIECES:
+                    known.clear()
+            else:
+                out.append(self.by_library(text))
+        return out
 
     def _is_plain(self, text: str) -> bool:
         return self._known and bool(_PLAIN.fullmatch(text)) and not any(s in text for s in self._special)
 
-    def _learn(self, pieces: list[list[str] | None]) -> None:
-        """Encode the pieces not seen before in one go: the end of each shows in its last token."""
-        known = self._pieces
-        if len(known) > REMEMBERED_PIECES:
-            known.clear()
-        fresh: set[str] = set()
-        for found in pieces:
-            if found:
-                fresh.update(found)
-        new = [p for p in fresh if p not in known]
-        for at in range(0, len(new), 2_000):
-            some = new[at:at + 2_000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self._ends[ids]) + 1
-            if len(ends) != len(some):
-                raise ValueError("the tokenizer does not mark the ends of pieces")
-            data, low = ids.tobytes(), 0
-            for piece, high in zip(some, (4 * ends).tolist()):
-                known[piece] = data[low:high]
-                low = high
-
     def decode(self, ids: bytes) -> str:
         return self.library.decode(np.frombuffer(ids, dtype="<u4").tolist(), skip_special_tokens=False)
 
