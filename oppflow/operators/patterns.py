@@ -13,6 +13,7 @@ from oppflow.functions.classify import (
 from oppflow.functions.stats import fixed_places, percent
 from oppflow.functions.text import first_filled
 from oppflow.operators.funnel import count_if, literal_rows
+from oppflow.session import durable
 
 ALL = "*"
 FAILED = ["negative", "no_response", "self_filtered"]
@@ -174,6 +175,7 @@ def analysis_document(enriched: DataFrame) -> DataFrame:
     an aggregate of fixed size, so gathering its rows is safe."""
     from oppflow.operators.funnel import status_funnel
 
+    enriched = durable(enriched)  # read by every section
     sections = {
         "metadata": analysis_metadata(enriched),
         "funnel": status_funnel(enriched.select("status")),

@@ -12,7 +12,7 @@ from oppflow.plans import duck as D
 from oppflow.plans.duck import any_word, pct, places, with_views
 from oppflow.plans.q_joins import COHORT_SQL, COHORT_VIEWS, FILES_SQL, cohort_of, report_files
 from oppflow.plans.q_rules import TECH_SQL, _GAP, _SEV, _TEAM, blocker_sql
-from oppflow.plans.registry import register
+from oppflow.plans.registry import ORACLES, register
 
 CLOSED = D.in_list(fixed.CLOSED_STATUSES)
 APP = ["app", "app_s"]
@@ -373,9 +373,41 @@ def calibration_document(v):
         "section", F.explode(items).alias("i")).select("section", "i.item", "i.figure").where("figure IS NOT NULL")
 
 
-@register("analysis_document")
+# Per section the fields that name a row, its figures, and the query that has them too.
+_SECTIONS = {
+    "metadata": ([], ["total", "positive", "negative", "no_response", "self_filtered", "pending"], "analysis_metadata"),
+    "funnel": (["status_id"], ["rows", "pct"], "status_funnel"),
+    "scores": (["outcome", "score"], ["avg", "min", "max", "n"], "score_by_outcome"),
+    "blockers": (["blocker"], ["frequency", "percentage"], "blocker_analysis"),
+    "remote": (["value"], ["total", "positive", "conversion"], "breakdown_by_remote"),
+    "company_size": (["value"], ["total", "positive", "conversion"], "breakdown_by_company_size"),
+    "threshold": ([], ["recommended", "lowest", "highest"], "score_threshold"),
+    "tech_gaps": (["skill"], ["frequency"], "tech_gaps"),
+}
+
+
+def _sections_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{section}' AS section, concat_ws(' ', {', '.join([*names, chr(39) * 2])}) AS item, '{field}' AS field, "
+        f"CAST({field} AS DOUBLE) AS figure FROM ({ORACLES[query]})"
+        for section, (names, fields, query) in _SECTIONS.items() for field in fields
+    )
+
+
+@register("analysis_document", _sections_sql())
 def analysis_document(v):
-    return patterns.analysis_document(enriched_of(v))
+    documents = patterns.analysis_document(enriched_of(v))
+    rows = documents.select("section", F.explode(F.from_json("document", "array<map<string,string>>")).alias("m"))
+
+    def figures(section: str, names: list[str], fields: list[str]):
+        item = F.concat_ws(" ", *[F.col("m")[n] for n in names], F.lit(""))
+        found = F.array(*[
+            F.struct(item.alias("item"), F.lit(f).alias("field"), F.col("m")[f].cast("double").alias("figure")) for f in fields
+        ])
+        return F.when(F.col("section") == section, found)
+
+    every = F.coalesce(*[figures(s, names, fields) for s, (names, fields, _) in _SECTIONS.items()])
+    return rows.select("section", F.explode(every).alias("x")).select("section", "x.*")
 
 
 # --- quality -------------------------------------------------------------------
