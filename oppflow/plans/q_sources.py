@@ -430,11 +430,22 @@ def ats_normalize(v):
                      F.length(T.ats_normalize("h")).cast("bigint").alias("cleaned_length"))
 
 
+# One of every kind after each title; what they must become is written out in the SQL.
+_ENTITIES = [
+    "&lt;b&gt; &quot;q&quot;", "&#65;&#x42;", "&#x1F600;", "no&nbsp;&#160;break", "it&apos;s", "&unknown; &# &amp",
+    "&#252;&#X20ac;", "&amp;lt; once", "&#x110000;", "&#" + "0" * 50 + "90;",
+]
+
+
 @register("decode_entities", with_views(["page"], """
-    SELECT page_id, trim(regexp_replace(replace(t, '&amp;', '&'), '\\s+', ' ', 'g')) AS title
+    SELECT page_id, trim(regexp_replace(replace(t, '&amp;', '&'), '\\s+', ' ', 'g')) || ' ' || CASE page_id % 10
+        WHEN 0 THEN '<b> "q"' WHEN 1 THEN 'AB' WHEN 2 THEN '😀' WHEN 3 THEN 'no break' WHEN 4 THEN 'it''s'
+        WHEN 5 THEN '&unknown; &# &amp' WHEN 6 THEN 'ü€' WHEN 7 THEN '&lt; once' WHEN 8 THEN '&#x110000;' ELSE 'Z' END AS title
     FROM (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS t FROM page)"""))
 def decode_entities(v):
-    return v.page.select("page_id", T.decode_entities(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"))
+    more = F.element_at(F.array(*map(F.lit, _ENTITIES)), (F.col("page_id") % 10 + 1).cast("int"))
+    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
+    return v.page.select("page_id", T.decode_entities(F.concat(title, F.lit(" "), more)).alias("title"))
 
 
 # --- scalar functions ----------------------------------------------------------
@@ -505,11 +516,17 @@ def truncate(v):
 
 # --- sinks ---------------------------------------------------------------------
 @register("append_postings", with_views(["posting"], """
-    SELECT DATE '2000-07-01' AS scan_date, 'added' AS status, count(*) AS rows, count(DISTINCT url) AS urls FROM posting"""))
+    SELECT t.name AS table_name, DATE '2000-07-01' AS scan_date, t.status, count(*) AS rows, count(DISTINCT url) AS urls,
+        min(title) AS first_title, max(company) AS last_company
+    FROM posting, (VALUES ('history', 'added'), ('inbox', NULL)) t(name, status) GROUP BY ALL"""))
 def append_postings(v):
     spark = v.spark
     inbox, history = scratch_path(spark, "inbox"), scratch_path(spark, "history")
     sinks.append_postings(v.posting, inbox, history, dt.date(2000, 7, 1))
-    return spark.read.parquet(history).groupBy("scan_date", "status").agg(
-        F.count(F.lit(1)).alias("rows"), F.countDistinct("url").alias("urls")
+    written = spark.read.parquet(history).select(F.lit("history").alias("table_name"), "scan_date", "status", "url", "title", "company")
+    listed = spark.read.parquet(inbox).select(
+        F.lit("inbox").alias("table_name"), "scan_date", F.lit(None).cast("string").alias("status"), "url", "title", "company")
+    return written.unionByName(listed).groupBy("table_name", "scan_date", "status").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("url").alias("urls"),
+        F.min("title").alias("first_title"), F.max("company").alias("last_company"),
     )
