@@ -21,21 +21,20 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oppflow.llm.batches import with_results
 from oppflow.llm.samples import remainder, sample_per_label
-from oppflow.llm.tables import whole_text
 
 #: Labelled rows per label that a model is fitted on, and the longest text among them.
-FIT_ROWS = 3_000
+FIT_ROWS = 2_500
 FIT_CHARS = 32_768
 DICTIONARY_BYTES = 65_536
 LEVEL = 8
@@ -133,24 +132,31 @@ def _block_features(block: list[bytes], ordinary: bytes, specific: bytes) -> np.
     return out
 
 
-def _neighbours(texts: list[str]) -> Counter:
-    """For every word beginning the number of different words that stand before it."""
+def _neighbours(texts: list[str], only: set[str] | None = None) -> Counter:
+    """For every word beginning, or those in ``only``, the number of different words that stand before it."""
     before: dict[str, set[int]] = defaultdict(set)
     for text in texts:
         last = ""
         for word in _WORD.findall(text.lower()):
             mark = hash(last)
             for size in range(SHORTEST, min(len(word), LONGEST) + 1):
-                before[word[:size]].add(mark)
+                if only is None or word[:size] in only:
+                    before[word[:size]].add(mark)
             last = word
     return Counter({w: len(marks) for w, marks in before.items()})
 
 
 def specific_beginnings(toxic: list[str], ordinary: list[str]) -> list[str]:
     """Word beginnings specific to the toxic texts, the rarest first, each as long as it stays common."""
-    there, elsewhere = _neighbours(toxic), _neighbours(ordinary)
-    n_there, n_else = sum(map(len, toxic)) + 1, sum(map(len, ordinary)) + 1
     least = max(4, len(toxic) // 50)
+    times = Counter(
+        word[:size] for text in toxic for word in _WORD.findall(text.lower())
+        for size in range(SHORTEST, min(len(word), LONGEST) + 1)
+    )
+    common = {w for w, n in times.items() if n >= least}
+    there = _neighbours(toxic, common)
+    elsewhere = _neighbours(ordinary, {w for w, n in there.items() if n >= least})
+    n_there, n_else = sum(map(len, toxic)) + 1, sum(map(len, ordinary)) + 1
     specific = {w for w, n in there.items() if n >= least and 20 * elsewhere[w] * n_there < n * n_else}
     cores: dict[str, int] = {}
     for word in sorted(specific):
@@ -221,15 +227,9 @@ def fit_on_labels(
 
 
 def _scored(df: DataFrame, model: Model | None, columns: list[str], text_col: str) -> DataFrame:
-    """``columns`` as ``_0, _1, ...`` and the score of the text, in one pass."""
-    own = df.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)], whole_text(text_col).alias("_text"))
-    out = ", ".join(f"{c} {kind}" for c, kind in own.dtypes if c != "_text") + ", score double"
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(score=scores(batch.pop("_text").tolist(), model))
-
-    return own.mapInPandas(score, out)
+    return with_results(
+        df, columns, text_col, lambda texts: {"score": pa.array(scores(texts, model))}, "score double"
+    )
 
 
 def toxicity_scores(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
