@@ -17,23 +17,22 @@ result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oppflow.llm.batches import with_results
 from oppflow.llm.samples import remainder, sample_per_label
-from oppflow.llm.tables import whole_text
 
 #: Rows per language that the model is fitted on, and the longest text among them.
 FIT_ROWS = 1_000
 FIT_CHARS = 32_768
 BUCKETS = 1 << 16
-BLOCK_CHARS = 2 << 20
+BLOCK_CHARS = 1 << 19
 ROUNDS, SET_ROUNDS = 12, 4
 UNKNOWN = "und"
 
@@ -138,34 +137,32 @@ def fit_on_rows(
     return fit(sample_per_label(df, label, fit_rows, fit_chars, id_col, text_col))
 
 
+def predictions(texts: list[str], model: Model | None) -> dict[str, list]:
+    """Per text the prediction, its proportion, and the chosen languages with theirs."""
+    k = len(model.languages) if model else 0
+    shares = np.zeros((len(texts), k))
+    low = size = 0
+    for at, text in enumerate(texts):
+        size += len(text)
+        if model and (size >= BLOCK_CHARS or at == len(texts) - 1):
+            shares[low:at + 1] = infer(texts[low:at + 1], model)
+            low, size = at + 1, 0
+    best = shares.max(axis=1, initial=0)
+    top = shares.argmax(axis=1) if k else np.zeros(len(texts), dtype=int)
+    sets = [np.flatnonzero(s > 0)[np.argsort(-s[s > 0], kind="stable")] for s in shares]
+    return {
+        "lang_pred": [model.languages[t] if b > 0 else UNKNOWN for t, b in zip(top, best)],
+        "score": pa.array(np.clip(best, 0, 1)),
+        "languages": pa.array([[model.languages[i] for i in s] for s in sets], pa.list_(pa.string())),
+        "shares": pa.array([row[s].tolist() for row, s in zip(shares, sets)], pa.list_(pa.float64())),
+    }
+
+
 def _predicted(df: DataFrame, model: Model | None, columns: list[str], text_col: str) -> DataFrame:
-    """``columns`` as ``_0, _1, ...`` and what is found in the text, in one pass."""
-    own = df.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)], whole_text(text_col).alias("_text"))
-    out = ", ".join(f"{c} {kind}" for c, kind in own.dtypes if c != "_text")
-    out += ", lang_pred string, score double, languages array<string>, shares array<double>"
-
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch.pop("_text").tolist()
-            k = len(model.languages) if model else 0
-            shares = np.zeros((len(texts), k))
-            low = size = 0
-            for at, text in enumerate(texts):
-                size += len(text)
-                if model and (size >= BLOCK_CHARS or at == len(texts) - 1):
-                    shares[low:at + 1] = infer(texts[low:at + 1], model)
-                    low, size = at + 1, 0
-            found = shares.max(axis=1, initial=0) > 0
-            top = shares.argmax(axis=1) if k else np.zeros(len(texts), dtype=int)
-            sets = [np.flatnonzero(s > 0)[np.argsort(-s[s > 0], kind="stable")] for s in shares]
-            yield batch.assign(
-                lang_pred=[model.languages[t] if f else UNKNOWN for t, f in zip(top, found)],
-                score=np.clip(shares.max(axis=1, initial=0), 0, 1),
-                languages=[[model.languages[i] for i in s] for s in sets],
-                shares=[row[s].tolist() for row, s in zip(shares, sets)],
-            )
-
-    return own.mapInPandas(predict, out)
+    return with_results(
+        df, columns, text_col, lambda texts: predictions(texts, model),
+        "lang_pred string, score double, languages array<string>, shares array<double>",
+    )
 
 
 def languages(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
