@@ -14,7 +14,7 @@ from oppflow.llm import language, toxicity
 from oppflow.llm.exact_dedup import drop_exact_copies
 from oppflow.llm.near_dedup import drop_near_copies
 from oppflow.llm.packing import pack_documents
-from oppflow.llm.tables import table, written
+from oppflow.llm.tables import few_files, table, written
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,17 +29,17 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id."""
-    return drop_exact_copies(docs)
+    return few_files(drop_exact_copies(docs))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id."""
-    return drop_near_copies(docs)
+    return few_files(drop_near_copies(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 2048 tokens."""
-    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=0)
+    return few_files(pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=0))
 
 
 STAGES = [
