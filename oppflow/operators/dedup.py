@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oppflow.functions import fixed
 from oppflow.functions.classify import literal_map
 from oppflow.functions.text import company_words, dedup_tokens, parse_score_loose
+from oppflow.operators.linked import groups_of
 from oppflow.operators.matching import overlap_signatures, overlap_witnesses
 from oppflow.session import durable
 
@@ -28,6 +30,35 @@ def _earlier(name: str, or_same: bool = False) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+#: After so many rounds what is left is cut into connected groups, and those of up to
+#: so many members are settled in one task each.
+ROUNDS_BEFORE_GROUPS = 6
+SETTLED_MEMBERS = 50_000
+
+
+def _settle(group: pd.DataFrame) -> pd.DataFrame:
+    """The rule itself, row after row, for one connected group."""
+    taken, held, held_small = [], set(), set()
+    for pos, rows in group.sort_values("pos").groupby("pos", sort=False):
+        keys = list(zip(rows["key"], rows["small"]))
+        if not any(key in held_small or (small and key in held) for key, small in keys):
+            taken.append(pos)
+            held.update(key for key, _ in keys)
+            held_small.update(key for key, small in keys if small)
+    return pd.DataFrame({"pos": taken}, dtype="int64")
+
+
+def _settle_groups(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows taken from the groups that fit into a task, and the members of the others."""
+    grouped = durable(left.join(groups_of(left.select("pos", "key")), "pos"))
+    sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    fits = grouped.join(sizes.filter(F.col("n") <= SETTLED_MEMBERS).select("group"), "group", "left_semi")
+    rest = grouped.join(sizes.filter(F.col("n") > SETTLED_MEMBERS).select("group"), "group", "left_semi")
+    kind = dict(left.dtypes)["pos"]
+    taken = fits.groupBy("group").applyInPandas(_settle, f"pos {kind}")
+    return durable(taken), durable(rest.select("pos", "key", "small"))
+
+
 def greedy_first(members: DataFrame) -> DataFrame:
     """Positions accepted by "take a row unless an accepted earlier row clashes".
 
@@ -36,13 +67,25 @@ def greedy_first(members: DataFrame) -> DataFrame:
     first under all its keys and removes the rows clashing with it; the result is
     the sequential one.  Only per-key minima are exchanged, never pairs, so a hot
     key costs one number per task.
+
+    The rounds follow the longest chain of rows that exclude one another.  Long chains
+    are cut short: every few rounds the groups of rows still connected by keys are
+    formed, in a number of steps that is the logarithm of the chain, and each group that
+    fits into a task is settled there.  Only larger groups stay with the rounds.
     """
     everyone = durable(members.select("pos", "key", "small"))
     # A key with one member can make nobody clash, and most keys are of that kind.
     shared = everyone.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     left = durable(everyone.join(shared.select("key"), "key", "left_semi"))
     accepted = [everyone.select("pos").distinct().join(left, "pos", "left_anti")]
+    rounds = 0
     while not left.isEmpty():
+        if rounds and rounds % ROUNDS_BEFORE_GROUPS == 0:
+            settled, left = _settle_groups(left)
+            accepted.append(settled)
+            if left.isEmpty():
+                break
+        rounds += 1
         taken = durable(
             left.join(_firsts(left, "first"), "key")
             .groupBy("pos")

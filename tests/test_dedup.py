@@ -207,3 +207,34 @@ def test_empty_inputs(spark):
     assert order_of(tracker(spark, [])) == []
     apps = spark.createDataFrame([], "pos long, file string, company string, role string, score string, status string")
     assert dedup.dedup_clusters(apps)[0].count() == 0
+
+
+def test_a_long_chain_needs_few_tables(spark, monkeypatch):
+    """A thousand rows of which each excludes the next."""
+    from oppflow.operators import dedup, linked
+
+    written = []
+    for module in (dedup, linked):
+        real = module.durable
+        monkeypatch.setattr(module, "durable", lambda df, real=real: written.append(1) or real(df))
+    rows = [(i, f"k{i + d}", True) for i in range(1000) for d in (0, 1)]
+    members = spark.createDataFrame(rows, "pos long, key string, small boolean")
+    assert sorted(r.pos for r in dedup.greedy_first(members).collect()) == list(range(0, 1000, 2))
+    assert len(written) < 40
+
+
+def test_groups_too_large_for_a_task_stay_with_the_rounds(spark, monkeypatch):
+    from oppflow.operators import dedup
+
+    monkeypatch.setattr(dedup, "ROUNDS_BEFORE_GROUPS", 1)
+    monkeypatch.setattr(dedup, "SETTLED_MEMBERS", 6)
+    rows = [(i, f"a{i + d}", i % 3 > 0) for i in range(12) for d in (0, 1)]
+    rows += [(100 + i, f"b{i + d}", True) for i in range(3) for d in (0, 1)]
+    members = spark.createDataFrame(rows, "pos long, key string, small boolean")
+    taken, held = [], []
+    for pos in sorted({p for p, _, _ in rows}):
+        mine = [(k, s) for p, k, s in rows if p == pos]
+        if not any(k == h and (s or t) for k, s in mine for h, t in held):
+            taken.append(pos)
+            held += mine
+    assert sorted(r.pos for r in dedup.greedy_first(members).collect()) == taken
