@@ -6,7 +6,7 @@ short ones.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oppflow.functions import fixed
@@ -15,24 +15,29 @@ from oppflow.functions.text import (
     as_col, bind, drop_first, first_filled, found, is_iso_date, parse_int, parse_score, report_link_for_write,
     report_num, split_row,
 )
-from oppflow.operators.ranks import with_rank
 
 MARKER = r"^(?:tier [SABC]|posted \d{4}-\d{2}-\d{2}|title-generic)$"
 SEPARATOR_ROW = r"^\|[\s:|-]+\|?\s*$"
 
 
 def read_lines(spark: SparkSession, paths) -> DataFrame:
-    """``(file, line_no, line)`` of text files, numbered without reading a file whole.
+    """``(file, line_no, line)`` of text files, numbered without reading a file whole or moving text.
 
-    Lines are placed by their block and their order in it, then ranked per file.
+    A block of a file is read by one task in order, so a line's number is its place in its
+    block plus the lines of the blocks before.  Only one row per block is exchanged.
     """
     raw = spark.read.text(paths).select(
         F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
     )
-    return with_rank(raw, [F.col("_block"), F.col("_id")], "line_no", ["file"]).select(
-        "file", "line_no", "line"
+    blocks = raw.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(
+        "file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
+    )
+    return raw.join(F.broadcast(starts), ["file", "_block"]).select(
+        "file", (F.col("_id") + F.col("_shift") + 1).alias("line_no"), "line"
     )
 
 
