@@ -93,22 +93,22 @@ def repaired_status(raw) -> Column:
     """``(cell, note, known)``: the canonical cell and text that belongs in the notes."""
     c = F.trim(strip_bold(F.coalesce(as_col(raw), F.lit(""))))
     lower = F.lower(c)
-    to = STATUS_TO_SYMBOL
-    duplicate = lower.rlike(f"^duplicado|^dup{BOUND}")
-    repost = lower.rlike("^repost")
+    to, repairs = STATUS_TO_SYMBOL, fixed.STATUS_REPAIRS
+    duplicate = lower.rlike(repairs["duplicate"] + BOUND)
+    repost = lower.rlike(repairs["repost"])
     labels = literal_map({
         a: to[i] for i, _, aliases in fixed.STATUSES for a in [i, *aliases] if a != "monitor"
     })
     cell = (
-        F.when(c.isin("", "-", "—"), F.lit(""))
+        F.when(c.isin(repairs["blank"]), F.lit(""))
         .when(c.isin([s for s in to.values() if s]), c)
         .when(duplicate, F.lit(to["discarded"]))
-        .when(lower.rlike("^(?:cerrada|descartada|descartado)$|^cancelada"), F.lit(to["discarded"]))
-        .when(lower.rlike(r"^rechazada?$|^rechazado\s+\d{4}"), F.lit(to["rejected"]))
-        .when(lower.rlike(r"^aplicado\s+\d{4}"), F.lit(to["applied"]))
-        .when(lower.isin("condicional", "hold", "evaluar", "verificar"), F.lit(""))
+        .when(lower.rlike(repairs["discarded"]), F.lit(to["discarded"]))
+        .when(lower.rlike(repairs["rejected"]), F.lit(to["rejected"]))
+        .when(lower.rlike(repairs["applied"]), F.lit(to["applied"]))
+        .when(lower.isin(repairs["undecided"]), F.lit(""))
         .when(lower == "monitor", F.lit(to["skip"]))
-        .when(lower.rlike("geo.?blocker"), F.lit(to["skip"]))
+        .when(lower.rlike(repairs["skipped"]), F.lit(to["skip"]))
         .when(repost, F.lit(to["discarded"]))
         .when(lower == "rechazado", F.lit(None).cast("string"))
         .otherwise(F.try_element_at(labels, lower))
@@ -324,16 +324,16 @@ def classify_liveness(status, final_url, body, controls) -> Column:
     expired_text = first_text(fixed.EXPIRED_TEXTS)
     listing_text = first_text(fixed.LISTING_TEXTS)
     can_apply = F.coalesce(F.exists(as_col(controls), lambda x: x.rlike(apply_words)), F.lit(False))
-    matched = F.lit("pattern matched: ")
+    matched = F.lit(fixed.LIVENESS_REASONS["pattern"])
     rules = [
         (as_col(status).isin(404, 410), "expired",
-         F.concat(F.lit("HTTP "), as_col(status).cast("string"))),
-        (url.rlike(f"(?i){fixed.EXPIRED_URL}"), "expired", F.concat(F.lit("redirect to "), url)),
+         F.concat(F.lit(fixed.LIVENESS_REASONS["http"]), as_col(status).cast("string"))),
+        (url.rlike(f"(?i){fixed.EXPIRED_URL}"), "expired", F.concat(F.lit(fixed.LIVENESS_REASONS["redirect"]), url)),
         (expired_text.isNotNull(), "expired", F.concat(matched, expired_text)),
-        (can_apply, "active", F.lit("visible apply control detected")),
+        (can_apply, "active", F.lit(fixed.LIVENESS_REASONS["apply"])),
         (listing_text.isNotNull(), "expired", F.concat(matched, listing_text)),
         (F.length(F.regexp_replace(text, r"^\s+|\s+$", "")) < fixed.MIN_PAGE_CHARS, "expired",
-         F.lit("insufficient content — likely nav/footer only")),
+         F.lit(fixed.LIVENESS_REASONS["short"])),
     ]
     chain = None
     for condition, result, reason in rules:
@@ -341,7 +341,7 @@ def classify_liveness(status, final_url, body, controls) -> Column:
         chain = F.when(condition, value) if chain is None else chain.when(condition, value)
     return chain.otherwise(F.struct(
         F.lit("uncertain").alias("result"),
-        F.lit("content present but no visible apply control found").alias("reason"),
+        F.lit(fixed.LIVENESS_REASONS["no_apply"]).alias("reason"),
     ))
 
 

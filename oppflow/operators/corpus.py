@@ -9,6 +9,7 @@ from oppflow.functions import fixed
 from oppflow.functions.regex import BOUND, WORD
 from oppflow.functions.text import blank_to_null, drop_first
 
+# The date ranges whose dash is no dash of the text.
 MONTHS = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 DAY = rf"(?:{MONTHS}\s+)?\d{{4}}"
 DATE_RANGE = rf"({DAY})\s*[–—]\s*({DAY}|Present|present)"

@@ -98,30 +98,30 @@ def triage_verdict(
 
     no_domain = F.coalesce("title_generic", F.lit(False)) & ~F.col("curated")
     generic_why = cells(
-        F.lit("Title names no domain — needs the JD to judge"),
-        F.when(tier_c, F.lit("tier C location")),
-        F.when(F.col("agency"), F.lit("agency/staffing listing")),
-        F.when(F.col("known"), F.lit("company already in tracker")),
+        F.lit(fixed.TRIAGE_REASONS["no_domain"]),
+        F.when(tier_c, F.lit(fixed.TRIAGE_REASONS["tier_c"])),
+        F.when(F.col("agency"), F.lit(fixed.TRIAGE_REASONS["agency"])),
+        F.when(F.col("known"), F.lit(fixed.TRIAGE_REASONS["known"])),
     )
     general_why = cells(
-        F.when(lane_count > 0, F.concat(F.array_join(F.slice("lanes", 1, 2), " + "), F.lit(" lane")))
-        .when(F.col("technical"), F.lit("technical PM, domain not named in title")),
-        F.when(F.col("curated"), F.lit("on your curated dev-tools company list")),
-        F.when(~F.col("senior"), F.lit("title reads below senior")),
-        F.when(F.col("agency"), F.lit("agency/staffing listing, employer hidden")),
-        F.when(tier_c, F.lit("tier C location")),
-        F.when(F.col("rejected_elsewhere"), F.lit("rejected here before on another role")),
+        F.when(lane_count > 0, F.concat(F.array_join(F.slice("lanes", 1, 2), " + "), F.lit(fixed.TRIAGE_REASONS["lane"])))
+        .when(F.col("technical"), F.lit(fixed.TRIAGE_REASONS["technical"])),
+        F.when(F.col("curated"), F.lit(fixed.TRIAGE_REASONS["curated"])),
+        F.when(~F.col("senior"), F.lit(fixed.TRIAGE_REASONS["below_senior"])),
+        F.when(F.col("agency"), F.lit(fixed.TRIAGE_REASONS["hidden_employer"])),
+        F.when(tier_c, F.lit(fixed.TRIAGE_REASONS["tier_c"])),
+        F.when(F.col("rejected_elsewhere"), F.lit(fixed.TRIAGE_REASONS["rejected"])),
     )
     excluded, by_url, same = F.col("excluded"), F.col("by_url"), F.col("same_role")
     rules = [
-        (excluded.isNotNull(), "skip", cells(F.concat(F.lit("Excluded: "), excluded["reason"]))),
-        (by_url.isNotNull(), "skip", cells(since("Already in tracker — ", by_url))),
-        (same.isNotNull(), "skip", cells(since("Already in tracker for this role — ", same))),
-        (F.col("junior"), "skip", cells(F.lit("Below target seniority"))),
-        (F.col("german"), "skip", cells(F.lit("German-language title implies German-language role"))),
+        (excluded.isNotNull(), "skip", cells(F.concat(F.lit(fixed.TRIAGE_REASONS["excluded"]), excluded["reason"]))),
+        (by_url.isNotNull(), "skip", cells(since(fixed.TRIAGE_REASONS["tracked"], by_url))),
+        (same.isNotNull(), "skip", cells(since(fixed.TRIAGE_REASONS["same_role"], same))),
+        (F.col("junior"), "skip", cells(F.lit(fixed.TRIAGE_REASONS["junior"]))),
+        (F.col("german"), "skip", cells(F.lit(fixed.TRIAGE_REASONS["german"]))),
         (no_domain, "unknown", generic_why),
         ((lane_count == 0) & ~F.col("technical") & ~F.col("curated"), "skip",
-         cells(F.lit("No archetype signal in title or company"))),
+         cells(F.lit(fixed.TRIAGE_REASONS["no_signal"]))),
         (strong | very_strong | trusted, "promising", general_why),
     ]
     chain = None

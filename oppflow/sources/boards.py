@@ -102,6 +102,7 @@ def ingest_postings(raw: DataFrame, providers: list[str] | None = None) -> DataF
 def detect_board(api, careers_url) -> Column:
     """``(provider, endpoint)`` a company's board is read from, NULL if unknown."""
     endpoint, page = first_filled(api), first_filled(careers_url)
+    # Board hosts and the addresses of their listings.
     hosts = [("greenhouse", "greenhouse"), ("ashbyhq", "ashby"), ("lever.co", "lever"),
              ("comeet.co", "comeet"), ("workable.com", "workable")]
     pages = [

@@ -16,6 +16,7 @@ from oppflow.functions.text import (
     report_num, split_row,
 )
 
+# The markers of an inbox line, and the line under a table head.
 MARKER = r"^(?:tier [SABC]|posted \d{4}-\d{2}-\d{2}|title-generic)$"
 SEPARATOR_ROW = r"^\|[\s:|-]+\|?\s*$"
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from oppflow.functions import fixed
 from oppflow.functions.text import as_col, clean_cell, found, split_row, strip_bold
 
+# Fixed value: the gap table of a report.
 GAP_TABLE = r"(?i)\|\s*Gap\s*\|\s*Severity\s*\|.*?\n\|[-|\s]+\n([\s\S]*?)(?:\n\n|\n##|\n\*\*|$)"
 
 

@@ -14,7 +14,7 @@ CANONICAL = """# Applications
 
 | Date | Company | Role | Fit | Odds | Priority | Status | Output | Report | Location | Reasoning | URL |
 | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |
-| 2026-08-25 | STARCON \\| HR Experts | Senior PM (m\\|w\\|d) | 3.8/5 | 2.6/5 | 3.3/5 |  | - | [260](../reports/260-x.md) | Wien | ok | https://x.io |
+| 2026-08-25 | Borealis \\| Data | Product Lead (f\\|m\\|x) | 3.8/5 | 2.6/5 | 3.3/5 |  | - | [260](../reports/260-x.md) | Wien | ok | https://x.io |
 | not a date | A | B | 1/5 | 1/5 | 1/5 | | | | | | |"""
 
 
@@ -23,7 +23,7 @@ def test_canonical_tracker(spark):
     assert len(row) == 1
     r = row[0]
     assert (r.num, r.company, r.role, r.fit, r.odds, r.priority, r.score, r.status) == (
-        260, "STARCON | HR Experts", "Senior PM (m|w|d)", 3.8, 2.6, 3.3, 3.8, "")
+        260, "Borealis | Data", "Product Lead (f|m|x)", 3.8, 2.6, 3.3, 3.8, "")
     assert (r.output, r.location, r.notes, r.url, r.date) == ("-", "Wien", "ok", "https://x.io", dt.date(2026, 8, 25))
 
 
