@@ -17,28 +17,42 @@ from oppflow.llm.packing import pack_documents
 from oppflow.llm.tables import few_files, table, written
 
 
+#: Rows per batch that a task hands to Python.  Texts are long, and batches of the usual size would hold tens of
+#: megabytes several times over, in the JVM as in Python.
+BATCH_ROWS = "500"
+
+
+def _short_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator does not reject."""
+    _short_batches(spark)
     return toxicity.drop_toxic(docs, toxicity.fit_on_labels(docs, table(spark, sf_dir, "labels")))
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents for which language identification finds a language."""
+    _short_batches(spark)
     return language.drop_unknown(docs, language.fit_on_rows(docs))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id."""
+    _short_batches(spark)
     return few_files(drop_exact_copies(docs))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id."""
+    _short_batches(spark)
     return few_files(drop_near_copies(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 2048 tokens."""
+    _short_batches(spark)
     return few_files(pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=0))
 
 
