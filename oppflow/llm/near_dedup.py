@@ -136,7 +136,7 @@ def _sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int,
     kind = dict(df.dtypes)[id_col]
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, 64):
             sets = [shingles(t, words) for t in batch.pop("_text")]
             yield batch.assign(
                 digest=[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], set=[s.tobytes() for s in sets]
@@ -314,7 +314,7 @@ def _more_links(groups: DataFrame, classes: DataFrame, sets_of, threshold: int)
                 yield pd.DataFrame(found, columns=["u", "v"])
 
     sketched = groups.join(classes.select("id", "sketch"), "id").select(*columns)
-    active = written(_grouped(sketched).mapInPandas(paired, schema), "active")
+    active = written(_grouped(sketched).mapInPandas(paired, schema), "active", per_core=1)
     sets = sets_of(active.select("id").distinct())
     return _grouped(active.join(sets, "id")).mapInPandas(links, f"u {kind}, v {kind}")
 
@@ -334,10 +334,10 @@ def near_copies(
         F.min("_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
     # An id with several rows may stand for several sets; each class then gets its rows' links.
-    classes = written(classes, "classes")
+    classes = written(classes, "classes", per_core=1)
     bands = _banded(classes)
     buckets = bands.groupBy("key").agg(F.min("id").alias("u"), F.max("id").alias("top")).where("u <> top")
-    met = written(bands.join(buckets.select("key", "u"), "key"), "met")
+    met = bands.join(buckets.select("key", "u"), "key")
     pairs = met.where("id <> u").select("u", F.col("id").alias("v")).distinct()
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -345,12 +345,12 @@ def near_copies(
 
     likely = written(_likely(pairs, classes, threshold), "likely", per_core=1)
     ends = likely.select(F.col("u").alias("id")).unionByName(likely.select(F.col("v").alias("id"))).distinct()
-    links = written(_links(likely, written(sets_of(ends), "sets"), threshold), "star_links", per_core=1)
+    links = written(_links(likely, sets_of(ends), threshold), "star_links", per_core=1)
     stars = components(links)
     parts = met.join(stars, "id", "left").join(classes.select("id", "n"), "id").select(
         "key", "band", "id", F.coalesce("component", "id").alias("component"), "n"
     )
-    more = _more_links(_split_buckets(written(parts, "parts"), block), classes, sets_of, threshold)
+    more = _more_links(_split_buckets(parts, block), classes, sets_of, threshold)
     more = written(more, "block_links", per_core=1)
     known = stars.select(F.col("id").alias("u"), F.col("component").alias("v"))
     every = stars if more.isEmpty() else components(known.unionByName(more))
