@@ -59,7 +59,7 @@ def exact_copies(
     texts to a join.
     """
     keyed = _keyed(df, id_col, text_col, prefix_chars)
-    keys = written(undecided_keys(keyed), "undecided")
+    keys = written(undecided_keys(keyed), "undecided", per_core=1)
     if keys.count() <= broadcast_keys:
         found = F.broadcast(keys.withColumn("_open", F.lit(True)))
         keyed = keyed.join(found, ["_length", "_prefix"], "left")

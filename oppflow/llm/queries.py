@@ -26,11 +26,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(spark, sf_dir)``; its result comes in a few partitions for every core."""
+def query(name: str, sql: str | None = None, shuffled: bool = False):
+    """Register ``fn(spark, sf_dir)``; a result that comes out of a shuffle gets a few partitions for every core."""
 
     def add(fn):
-        QUERIES[name] = lambda spark, sf_dir: few_files(fn(spark, sf_dir))
+        QUERIES[name] = (lambda spark, sf_dir: few_files(fn(spark, sf_dir))) if shuffled else fn
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -42,13 +42,13 @@ def query(name: str, sql: str | None = None):
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
-""")
+""", shuffled=True)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return exact_copies(docs, hash_all=True).withColumnRenamed("full_hash", "text_sha256").drop("text_hash")
 
 
-@query("op10_ring_sharding")
+@query("op10_ring_sharding", shuffled=True)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = ring_shards(table(spark, sf_dir, "documents"), shards=8, slack=0.0)
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
@@ -59,13 +59,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), WORD_BPE, keep_ids=False)
 
 
-@query("op8_token_files")
+@query("op8_token_files", shuffled=True)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = token_file_round_trip(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-@query("op9_best_fit_packing")
+@query("op9_best_fit_packing", shuffled=True)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, end_id=0, capacity=2048)
 
@@ -112,7 +112,7 @@ named AS (SELECT u AS id, min(v) AS component FROM reach GROUP BY u)
 SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(n.component, d.doc_id) AS component_id,
        d.doc_id = coalesce(n.component, d.doc_id) AS kept
 FROM sets d LEFT JOIN classes c ON c.s = d.s LEFT JOIN named n ON n.id = c.id
-""")
+""", shuffled=True)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"), words=2, threshold=80).drop("text_hash")
 
@@ -129,6 +129,6 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
-""")
+""", shuffled=True)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256)
