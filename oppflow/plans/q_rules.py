@@ -118,8 +118,7 @@ def is_agency(v):
 
 
 # --- status --------------------------------------------------------------------
-@register("normalize_status", with_views(["app_s"], "SELECT pos, status, status_id FROM app_s")
-          .replace("WITH app_s", f"WITH app AS ({D.duck_view('app')}), app_s"))
+@register("normalize_status", with_views(["app", "app_s"], "SELECT pos, status, status_id FROM app_s"))
 def normalize_status(v):
     return v.app.select("pos", "status", C.normalize_status("status").alias("status_id"))
 
