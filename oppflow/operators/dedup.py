@@ -32,7 +32,7 @@ def _earlier(name: str, or_same: bool = False) -> Column:
 
 #: After so many rounds what is left is cut into connected groups, and those of up to
 #: so many members are settled in one task each.
-ROUNDS_BEFORE_GROUPS = 6
+ROUNDS_BEFORE_GROUPS = 10
 SETTLED_MEMBERS = 50_000
 
 

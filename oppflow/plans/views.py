@@ -188,16 +188,23 @@ def _open(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, dealt out over the cores if it comes in fewer splits than there are cores.
+def _few_splits(df: DataFrame) -> bool:
+    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+
+
+def _dealt_out(df: DataFrame, few: bool) -> DataFrame:
+    """Rows spread over the cores if they come from fewer splits than there are cores.
 
-    A test table kept as one file is one task's work otherwise.  Only the number of
-    splits decides, so a table of any real size is read as it lies.
+    A test table kept as one file, and what is joined from such tables, is one task's work
+    otherwise.  Only the number of splits decides, so tables of any real size are read,
+    and joined, as they lie.
     """
-    df, cores = _open(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    if name in FIXED_TABLES or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if few else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = _open(spark, sf_dir, name)
+    return _dealt_out(df, name not in FIXED_TABLES and _few_splits(df))
 
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -205,4 +212,6 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = _resolve(
         name, {t: "{" + t + "}" for t in TABLES}, lambda t: _open(spark, sf_dir, t).count()
     )
-    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text})
+    used = {t: _open(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
+    few = any(_few_splits(df) for t, df in used.items() if t not in FIXED_TABLES)
+    return _dealt_out(spark.sql(text, **used), few)
