@@ -8,7 +8,10 @@ figure, and the paths above a share of the page's best are content.  All blocks
 taken, short ones too.
 
 Elements that say what they are (navigation, footers, forms, scripts, adverts by class name, reader
-comments and so on) never enter the sums.
+comments and so on) never enter the sums.  A name does not count on html, body, main and article, nor if it
+is negated or qualified (no-sidebar, has-sidebar, share-enabled), and an element that holds most of the page's
+text is judged by its ratios whatever its name, unless the page has an article elsewhere; one named for
+reader comments has to hold the page's heading, too.
 
 Defined cases: null html is the empty page and gives the empty text; markup that is cut off or not
 closed is read as far as it goes; a page is one row of one task, whose length only counts linearly;
@@ -20,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import exp
 
 import pandas as pd
@@ -36,8 +40,8 @@ SMOOTHING = 1.0
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
 )
-_NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"\"[^\"]*\"|'[^']*'|([^\s\"'=/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 _MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "xmp"}
@@ -53,6 +57,14 @@ NAMED_OUTSIDE = set(
     "navigation newsletter notice notification paywall popup promo promotion related respond search share "
     "sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+READER_COMMENTS = {"comment", "comments", "disqus", "respond"}
+#: Elements that no name leaves out.
+NEVER_NAMED = {"html", "body", "main", "article"}
+#: Before and after a name in the same word: what the page or part has or lacks, not what it is.
+QUALIFIES = set("no non not has have with without hide".split())
+QUALIFIED = {"enabled", "disabled"}
+#: More than this share of the page's text outside links is most of it.
+MOST = 2 / 3
 #: An open element of the key is closed by a start tag of the value.
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody"}, "td": {"td", "th", "tr"},
@@ -60,23 +72,73 @@ CLOSED_BY = {
 }
 
 
-def _is_outside(tag: str, attributes: str, inside_article: bool) -> bool:
+def _named(value: str) -> set[str]:
+    """The names for parts outside the article in a class, id or role."""
+    found = set()
+    for word in value.lower().split():
+        parts = [p for p in re.split(r"[^a-z]+", word) if p]
+        if QUALIFIED.isdisjoint(parts[1:]):
+            found |= {p for before, p in zip(["", *parts], parts) if p in NAMED_OUTSIDE and before not in QUALIFIES}
+    return found
+
+
+def _is_outside(tag: str, attributes: str, inside_article: bool) -> tuple[bool, set[str]]:
+    """Whether an element is left out for its tag or because it is hidden, and the names that would leave it out."""
     if tag in OUTSIDE or (tag == "header" and not inside_article):
-        return True
-    if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for _, *values in _NAMES.findall(attributes):
-        if not NAMED_OUTSIDE.isdisjoint(re.split(r"[^a-z]+", "".join(values).lower())):
-            return True
-    return False
-
-
-def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(path, text, characters inside links) of every block outside the elements left out."""
-    found: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, bool]] = []  # open elements that are not inline, and whether they are left out
+        return True, set()
+    names: set[str] = set()
+    for key, *values in _ATTRIBUTE.findall(attributes) if tag not in ("html", "body") else ():
+        key, value = key.lower(), "".join(values)
+        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
+            return True, set()
+        if key == "style" and _NOT_SHOWN.search(value):
+            return True, set()
+        if key in ("class", "id", "role") and tag not in NEVER_NAMED:
+            names |= _named(value)
+    return False, names
+
+
+@dataclass(slots=True)
+class Element:
+    tag: str
+    parent: int  # place in the list of elements; the first one is the page
+    names: set[str]
+    inside_article: bool
+    chars: int = 0  # text outside links
+    article_chars: int = 0  # those of them in an article
+    heading: bool = False
+
+
+@dataclass(slots=True)
+class Block:
+    path: str
+    text: str
+    linked: int  # characters inside links
+    element: int
+
+
+def _without_named(found: list[Block], elements: list[Element]) -> list[Block]:
+    """The blocks outside elements whose name says that they are not of the article."""
+    for e in reversed(elements[1:]):
+        above = elements[e.parent]
+        above.chars += e.chars
+        above.article_chars += e.article_chars
+        above.heading |= e.heading
+    page, left_out = elements[0], [False]
+    for e in elements[1:]:
+        kept = not e.names or (
+            e.chars > MOST * page.chars and (e.inside_article or e.article_chars == page.article_chars)
+            and (e.heading or READER_COMMENTS.isdisjoint(e.names))
+        )
+        left_out.append(left_out[e.parent] or not kept)
+    return [b for b in found if not left_out[b.element]]
+
+
+def blocks(page: str) -> tuple[list[Block], list[Element]]:
+    """Every block of text outside the elements left out, and the elements, parents first."""
+    found: list[Block] = []
+    elements = [Element("", -1, set(), False)]
+    stack: list[tuple[str, bool, int]] = []  # open elements that are not inline, whether left out, place
     text: list[str] = []
     linked = links = at = articles = 0
     outside = False
@@ -85,13 +147,18 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         nonlocal linked
         whole = " ".join(entities.unescape("".join(text)).split())
         if whole:
-            found.append(("/".join(t for t, _ in stack), whole, linked))
+            here = stack[-1][2] if stack else 0
+            found.append(Block("/".join(t for t, _, _ in stack), whole, linked, here))
+            chars = max(0, len(whole) - linked)
+            elements[here].chars += chars
+            elements[here].article_chars += chars if articles else 0
+            elements[here].heading |= elements[here].tag == "h1"
         text.clear()
         linked = 0
 
     def pop(count: int) -> None:
         nonlocal outside, articles
-        for tag, _ in stack[count:]:
+        for tag, _, _ in stack[count:]:
             articles -= tag in ("article", "main")
         del stack[count:]
         outside = bool(stack) and stack[-1][1]
@@ -131,21 +198,24 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             continue
         while stack and (stack[-1][0] == "p" or name in CLOSED_BY.get(stack[-1][0], ())):
             pop(len(stack) - 1)
-        outside = outside or _is_outside(name, match.group(3), articles > 0)
+        own, names = (True, set()) if outside else _is_outside(name, match.group(3), articles > 0)
+        outside = outside or own
+        if not outside:
+            elements.append(Element(name, stack[-1][2] if stack else 0, names, articles > 0))
         articles += name in ("article", "main")
-        stack.append((name, outside))
+        stack.append((name, outside, len(elements) - 1))
     if not outside:
         close()
-    return found
+    return _without_named(found, elements), elements
 
 
-def content_paths(found: list[tuple[str, str, int]], threshold: float, smoothing: float) -> set[str]:
+def content_paths(found: list[Block], threshold: float, smoothing: float) -> set[str]:
     """The paths whose smoothed and fused ratios are high enough."""
     sums: dict[str, list[float]] = {}
-    for path, text, linked in found:
-        s = sums.setdefault(path, [0.0, 0.0, 0.0])
-        s[0] += max(0, len(text) - linked)
-        s[1] += len(_MARKS.findall(text)) if linked < len(text) else 0
+    for block in found:
+        s = sums.setdefault(block.path, [0.0, 0.0, 0.0])
+        s[0] += max(0, len(block.text) - block.linked)
+        s[1] += len(_MARKS.findall(block.text)) if block.linked < len(block.text) else 0
         s[2] += 1
     levels = {p: tuple(p.split("/")) for p in sums}
     under: dict[tuple[str, ...], list[float]] = {}  # per upper part of a path: summed ratios, paths
@@ -174,9 +244,9 @@ def content_paths(found: list[tuple[str, str, int]], threshold: float, smoothing
 
 def main_text(page: str, threshold: float = THRESHOLD, smoothing: float = SMOOTHING) -> str:
     """The content blocks in page order, one per line."""
-    found = blocks(page)
+    found, _ = blocks(page)
     chosen = content_paths(found, threshold, smoothing)
-    return "\n".join(text for path, text, _ in found if path in chosen)
+    return "\n".join(block.text for block in found if block.path in chosen)
 
 
 def extract_text(
