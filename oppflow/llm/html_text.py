@@ -5,7 +5,10 @@ outside links and the punctuation marks are added up and divided by the number o
 their text in few paths with long, punctuated blocks, navigation spreads little text over many.  A
 path's ratios are smoothed with those of paths that share its upper part, fused into one
 figure, and the paths above a share of the page's best are content.  All blocks of a content path are
-taken, short ones too.
+taken, short ones too, and with them every other block below the deepest element that holds them all: tables,
+nested lists, quotes and code of the article.  That element is never a paragraph, list or table itself, and
+is the article element around it if there is one.  Blocks of nothing but links that lie before
+or after the content are only taken from inside an article, main or an element that directly holds content.
 
 Elements that say what they are (navigation, footers, forms, scripts, adverts by class name, reader
 comments and so on) never enter the sums.  A name does not count on html, body, main and article, nor if it
@@ -65,6 +68,13 @@ QUALIFIES = set("no non not has have with without hide".split())
 QUALIFIED = {"enabled", "disabled"}
 #: More than this share of the page's text outside links is most of it.
 MOST = 2 / 3
+#: Parts of an article, never the whole of it.
+PARTS = set(
+    "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption colgroup thead tbody tfoot tr td th blockquote pre "
+    "figure figcaption address details summary header hgroup hr".split()
+)
+#: What holds the whole page.
+ALL_OF_IT = {"", "html", "body"}
 #: An open element of the key is closed by a start tag of the value.
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody"}, "td": {"td", "th", "tr"},
@@ -242,11 +252,56 @@ def content_paths(found: list[Block], threshold: float, smoothing: float) -> set
     return {p for p, value in fused.items() if value >= threshold * best and sums[p][0]}
 
 
+def article_blocks(found: list[Block], elements: list[Element], chosen: set[str]) -> list[Block]:
+    """The blocks of the content paths, and the others of the article around them."""
+    held, holders = [0] * len(elements), set()
+    places = [k for k, b in enumerate(found) if b.path in chosen and b.linked < len(b.text)]
+    content = {found[k].element for k in places}
+    for e in content:
+        held[e] += 1
+    for e in range(len(elements) - 1, 0, -1):
+        held[elements[e].parent] += held[e]
+        if held[e] and e in content:
+            holders.add(elements[e].parent if elements[e].tag in PARTS else e)
+    if not content:
+        return []
+    # Of the elements that hold all content the last one is the deepest.
+    top = max(e for e in range(len(elements)) if held[e] == len(content))
+    while elements[top].tag in PARTS:
+        top = elements[top].parent
+    around = top
+    while around and elements[around].tag != "article":
+        around = elements[around].parent
+    top = around or top
+    whole_page = elements[top].tag in ALL_OF_IT
+    # A page without an element around its article: the parts below it that hold content, each with what is in it.
+    tops = {top}
+    if whole_page and top not in holders:
+        tops = set()
+        for e in range(1, len(elements)):
+            up = elements[e].parent
+            if held[e] and elements[e].tag not in ALL_OF_IT and elements[up].tag in ALL_OF_IT:
+                tops.add(e)
+    # Per element: whether it is in the article, and whether links alone count there.
+    inside, with_links = [], []
+    for e, element in enumerate(elements):
+        up = element.parent
+        inside.append(e in tops or (up >= 0 and inside[up]))
+        with_links.append(
+            (up >= 0 and with_links[up]) or element.tag in ("article", "main")
+            or (e in holders and element.tag not in ALL_OF_IT)
+        )
+    return [
+        b for k, b in enumerate(found) if b.path in chosen or (
+            inside[b.element] and (b.linked < len(b.text) or with_links[b.element] or places[0] < k < places[-1]))
+    ]
+
+
 def main_text(page: str, threshold: float = THRESHOLD, smoothing: float = SMOOTHING) -> str:
     """The content blocks in page order, one per line."""
-    found, _ = blocks(page)
+    found, elements = blocks(page)
     chosen = content_paths(found, threshold, smoothing)
-    return "\n".join(block.text for block in found if block.path in chosen)
+    return "\n".join(block.text for block in article_blocks(found, elements, chosen))
 
 
 def extract_text(
