@@ -4,13 +4,14 @@ Each language has probabilities of character trigrams, fitted on a bounded sampl
 word (a run of letters) has a likelihood under each language; a document is a mixture, every word of one
 language.  Expectation-maximisation estimates the proportions.  Then the document's set of languages
 is chosen: the largest one, two, three ... languages, each set with proportions of its own, compared by
-log-likelihood less half the log of the word count for each further language.  The language with
+log-likelihood less half the log of the word count for each further language.  The empty set competes with
+them: letters in no language, every trigram as likely as any other.  The language with
 the largest proportion of the chosen set is the prediction, its proportion the score.
 
 All documents of a block are inferred at once, as arrays over their words.
 
-Defined cases: a null or empty text, or one without a letter, is ``und`` with score 0, as is every text if
-there is no row to learn from; ties between languages go to the first name; a long text has more words
+Defined cases: a null or empty text, one without a letter, or one whose letters are likelier in no language, is
+``und`` with score 0, as is every text if there is no row to learn from; ties between languages go to the first name; a long text has more words
 and is inferred alone if need be; rows that repeat get the same answer each; an empty table gives an empty
 result; other columns are not read.
 """
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from oppflow.llm.batches import with_results
 from oppflow.llm.samples import remainder, sample_per_label
+from oppflow.llm.tables import whole_text
 
 #: Rows per language that the model is fitted on, and the longest text among them.
 FIT_ROWS = 1_000
@@ -87,7 +89,7 @@ def fit(rows: list[tuple[str, str]], smoothing: float = 0.5) -> Model | None:
 
 
 def infer(texts: list[str], model: Model) -> np.ndarray:
-    """Proportions, texts x languages, zero outside the chosen set and for texts without words."""
+    """Proportions, texts x languages, zero outside the chosen set and for texts in no language."""
     bucket, starts, words = _trigrams(texts)
     shares = np.zeros((len(texts), len(model.languages)))
     has = np.flatnonzero(words)
@@ -122,7 +124,10 @@ def infer(texts: list[str], model: Model) -> np.ndarray:
         value = np.add.reduceat(fitted, firsts) - 0.5 * (size - 1) * np.log(counts)
         better = value > best
         best, chosen = np.where(better, value, best), np.where(better, part, chosen)
-    shares[has] = chosen.T
+    # The trigrams of all words, under the chosen set and as if none were likelier than another.
+    best += np.add.reduceat(score.max(axis=0).astype(np.float64), firsts)
+    letters = np.add.reduceat(np.diff(starts, append=len(bucket)), firsts)
+    shares[has] = np.where(best > -letters * np.log(BUCKETS), chosen, 0).T
     return shares
 
 
@@ -171,8 +176,8 @@ def languages(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 
 def drop_unknown(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows whose text is in a language, with all their columns; without a model, all rows."""
+    """The rows whose text is in a language, with all their columns; without a model, those with a letter."""
     if model is None:
-        return df
+        return df.where(whole_text(text_col).rlike(r"\p{L}"))
     kept = _predicted(df, model, df.columns, text_col).where(F.col("lang_pred") != UNKNOWN)
     return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(df.columns)])
