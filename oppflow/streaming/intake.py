@@ -13,7 +13,10 @@ from oppflow.streaming.jobs import batch_table, run_batches
 
 
 def in_flight(postings: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Drop repeats that are still under way; the state is bounded by the watermark."""
+    """Drop repeats that are still under way; the state is bounded by the watermark.
+
+    Rows older than the watermark are dropped too, seen before or not: not for postings that may arrive late.
+    """
     return postings.withWatermark("ts", delay).dropDuplicatesWithinWatermark(
         ["url", "company", "title"]
     )
@@ -21,12 +24,11 @@ def in_flight(postings: DataFrame, delay: str = "1 day") -> DataFrame:
 
 def stream_intake(
     postings: DataFrame, known: DataFrame, path: str | None = None, checkpoint: str | None = None,
-    delay: str = "1 day",
 ) -> DataFrame:
     """Process all available postings and return the accepted ones.
 
-    The watermark only bounds repeats in flight.  What was ever accepted is decided
-    by a table of keys: those of ``known`` are written once, each batch appends the
+    There is no watermark, so a posting counts however late it arrives.  What was ever accepted, and
+    what repeats within a batch, is decided by a table of keys: those of ``known`` are written once, each batch appends the
     keys of what it accepted, and a batch that is run again replaces its own part.
     With ``path`` and ``checkpoint`` of the caller's the next call carries on.
     """
@@ -47,7 +49,7 @@ def stream_intake(
         written = spark.read.schema(batch.select(*columns).schema).parquet(accepted)
         seen_keys(written).write.mode("overwrite").parquet(f"{keys}/batch_id={batch_id}")
 
-    run_batches(in_flight(postings, delay), "append", write, checkpoint)
+    run_batches(postings, "append", write, checkpoint)
     return batch_table(spark, f"{path}/accepted", postings.select(*columns).schema).drop("batch_id")
 
 
