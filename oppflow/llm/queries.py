@@ -12,6 +12,7 @@ from oppflow.llm import language, toxicity
 from oppflow.llm.bpe import bpe_encode
 from oppflow.llm.exact_dedup import exact_copies
 from oppflow.llm.html_text import extract_text
+from oppflow.llm.mixing import mix_sources
 from oppflow.llm.near_dedup import near_copies
 from oppflow.llm.packing import pack_documents
 from oppflow.llm.samples import remainder
@@ -19,6 +20,8 @@ from oppflow.llm.sharding import ring_shards
 from oppflow.llm.tables import few_files, table
 from oppflow.llm.token_files import token_file_round_trip
 from oppflow.llm.top_k import top_k
+from oppflow.llm.whitening import whiten
+from oppflow.llm.word_runs import word_runs
 
 WORD_BPE = tokenizer_path("word_bpe_49k.json")
 
@@ -132,3 +135,48 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """, shuffled=True)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256)
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` of documents, the text of some made periodic: with ``h = crc32(doc_id)``, ``g = h div 10`` and ``n`` words,
+    if ``h`` ends in 0 every word ``i >= a`` becomes word ``a + (i - a) % p``, ``a = g % n``, ``p = 1 + (n - a) div (3 + g % 8)``."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    split = docs.select("doc_id", "text", words.alias("w")).withColumns({
+        "n": F.size("w"), "g": F.floor(h / 10), "many": F.coalesce(F.size("w"), F.lit(0)) > 0,
+    })
+    split = split.withColumn("a", F.when(F.col("many"), F.col("g") % F.col("n")).cast("int")).withColumn(
+        "p", F.when(F.col("many"), F.expr("1 + (n - a) div (3 + g % 8)")).cast("int")
+    )
+    periodic = F.expr(
+        "array_join(concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), "
+        "cast((n - a + p - 1) div p AS int))), 1, n - a)), ' ')"
+    )
+    return split.select("doc_id", F.when(F.col("many"), periodic).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_word_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_runs(with_periods(table(spark, sf_dir, "documents")))
+    # Greatest length first, then smallest start, then smallest period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("finer"),
+    )))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    every = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return found.withColumn("_best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.before")).alias("start"),
+        F.col("_best.length").alias("length"), (-F.col("_best.finer")).alias("period"),
+        F.expr("1000 * _best.length div -_best.finer").alias("exponent_milli"),
+        F.sha2(every, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_mixing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
