@@ -9,6 +9,7 @@ taken, short ones too, and with them every other block below the deepest element
 nested lists, quotes and code of the article.  That element is never a paragraph, list or table itself, and
 is the article element around it if there is one.  Blocks of nothing but links that lie before
 or after the content are only taken from inside an article, main or an element that directly holds content.
+Where one article element holds most of the content, nothing outside it is taken.
 
 Elements that say what they are (navigation, footers, forms, scripts, adverts by class name, reader
 comments and so on) never enter the sums.  A name does not count on html, body, main and article, nor if it
@@ -16,8 +17,13 @@ is negated or qualified (no-sidebar, has-sidebar, share-enabled), and an element
 text is judged by its ratios whatever its name, unless the page has an article elsewhere; one named for
 reader comments has to hold the page's heading, too.
 
+Paths are nodes of a tree that grows with the page, so a page takes time in proportion to its length, however
+deep it is; the ratios of paths too far apart to weigh anything in doubles are not visited.
+
 Defined cases: null html is the empty page and gives the empty text; markup that is cut off or not
-closed is read as far as it goes; a page is one row of one task, whose length only counts linearly;
+closed is read as far as it goes; of an element whose text is left out and that has no end tag only the tag is left
+out, but for scripts and styles, which last to the end of the page; a link lasts over the blocks inside it, to its
+end tag, the next link or the end of the element it began in; a page is one row of one task;
 rows that repeat each give a row; an empty table gives an empty result; other columns are not read.
 """
 
@@ -25,6 +31,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import exp
@@ -48,6 +55,8 @@ _NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 _MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "xmp"}
+#: Without an end tag these last to the end of the page.
+CODE = {"script", "style"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
@@ -121,7 +130,7 @@ class Element:
 
 @dataclass(slots=True)
 class Block:
-    path: str
+    path: int  # node of the tree of paths
     text: str
     linked: int  # characters inside links
     element: int
@@ -144,21 +153,32 @@ def _without_named(found: list[Block], elements: list[Element]) -> list[Block]:
     return [b for b in found if not left_out[b.element]]
 
 
-def blocks(page: str) -> tuple[list[Block], list[Element]]:
-    """Every block of text outside the elements left out, and the elements, parents first."""
+def _is_link(attributes: str) -> bool:
+    """Whether a start tag ``a`` leads somewhere, as one that only has a name does not."""
+    keys = {key.lower() for key, *_ in _ATTRIBUTE.findall(attributes)}
+    return "href" in keys or "name" not in keys
+
+
+def blocks(page: str) -> tuple[list[Block], list[Element], list[int]]:
+    """Every block of text outside the elements left out, the elements, parents first, and the parents of the paths."""
     found: list[Block] = []
     elements = [Element("", -1, set(), False)]
-    stack: list[tuple[str, bool, int]] = []  # open elements that are not inline, whether left out, place
+    # Open elements that are not inline: tag, whether left out, place, path.
+    stack: list[tuple[str, bool, int, int]] = []
+    open_tags: Counter[str] = Counter()
+    paths: dict[tuple[int, str], int] = {(0, ""): 1}  # text outside all elements has a path of its own
+    above = [-1, 0]
+    endless: set[str] = set()  # tags of which no end follows
     text: list[str] = []
-    linked = links = at = articles = 0
+    linked = link = at = articles = 0  # link: elements open where the open link began, and one
     outside = False
 
     def close() -> None:
         nonlocal linked
         whole = " ".join(entities.unescape("".join(text)).split())
         if whole:
-            here = stack[-1][2] if stack else 0
-            found.append(Block("/".join(t for t, _, _ in stack), whole, linked, here))
+            here, path = stack[-1][2:] if stack else (0, 1)
+            found.append(Block(path, whole, linked, here))
             chars = max(0, len(whole) - linked)
             elements[here].chars += chars
             elements[here].article_chars += chars if articles else 0
@@ -167,18 +187,20 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
         linked = 0
 
     def pop(count: int) -> None:
-        nonlocal outside, articles
-        for tag, _, _ in stack[count:]:
+        nonlocal outside, articles, link
+        for tag, *_ in stack[count:]:
             articles -= tag in ("article", "main")
+            open_tags[tag] -= 1
         del stack[count:]
         outside = bool(stack) and stack[-1][1]
+        link = link if link <= count + 1 else 0
 
     while True:
         match = _TOKEN.search(page, at)
         piece = page[at: match.start() if match else len(page)]
         if piece and not outside:
             text.append(piece)
-            linked += len(piece) if links else 0
+            linked += len(piece) if link else 0
         if not match:
             break
         at, name = match.end(), (match.group(2) or "").lower()
@@ -186,25 +208,32 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
             continue
         ends = match.group(1) == "/"
         if name in RAW and not ends:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if name == "svg" and match.group(3).endswith("/"):
+                continue
+            end = None if name in endless else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+            elif name in CODE:
+                at = len(page)
+            else:
+                endless.add(name)
             continue
         if name == "br" and not outside:
             text.append(" ")
         if name in INLINE:
             if name == "a":
-                links = 0 if ends else 1
+                link = 0 if ends or not _is_link(match.group(3)) else len(stack) + 1
             continue
         if not outside:
             close()
-        links = 0
         if name in VOID:
             continue
         if ends:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    pop(depth)
-                    break
+            if open_tags[name]:
+                depth = len(stack) - 1
+                while stack[depth][0] != name:
+                    depth -= 1
+                pop(depth)
             continue
         while stack and (stack[-1][0] == "p" or name in CLOSED_BY.get(stack[-1][0], ())):
             pop(len(stack) - 1)
@@ -213,47 +242,69 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
         if not outside:
             elements.append(Element(name, stack[-1][2] if stack else 0, names, articles > 0))
         articles += name in ("article", "main")
-        stack.append((name, outside, len(elements) - 1))
+        open_tags[name] += 1
+        up = stack[-1][3] if stack else 0
+        path = paths.setdefault((up, name), len(above))
+        if path == len(above):
+            above.append(up)
+        stack.append((name, outside, len(elements) - 1, path))
     if not outside:
         close()
-    return _without_named(found, elements), elements
+    return _without_named(found, elements), elements, above
 
 
-def content_paths(found: list[Block], threshold: float, smoothing: float) -> set[str]:
-    """The paths whose smoothed and fused ratios are high enough."""
-    sums: dict[str, list[float]] = {}
+def content_paths(found: list[Block], above: list[int], threshold: float, smoothing: float) -> set[int]:
+    """The paths whose smoothed and fused ratios are high enough; ``above`` has the path that each one extends."""
+    sums: dict[int, list[float]] = {}
     for block in found:
         s = sums.setdefault(block.path, [0.0, 0.0, 0.0])
         s[0] += max(0, len(block.text) - block.linked)
         s[1] += len(_MARKS.findall(block.text)) if block.linked < len(block.text) else 0
         s[2] += 1
-    levels = {p: tuple(p.split("/")) for p in sums}
-    under: dict[tuple[str, ...], list[float]] = {}  # per upper part of a path: summed ratios, paths
+    # Per path: the ratios of the paths at and under it, and how many there are.
+    under = [[0.0, 0.0, 0.0] for _ in above]
     for path, (chars, marks, n) in sums.items():
-        for depth in range(len(levels[path]) + 1):
-            u = under.setdefault(levels[path][:depth], [0.0, 0.0, 0.0])
-            u[0] += chars / n
-            u[1] += marks / n
-            u[2] += 1
+        under[path] = [chars / n, marks / n, 1.0]
+    for path in range(len(above) - 1, 0, -1):  # a path comes after the one it extends
+        up, own = under[above[path]], under[path]
+        for k in range(3):
+            up[k] += own[k]
     fused = {}
-    for path, own in levels.items():
+    for path in sums:
         total = text = marks = 0.0
-        closer = [0.0, 0.0, 0.0]
-        for depth in range(len(own), -1, -1):
-            apart = len(own) - depth
-            weight = exp(-smoothing * apart * apart / 4)
-            here = under[own[:depth]]
+        closer, apart, at = [0.0, 0.0, 0.0], 0, path
+        while at >= 0 and (weight := exp(-smoothing * apart * apart / 4)):
+            here = under[at]
             text += weight * (here[0] - closer[0])
             marks += weight * (here[1] - closer[1])
             total += weight * (here[2] - closer[2])
-            closer = here
+            closer, at, apart = here, above[at], apart + 1
         fused[path] = text / total * (1 + marks / total) ** 0.5
     best = max(fused.values(), default=0.0)
     return {p for p, value in fused.items() if value >= threshold * best and sums[p][0]}
 
 
-def article_blocks(found: list[Block], elements: list[Element], chosen: set[str]) -> list[Block]:
+def _in_one_article(found: list[Block], elements: list[Element], chosen: set[int]) -> list[Block]:
+    """The blocks of the outermost article element that holds most of the content, or all if none does."""
+    article, held, total = [-1] * len(elements), Counter(), 0
+    for e in range(1, len(elements)):
+        article[e] = article[elements[e].parent]
+        if article[e] < 0 and elements[e].tag == "article":
+            article[e] = e
+    for b in found:
+        if b.path in chosen:
+            chars = max(0, len(b.text) - b.linked)
+            held[article[b.element]] += chars
+            total += chars
+    for e, chars in held.items():
+        if e >= 0 and chars > MOST * total:
+            return [b for b in found if article[b.element] == e]
+    return found
+
+
+def article_blocks(found: list[Block], elements: list[Element], chosen: set[int]) -> list[Block]:
     """The blocks of the content paths, and the others of the article around them."""
+    found = _in_one_article(found, elements, chosen)
     held, holders = [0] * len(elements), set()
     places = [k for k, b in enumerate(found) if b.path in chosen and b.linked < len(b.text)]
     content = {found[k].element for k in places}
@@ -298,10 +349,10 @@ def article_blocks(found: list[Block], elements: list[Element], chosen: set[str]
 
 
 def main_text(page: str, threshold: float = THRESHOLD, smoothing: float = SMOOTHING) -> str:
-    """The content blocks in page order, one per line."""
-    found, elements = blocks(page)
-    chosen = content_paths(found, threshold, smoothing)
-    return "\n".join(block.text for block in article_blocks(found, elements, chosen))
+    """The content blocks in page order, with an empty line between them."""
+    found, elements, above = blocks(page)
+    chosen = content_paths(found, above, threshold, smoothing)
+    return "\n\n".join(block.text for block in article_blocks(found, elements, chosen))
 
 
 def extract_text(

@@ -27,7 +27,7 @@ WHOLE = main_text(BODY)
     f'<main><div class="promo">{BODY}</div></main>',
 ])
 def test_article_is_kept(page):
-    assert WHOLE.count("\n") == 6 and main_text(page) == WHOLE
+    assert WHOLE.count("\n\n") == 6 and main_text(page) == WHOLE
 
 
 LONG = "".join(f"<p>Other text {k}, with marks, and longer than all of the article. {'More. ' * 90}</p>" for k in range(6))

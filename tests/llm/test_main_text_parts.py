@@ -16,7 +16,7 @@ NAV = "<ul><li><a href=/>Home page</a></li><li><a href=/b>All of the news</a></l
 
 
 def lines(page):
-    return main_text(page).split("\n")
+    return main_text(page).split("\n\n")
 
 
 @pytest.mark.parametrize("before,after", [

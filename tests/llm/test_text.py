@@ -104,13 +104,13 @@ ARTICLE = "<article><h1>Head &amp; more</h1><p>First, with <b>bold</b> and\n a <
 
 @pytest.mark.parametrize("page,text", [
     ("", ""),
-    (ARTICLE, "Head & more\nFirst, with bold and a link. Long enough, yes.\nSecond line."),
+    (ARTICLE, "Head & more\n\nFirst, with bold and a link. Long enough, yes.\n\nSecond line."),
     ("<nav><a>Home</a></nav>" + ARTICLE + "<footer>&copy; 2020, all.</footer>",
-     "Head & more\nFirst, with bold and a link. Long enough, yes.\nSecond line."),
+     "Head & more\n\nFirst, with bold and a link. Long enough, yes.\n\nSecond line."),
     ("<script>var t='</p><p>no';</script><style>p{}</style><!-- <p>no</p> -->" + ARTICLE + "<div class='comments'><p>Reader says, hm.</div>",
-     "Head & more\nFirst, with bold and a link. Long enough, yes.\nSecond line."),
+     "Head & more\n\nFirst, with bold and a link. Long enough, yes.\n\nSecond line."),
     ("<div class=\"cookie-notice\"><p>We use cookies, really.</p></div><form><p>Mail, please.</form>" + ARTICLE + "<aside><p>Side, bar.</aside>",
-     "Head & more\nFirst, with bold and a link. Long enough, yes.\nSecond line."),
+     "Head & more\n\nFirst, with bold and a link. Long enough, yes.\n\nSecond line."),
     ("<p>unclosed <b>text, goes on", "unclosed text, goes on"),
     ("<ul><li><a href=1>One</a><li><a href=2>Two</a></ul><div><p>" + "Real text, with marks. " * 10 + "</div>",
      ("Real text, with marks. " * 10).strip()),
@@ -139,7 +139,7 @@ def test_pages_table(spark, sf_dir):
     for r in got:
         inner = re.search("<article>(.*?)</article>", pages[r.page_id], re.S).group(1).replace("<br>", " ")
         parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>", inner)]
-        assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+        assert r.text == "\n\n".join(p for p in parts if p) and r.n_chars == len(r.text)
 
 
 def test_null_and_repeated_pages(spark):
