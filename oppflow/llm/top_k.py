@@ -10,13 +10,16 @@ one, and left out when
     q . c  +  |q| R  +  |c| r  +  r R  <  the worst kth score among the node's queries
 
 (centers q, c; radii r, R), as no pair of rows below them can score more.  Leaves are compared by one matrix
-product of whole numbers, exact in doubles.  At the end each query's best rows of all blocks are ranked.
+product of whole numbers, exact in doubles; two trees whose scores may leave the range where that holds, or where
+a score and a rank fit into one number, are compared in Python's whole numbers, on the same walk.  At the end each
+query's best rows of all blocks are ranked.
 
 Vectors in many dimensions without clusters leave little to prune; then a search costs the matrix
 products and nothing is lost.
 
-Defined cases: vectors that are null, empty or hold a null or non-finite component, and rows without an id,
-take no part; vectors of different length are not compared; ties go to the smaller id; rows with the query's
+Defined cases: vectors that are null, empty or hold a null or non-finite component (also one that is not finite
+when counted in 1/``scale``), and rows without an id, take no part; components of any other size count, exactly; a
+score beyond 64 bits ranks by its value and is null, ``over`` (1 or -1) says on which side it is; vectors of different length are not compared; ties go to the smaller id; rows with the query's
 id are not its candidates, rows that repeat an id and a vector count once; fewer candidates than ``k`` give
 all; an empty table gives an empty result; other columns are not read.
 """
@@ -24,6 +27,8 @@ all; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import nsmallest
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -43,7 +48,8 @@ class Tree:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, nodes: np.ndarray):
         self.ids, self.vectors, self.nodes = ids, vectors, nodes
-        self.norms = np.sqrt((vectors * vectors).sum(axis=1))
+        with np.errstate(over="ignore"):
+            self.norms = np.sqrt((vectors * vectors).sum(axis=1))
 
     @classmethod
     def build(cls, ids: np.ndarray, vectors: np.ndarray) -> Tree:
@@ -52,7 +58,8 @@ class Tree:
         nodes: list[list[float]] = []
 
         def far(rows: np.ndarray, center: int) -> np.ndarray:
-            return np.sqrt(((x[rows] - x[center]) ** 2).sum(axis=1))
+            with np.errstate(over="ignore"):
+                return np.sqrt(((x[rows] - x[center]) ** 2).sum(axis=1))
 
         todo = [(0, len(ids), int(order[0]))]  # first row, end row, center; children follow breadth first
         nodes.append([0, len(ids), order[0], 0, 0, 0])
@@ -63,7 +70,7 @@ class Tree:
             nearest = far(rows, center)
             radius = float(nearest.max(initial=0.0))
             nodes[at][3] = radius
-            if len(rows) > LEAF and radius > 0:
+            if len(rows) > LEAF and 0 < radius < np.inf:
                 owner, centers = np.zeros(len(rows), dtype=np.int64), [center]
                 while len(centers) < FAN_OUT and nearest.max() > SHRINK * radius:
                     centers.append(int(rows[nearest.argmax()]))
@@ -88,23 +95,88 @@ class Tree:
         return cls(ids[order], x[order], table)
 
 
+class _Best:
+    """The best k rows of each query so far, score and rank in one 64-bit number."""
+
+    #: Scores of smaller size than this go with the rank of a candidate of its block.
+    LIMIT = 1 << (62 - _RANK_BITS)
+    _NOTHING = np.iinfo(np.int64).min
+
+    def __init__(self, queries: Tree, candidates: Tree, k: int):
+        self.queries, self.candidates, self.k = queries, candidates, k
+        self.rank = np.empty(len(candidates.ids), dtype=np.int64)  # smaller ids win ties
+        self.rank[np.argsort(candidates.ids, kind="stable")] = np.arange(len(self.rank))[::-1]
+        self.best = np.full((len(queries.ids), k), self._NOTHING)
+
+    def worst(self, low: int, high: int) -> int | None:
+        """The least kth score of the queries, None if one has fewer."""
+        worst = int(self.best[low:high].min())
+        return None if worst == self._NOTHING else worst >> _RANK_BITS
+
+    def compare(self, low: int, high: int, first: int, end: int) -> None:
+        q, c = self.queries, self.candidates
+        score = np.rint(q.vectors[low:high] @ c.vectors[first:end].T).astype(np.int64)
+        found = (score << _RANK_BITS) + self.rank[first:end]
+        found[q.ids[low:high, None] == c.ids[None, first:end]] = self._NOTHING
+        every = np.concatenate([self.best[low:high], found], axis=1)
+        self.best[low:high] = np.partition(every, every.shape[1] - self.k, axis=1)[:, -self.k:]
+
+    def rows(self) -> Iterator[tuple[int, int, int]]:
+        by_rank = np.empty_like(self.rank)
+        by_rank[self.rank] = np.arange(len(self.rank))
+        for query, found in zip(self.queries.ids.tolist(), np.sort(self.best, axis=1)[:, ::-1].tolist()):
+            for value in found:
+                if value != self._NOTHING:
+                    at = by_rank[value & ((1 << _RANK_BITS) - 1)]
+                    yield query, int(self.candidates.ids[at]), value >> _RANK_BITS
+
+
+class _BestOfAnySize(_Best):
+    """The same in Python's whole numbers."""
+
+    def __init__(self, queries: Tree, candidates: Tree, k: int):
+        self.queries, self.candidates, self.k = queries, candidates, k
+        self.found: list[list[tuple[int, int]]] = [[] for _ in queries.ids]  # (less the score, id), best first
+        whole = lambda x: [[int(v) for v in row] for row in x.tolist()]
+        self.q, self.c = whole(queries.vectors), whole(candidates.vectors)
+
+    def worst(self, low: int, high: int) -> int | None:
+        if any(len(f) < self.k for f in self.found[low:high]):
+            return None
+        return min(-f[-1][0] for f in self.found[low:high])
+
+    def compare(self, low: int, high: int, first: int, end: int) -> None:
+        ids = self.candidates.ids[first:end].tolist()
+        for at in range(low, high):
+            own, mine = self.q[at], int(self.queries.ids[at])
+            more = [(-sum(map(mul, own, row)), i) for i, row in zip(ids, self.c[first:end]) if i != mine]
+            self.found[at] = nsmallest(self.k, self.found[at] + more)
+
+    def rows(self) -> Iterator[tuple[int, int, int]]:
+        for query, found in zip(self.queries.ids.tolist(), self.found):
+            for less, at in found:
+                yield query, at, -less
+
+
 def search(queries: Tree, candidates: Tree, k: int) -> list[tuple[int, int, int]]:
     """(query id, candidate id, score) of each query's best k candidates of the tree."""
-    rank = np.empty(len(candidates.ids), dtype=np.int64)  # smaller ids win ties
-    rank[np.argsort(candidates.ids, kind="stable")] = np.arange(len(rank))[::-1]
-    by_rank = np.empty_like(rank)
-    by_rank[rank] = np.arange(len(rank))
-    nothing = np.iinfo(np.int64).min
-    best = np.full((len(queries.ids), k), nothing)  # score and rank in one number
+    largest = [float(np.abs(t.vectors).max(initial=0.0)) for t in (queries, candidates)]
+    small = largest[0] * largest[1] * queries.vectors.shape[1] < _Best.LIMIT
+    best = (_Best if small else _BestOfAnySize)(queries, candidates, k)
     q_nodes, c_nodes = queries.nodes, candidates.nodes
 
     def bounds(q: int, nodes: np.ndarray) -> np.ndarray:
         at, radius = int(q_nodes[q, 2]), q_nodes[q, 3]
         centers, radii = nodes[:, 2].astype(np.int64), nodes[:, 3]
-        return (
-            candidates.vectors[centers] @ queries.vectors[at] + queries.norms[at] * radii
-            + candidates.norms[centers] * radius + radius * radii
-        )
+        with np.errstate(over="ignore", invalid="ignore"):
+            most = (queries.norms[at] + radius) * (candidates.norms[centers] + radii)
+            bound = (
+                candidates.vectors[centers] @ queries.vectors[at] + queries.norms[at] * radii
+                + candidates.norms[centers] * radius + radius * radii
+            )
+            # More than the bound can be off by rounding; what is no number bounds nothing.
+            bound = bound + 1e-3 + 1e-12 * most
+        return np.where(np.isnan(bound), np.inf, bound)
 
     def children(nodes: np.ndarray, node: int) -> np.ndarray:
         first, count = int(nodes[node, 4]), int(nodes[node, 5])
@@ -114,32 +186,28 @@ def search(queries: Tree, candidates: Tree, k: int) -> list[tuple[int, int, int]
     while todo:
         q, c, bound = todo.pop()
         low, high = int(q_nodes[q, 0]), int(q_nodes[q, 1])
-        worst = best[low:high].min()
-        if worst != nothing and bound < (worst >> _RANK_BITS):
+        worst = best.worst(low, high)
+        if worst is not None and bound < worst:
             continue
         if not q_nodes[q, 5] and not c_nodes[c, 5]:
-            first, end = int(c_nodes[c, 0]), int(c_nodes[c, 1])
-            score = np.rint(queries.vectors[low:high] @ candidates.vectors[first:end].T).astype(np.int64)
-            found = (score << _RANK_BITS) + rank[first:end]
-            found[queries.ids[low:high, None] == candidates.ids[None, first:end]] = nothing
-            every = np.concatenate([best[low:high], found], axis=1)
-            best[low:high] = np.partition(every, every.shape[1] - k, axis=1)[:, -k:]
+            best.compare(low, high, int(c_nodes[c, 0]), int(c_nodes[c, 1]))
             continue
         # Split the wider node first; of its pairs the most promising is visited first.
         split_q = q_nodes[q, 5] and (not c_nodes[c, 5] or q_nodes[q, 3] > c_nodes[c, 3])
         pairs = []
         for below in children(q_nodes, q) if split_q else [q]:
             of = np.array([c]) if split_q else children(c_nodes, c)
-            # Rounding of the bound is far below one; scores are whole numbers.
-            pairs += [(int(below), int(n), float(b) + 1e-3) for n, b in zip(of, bounds(int(below), c_nodes[of]))]
+            pairs += [(int(below), int(n), float(b)) for n, b in zip(of, bounds(int(below), c_nodes[of]))]
         todo += sorted(pairs, key=lambda p: p[2])
-    rows = []
-    for query, found in zip(queries.ids.tolist(), np.sort(best, axis=1)[:, ::-1].tolist()):
-        for value in found:
-            if value != nothing:
-                at = by_rank[value & ((1 << _RANK_BITS) - 1)]
-                rows.append((query, int(candidates.ids[at]), value >> _RANK_BITS))
-    return rows
+    return list(best.rows())
+
+
+def _ranked(score: int) -> tuple[int | None, int, str | None]:
+    """A score as a 64-bit number, or null with the side it is on and a text that sorts like it."""
+    if -(1 << 63) <= score < 1 << 63:
+        return score, 0, None
+    # Sums of products of doubles have fewer than 640 digits.
+    return None, 1 if score > 0 else -1, f"{score + 10**640:0641d}"
 
 
 def _trees(vectors: DataFrame, rows: int, name: str) -> DataFrame:
@@ -155,7 +223,7 @@ def _trees(vectors: DataFrame, rows: int, name: str) -> DataFrame:
         tree = Tree.build(group["id"].to_numpy(), np.array(group["vector"].tolist()))
         return pd.DataFrame({
             "dim": group["dim"].iloc[:1], "block": group["block"].iloc[:1], "blocks": group["blocks"].iloc[:1],
-            "ids": [tree.ids.astype("<i8").tobytes()], "vectors": [tree.vectors.astype("<i8").tobytes()],
+            "ids": [tree.ids.astype("<i8").tobytes()], "vectors": [tree.vectors.astype("<f8").tobytes()],
             "nodes": [tree.nodes.astype("<f8").tobytes()],
         })
 
@@ -165,7 +233,7 @@ def _trees(vectors: DataFrame, rows: int, name: str) -> DataFrame:
 
 
 def _tree(dim: int, ids: bytes, vectors: bytes, nodes: bytes) -> Tree:
-    x = np.frombuffer(vectors, dtype="<i8").reshape(-1, dim).astype(np.float64)
+    x = np.frombuffer(vectors, dtype="<f8").reshape(-1, dim)
     return Tree(np.frombuffer(ids, dtype="<i8"), x, np.frombuffer(nodes, dtype="<f8").reshape(-1, 6))
 
 
@@ -173,18 +241,20 @@ def top_k(
     df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
     scale: int = 256, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` best candidates of every query, all rows but its own.
+    """``query_id, rank, vec_id, score, over``: the ``k`` best candidates of every query, all rows but its own.
 
     Components are counted in whole 1/``scale``, rounded down.  ``is_query`` may use the column ``id``.
     """
     value = lambda x: x.cast("double")
-    odd = lambda x: x.isNull() | F.isnan(value(x)) | (F.abs(value(x)) == float("inf"))
+    odd = lambda x: x.isNull() | F.isnan(value(x)) | (F.abs(value(x) * scale) == float("inf"))
+    # Doubles from 2^52 on are whole, and may be too large for floor()'s 64 bits.
+    whole = lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)
     column = F.col(f"`{vector_col}`")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), column.alias("_v")).where(
         F.col("id").isNotNull() & F.col("_v").isNotNull() & (F.size("_v") > 0) & ~F.exists("_v", odd)
     )
     vectors = rows.select(
-        "id", F.size("_v").alias("dim"), F.transform("_v", lambda x: F.floor(value(x) * scale)).alias("vector")
+        "id", F.size("_v").alias("dim"), F.transform("_v", lambda x: whole(value(x) * scale)).alias("vector")
     ).dropDuplicates(["id", "vector"])
     candidates = _trees(vectors, candidate_block, "candidate_trees")
     queries = _trees(vectors.where(is_query), query_block, "query_trees")
@@ -199,13 +269,20 @@ def top_k(
         for batch in batches:
             for dim, q_ids, q_vectors, q_nodes, ids, x, nodes in batch.itertuples(index=False):
                 found = search(_tree(dim, q_ids, q_vectors, q_nodes), _tree(dim, ids, x, nodes), k)
-                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+                ranked = [_ranked(score) for _, _, score in found]
+                yield pd.DataFrame({
+                    "query_id": [f[0] for f in found], "vec_id": [f[1] for f in found],
+                    "score": pd.array([r[0] for r in ranked], dtype="Int64"),
+                    "over": [r[1] for r in ranked], "digits": [r[2] for r in ranked],
+                })
 
     pairs = aimed.join(candidates.drop("blocks"), ["dim", "block"]).select(
         "dim", "q_ids", "q_vectors", "q_nodes", "ids", "vectors", "nodes"
     )
-    best = pairs.mapInPandas(searched, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = pairs.mapInPandas(searched, "query_id long, vec_id long, score long, over int, digits string")
+    order = Window.partitionBy("query_id").orderBy(
+        F.col("over").desc(), F.col("score").desc(), F.col("digits").desc(), "vec_id"
+    )
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score"
+        "query_id", "rank", "vec_id", "score", "over"
     )

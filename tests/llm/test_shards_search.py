@@ -106,6 +106,19 @@ def test_top_k(spark, monkeypatch, rows):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_force(rows, 5)
 
 
+@pytest.mark.parametrize("size", [3e4, 1e6, 3e5, 1e14, 1e30, 1e200])
+def test_top_k_of_large_components(spark, monkeypatch, size):
+    """Scores beyond the exact range of doubles, and beyond 64 bits."""
+    monkeypatch.setattr(search, "LEAF", 8)
+    rows = [(i, [size * c for c in v]) for i, v in vectors(5, 260, 6, clusters=4)]
+    rows += [(1000 + i, [0.25 * i, 0.0, 1.0, -1.0, 0.0, 0.5]) for i in range(40)]  # small ones beside them
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, id int")
+    got = top_k(df, F.col("id") % 50 == 0, candidate_block=70, query_block=3).collect()
+    fits = lambda s: -(1 << 63) <= s < 1 << 63
+    want = [(q, r, i, s if fits(s) else None, 0 if fits(s) else 1 if s > 0 else -1) for q, r, i, s in brute_force(rows, 5)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score, r.over) for r in got) == want
+
+
 def test_search_prunes(monkeypatch):
     """On clustered vectors most pairs of leaves are never multiplied, and the answers are the same."""
     monkeypatch.setattr(search, "LEAF", 8)
