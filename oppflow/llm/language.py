@@ -4,14 +4,16 @@ Each language has probabilities of character trigrams, fitted on a bounded sampl
 word (a run of letters) has a likelihood under each language; a document is a mixture, every word of one
 language.  Expectation-maximisation estimates the proportions.  Then the document's set of languages
 is chosen: the largest one, two, three ... languages, each set with proportions of its own, compared by
-log-likelihood less half the log of the word count for each further language.  The empty set competes with
-them: letters in no language, every trigram as likely as any other.  The language with
+log-likelihood less half the log of the word count for each further language.  The language with
 the largest proportion of the chosen set is the prediction, its proportion the score.
 
+Beside the prediction stands whether the text is in a language at all: whether its letters are likelier under the
+chosen set than if every trigram were as likely as any other.  Only ``drop_unknown`` goes by it.
+
 All documents of a block are inferred at once, as arrays over their words.
 
-Defined cases: a null or empty text, one without a letter, or one whose letters are likelier in no language, is
-``und`` with score 0, as is every text if there is no row to learn from; ties between languages go to the first name; a long text has more words
+Defined cases: a null or empty text and one without a letter is ``und`` with score 0, as is every text if there is
+no row to learn from; any other text is in one of the learned languages, the likeliest; ties between languages go to the first name; a long text has more words
 and is inferred alone if need be; rows that repeat get the same answer each; an empty table gives an empty
 result; other columns are not read.
 """
@@ -88,13 +90,14 @@ def fit(rows: list[tuple[str, str]], smoothing: float = 0.5) -> Model | None:
     return Model(languages, log_p)
 
 
-def infer(texts: list[str], model: Model) -> np.ndarray:
-    """Proportions, texts x languages, zero outside the chosen set and for texts in no language."""
+def inferred(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions, texts x languages, zero outside the chosen set and for texts without a letter; and which texts
+    are in a language."""
     bucket, starts, words = _trigrams(texts)
-    shares = np.zeros((len(texts), len(model.languages)))
+    shares, known = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts), dtype=bool)
     has = np.flatnonzero(words)
     if not len(has):
-        return shares
+        return shares, known
     score = np.stack([np.add.reduceat(p[bucket], starts) for p in model.log_p])
     likelihood = np.exp(score - score.max(axis=0))
     counts = words[has]
@@ -127,8 +130,13 @@ def infer(texts: list[str], model: Model) -> np.ndarray:
     # The trigrams of all words, under the chosen set and as if none were likelier than another.
     best += np.add.reduceat(score.max(axis=0).astype(np.float64), firsts)
     letters = np.add.reduceat(np.diff(starts, append=len(bucket)), firsts)
-    shares[has] = np.where(best > -letters * np.log(BUCKETS), chosen, 0).T
-    return shares
+    shares[has], known[has] = chosen.T, best > -letters * np.log(BUCKETS)
+    return shares, known
+
+
+def infer(texts: list[str], model: Model) -> np.ndarray:
+    """Proportions, texts x languages, zero outside the chosen set and for texts without a letter."""
+    return inferred(texts, model)[0]
 
 
 def fit_on_rows(
@@ -143,14 +151,14 @@ def fit_on_rows(
 
 
 def predictions(texts: list[str], model: Model | None) -> dict[str, list]:
-    """Per text the prediction, its proportion, and the chosen languages with theirs."""
+    """Per text the prediction, its proportion, the chosen languages with theirs, and whether it is in a language."""
     k = len(model.languages) if model else 0
-    shares = np.zeros((len(texts), k))
+    shares, known = np.zeros((len(texts), k)), np.zeros(len(texts), dtype=bool)
     low = size = 0
     for at, text in enumerate(texts):
         size += len(text)
         if model and (size >= BLOCK_CHARS or at == len(texts) - 1):
-            shares[low:at + 1] = infer(texts[low:at + 1], model)
+            shares[low:at + 1], known[low:at + 1] = inferred(texts[low:at + 1], model)
             low, size = at + 1, 0
     best = shares.max(axis=1, initial=0)
     top = shares.argmax(axis=1) if k else np.zeros(len(texts), dtype=int)
@@ -160,18 +168,19 @@ def predictions(texts: list[str], model: Model | None) -> dict[str, list]:
         "score": pa.array(np.clip(best, 0, 1)),
         "languages": pa.array([[model.languages[i] for i in s] for s in sets], pa.list_(pa.string())),
         "shares": pa.array([row[s].tolist() for row, s in zip(shares, sets)], pa.list_(pa.float64())),
+        "in_language": pa.array(known),
     }
 
 
 def _predicted(df: DataFrame, model: Model | None, columns: list[str], text_col: str) -> DataFrame:
     return with_results(
         df, columns, text_col, lambda texts: predictions(texts, model),
-        "lang_pred string, score double, languages array<string>, shares array<double>",
+        "lang_pred string, score double, languages array<string>, shares array<double>, in_language boolean",
     )
 
 
 def languages(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, lang_pred, score, languages, shares`` for every row."""
+    """``id_col, lang_pred, score, languages, shares, in_language`` for every row."""
     return _predicted(df, model, [id_col], text_col).withColumnRenamed("_0", id_col)
 
 
@@ -179,5 +188,5 @@ def drop_unknown(df: DataFrame, model: Model | None, text_col: str = "text") ->
     """The rows whose text is in a language, with all their columns; without a model, those with a letter."""
     if model is None:
         return df.where(whole_text(text_col).rlike(r"\p{L}"))
-    kept = _predicted(df, model, df.columns, text_col).where(F.col("lang_pred") != UNKNOWN)
+    kept = _predicted(df, model, df.columns, text_col).where("in_language")
     return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(df.columns)])
