@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 
@@ -24,11 +25,11 @@ AWKWARD = [
 ]
 
 
-@pytest.mark.parametrize("keys", [100_000, 0])
-def test_exact_against_brute_force(spark, keys):
+@pytest.mark.parametrize("bits", [26, 10, 6])
+def test_exact_against_brute_force(spark, bits):
     got = sorted(
         (r.doc_id, r.keep_id, r.group_size, r.kept, r.full_hash)
-        for r in exact_copies(frame(spark, AWKWARD), broadcast_keys=keys, hash_all=True).collect()
+        for r in exact_copies(frame(spark, AWKWARD), map_bits=bits, hash_all=True).collect()
     )
     want = []
     for i, t in AWKWARD:
@@ -37,6 +38,20 @@ def test_exact_against_brute_force(spark, keys):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("bits", [26, 7])
+def test_full_hash_is_null_for_whom_a_shorter_key_decides(spark, bits):
+    """Whatever the size of the map: also where every bit of it is set."""
+    rows = AWKWARD + [(100 + k, f"text number {k}") for k in range(900)] + [(2000 + k, f"twice {k % 90}") for k in range(180)]
+    pairs = Counter((len((t or "").encode()), (t or "")[:64]) for _, t in rows)
+    got = exact_copies(frame(spark, rows), map_bits=bits).collect()
+    shown = Counter((r.doc_id, r.full_hash) for r in got)
+    want = Counter(
+        (i, hashlib.sha256((t or "").encode()).hexdigest() if pairs[len((t or "").encode()), (t or "")[:64]] > 1 else None)
+        for i, t in rows
+    )
+    assert shown == want
+
+
 def test_exact_null_ids_and_empty_table(spark):
     got = {r.text for r in drop_exact_copies(frame(spark, [(None, "a"), (1, "a"), (None, "b")])).collect()}
     assert got == {"a", "b"}
