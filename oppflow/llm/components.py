@@ -34,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
     """``id, component`` of every node that has a link, from links ``u, v``; a component is its smallest id."""
     now = links.select("u", "v").where("u <> v")
     while True:
-        now = written(_small_star(_large_star(now)), "stars", per_core=1)
+        now = written(_small_star(_large_star(now)), "stars", narrow=True)
         # Done when every node hangs on one other that hangs on none.
         hung = now.groupBy("u").agg(F.count("*").alias("n"))
         if hung.where("n > 1").isEmpty() and now.join(hung.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():

@@ -55,7 +55,7 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), mos
     """
     ranked = with_rank(sources, [F.col("source").isNull(), F.col("source")], "source_no")
     turn = F.element_at(F.array(*map(F.lit, weights)), ((F.col("source_no") - 1) % len(weights) + 1).cast("int"))
-    named = written(ranked.withColumn("weight", turn.cast(_NUMBER)), "sources")
+    named = written(ranked.withColumn("weight", turn.cast(_NUMBER)), "sources", narrow=True)
     size = F.col("source_size").cast(_NUMBER)
     words, open_weight = named.agg(F.sum(size), F.sum("weight")).first()
     if not words:
@@ -146,7 +146,7 @@ def mix_sources(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"),
         F.regexp_count(whole_text(text_col), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
     )
-    items = written(docs.groupBy("id", "source", "size").agg(F.count("*").alias("rows")), "sizes")
+    items = written(docs.groupBy("id", "source", "size").agg(F.count("*").alias("rows")), "sizes", narrow=True)
     sources = items.groupBy("source").agg(
         F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("items"),
     )
@@ -158,7 +158,7 @@ def mix_sources(
     rated = written(source_targets(sources, weights, most).withColumn("_rate", rate).select(
         F.col("source").alias("_source"), "source_no", "source_size", "target", F.floor("_rate").alias("whole"),
         (F.col("_rate") - F.floor("_rate")).alias("fraction"), bits.alias("bits"),
-    ), "rates")
+    ), "rates", narrow=True)
     joined = items.join(rated, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     # Of equal rows as many take one more as the fraction says; what is left is the fraction of one of them.
     crowd = F.when(F.col("size") > 0, F.col("rows") * F.col("fraction")).otherwise(0.0)

@@ -314,7 +314,7 @@ def _more_links(groups: DataFrame, classes: DataFrame, sets_of, threshold: int)
                 yield pd.DataFrame(found, columns=["u", "v"])
 
     sketched = groups.join(classes.select("id", "sketch"), "id").select(*columns)
-    active = written(_grouped(sketched).mapInPandas(paired, schema), "active", per_core=1)
+    active = written(_grouped(sketched).mapInPandas(paired, schema), "active")
     sets = sets_of(active.select("id").distinct())
     return _grouped(active.join(sets, "id")).mapInPandas(links, f"u {kind}, v {kind}")
 
@@ -334,7 +334,7 @@ def near_copies(
         F.min("_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
     # An id with several rows may stand for several sets; each class then gets its rows' links.
-    classes = written(classes, "classes", per_core=1)
+    classes = written(classes, "classes")
     bands = _banded(classes)
     buckets = bands.groupBy("key").agg(F.min("id").alias("u"), F.max("id").alias("top")).where("u <> top")
     met = bands.join(buckets.select("key", "u"), "key")
@@ -343,15 +343,15 @@ def near_copies(
     def sets_of(ids: DataFrame) -> DataFrame:
         return _sets(df, ids.join(classes.select("id", "digest"), "id"), id_col, text_col, words, broadcast_ids)
 
-    likely = written(_likely(pairs, classes, threshold), "likely", per_core=1)
+    likely = written(_likely(pairs, classes, threshold), "likely", narrow=True)
     ends = likely.select(F.col("u").alias("id")).unionByName(likely.select(F.col("v").alias("id"))).distinct()
-    links = written(_links(likely, sets_of(ends), threshold), "star_links", per_core=1)
+    links = written(_links(likely, sets_of(ends), threshold), "star_links")
     stars = components(links)
     parts = met.join(stars, "id", "left").join(classes.select("id", "n"), "id").select(
         "key", "band", "id", F.coalesce("component", "id").alias("component"), "n"
     )
     more = _more_links(_split_buckets(parts, block), classes, sets_of, threshold)
-    more = written(more, "block_links", per_core=1)
+    more = written(more, "block_links")
     known = stars.select(F.col("id").alias("u"), F.col("component").alias("v"))
     every = stars if more.isEmpty() else components(known.unionByName(more))
     named = classes.select("digest", "id").join(every, "id", "left").select(

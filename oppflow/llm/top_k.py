@@ -269,6 +269,8 @@ def top_k(
         for batch in batches:
             for dim, q_ids, q_vectors, q_nodes, ids, x, nodes in batch.itertuples(index=False):
                 found = search(_tree(dim, q_ids, q_vectors, q_nodes), _tree(dim, ids, x, nodes), k)
+                if not found:
+                    continue
                 ranked = [_ranked(score) for _, _, score in found]
                 yield pd.DataFrame({
                     "query_id": [f[0] for f in found], "vec_id": [f[1] for f in found],

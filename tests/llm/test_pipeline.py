@@ -76,5 +76,5 @@ def test_native_plans(spark, sf_dir):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) == {"op1_exact_dedup", "op6_top_k", "op7_near_dedup"}

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from oppflow.llm import tokens
 from oppflow.llm.bpe import bpe_encode, encode_by_tree
 from oppflow.llm.packing import Plan, pack_documents
-from oppflow.llm.token_files import Segment, pack, token_file_round_trip
+from oppflow.llm.token_files import Segment, pack, read_token_files, token_file_round_trip, write_token_files
 
 PATH = tokenizer_path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, ids string, piece string, _row string"
@@ -108,13 +108,7 @@ def test_token_files(spark, library):
     rows = [(40 - i, t) for i, t in enumerate(TEXTS)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("text", "body").selectExpr(
         "doc_id", "body AS text", "'x' AS start", "1 AS ids")
-    from oppflow.llm import token_files
-
-    old, token_files.SEGMENT_TOKENS = token_files.SEGMENT_TOKENS, 500
-    try:
-        got = {r.doc_id: r for r in token_file_round_trip(df, PATH, end_id=2).collect()}
-    finally:
-        token_files.SEGMENT_TOKENS = old
+    got = {r.doc_id: r for r in token_file_round_trip(df, PATH, end_id=2, segment_tokens=500).collect()}
     start = 0
     for i, text in sorted(rows):
         ids = np.array(by_library(library, text) + [2], dtype="<u4")
@@ -123,6 +117,25 @@ def test_token_files(spark, library):
     assert token_file_round_trip(df.where("doc_id < 0"), PATH, end_id=2).collect() == []
 
 
+def test_token_files_of_several_segments(spark, library, tmp_path):
+    """Many segments to a part, ids that repeat (also with the same text) and null ids."""
+    rows = [(k % 40 if k % 9 else None, TEXTS[k % len(TEXTS)]) for k in range(200)] + [(2**62 + 1, "last one")]
+    rows += [(7, "the same words")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = str(tmp_path / "files")
+    write_token_files(df, path, PATH, end_id=2, segment_tokens=300)
+    files = spark.read.parquet(path)
+    assert files.where("array_contains(docs, 7)").select("part").distinct().count() > 1
+    assert files.agg({"segment": "max"}).first()[0] > 3 and files.select("part").distinct().count() > 1
+    assert files.selectExpr("sum(size(docs)) AS n").first().n == len(rows)
+    got = sorted(read_token_files(spark, path).collect(), key=lambda r: r.start)
+    assert sorted(((r.doc_id, bytes(r.ids)) for r in got), key=str) == sorted(
+        ((i, np.array(by_library(library, t or "") + [2], dtype="<u4").tobytes()) for i, t in rows), key=str)
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    ends = np.cumsum([r.n_tokens for r in got]).tolist()
+    assert [r.start for r in got] == [0, *ends[:-1]] and all(len(r.ids) == 4 * r.n_tokens for r in got)
+
+
 def sequential(lengths, capacity):
     """Best-fit decreasing, one piece at a time."""
     gaps = []
