@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from oppflow.functions.text import iso_week
 from oppflow.streaming.jobs import run_to_table
+from oppflow.streaming.postings_state import OUTPUT, DailyPostings
+from oppflow.streaming.timers import SETTINGS
 
 
 def stream_weekly_activity(rows: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -18,19 +20,21 @@ def stream_weekly_activity(rows: DataFrame, delay: str = "1 day") -> DataFrame:
     ).select(iso_week(F.to_date("w.start")).alias("week"), "rows")
 
 
-def stream_daily_postings(postings: DataFrame, delay: str = "1 day") -> DataFrame:
-    """URLs per role and day so far, to be written in update mode.
+#: How long after the newest posting an older one is still counted.
+LATE = "90 days"
 
-    A URL counts once per day.  The state holds one number per role and day, and the
-    URLs of the days that the watermark has not passed.
+
+def stream_daily_postings(postings: DataFrame, late: str = LATE) -> DataFrame:
+    """URLs per role and day so far, to be written in update mode; a changed count comes again.
+
+    A URL counts once per day.  The state holds the URLs of the days from ``late`` before the newest posting
+    on, so a posting counts however late it arrives within that time, in this run or a later one.  Older ones are
+    dropped.  Start the query under ``timers.SETTINGS``.
     """
-    daily = (
-        postings.select(F.date_trunc("day", "ts").alias("day"), "company", "title", "url")
-        .withWatermark("day", delay).dropDuplicates(["day", "company", "title", "url"])
+    dated = postings.select("ts", F.to_date("ts").alias("day"), "company", "title", "url")
+    return dated.withWatermark("ts", late).groupBy("company", "title").transformWithStateInPandas(
+        DailyPostings(), OUTPUT, "update", "eventTime"
     )
-    return daily.groupBy(F.window("day", "1 day").alias("w"), "company", "title").agg(
-        F.count(F.lit(1)).alias("urls")
-    ).select(F.to_date("w.start").alias("day"), "company", "title", "urls")
 
 
 def repost_windows(daily: DataFrame, days: int = 90, n: int = 2) -> DataFrame:
@@ -48,10 +52,17 @@ def repost_windows(daily: DataFrame, days: int = 90, n: int = 2) -> DataFrame:
 
 
 def stream_reposts(
-    postings: DataFrame, days: int = 90, n: int = 2, delay: str = "1 day", path: str | None = None,
+    postings: DataFrame, days: int = 90, n: int = 2, late: str = LATE, path: str | None = None,
     checkpoint: str | None = None,
 ) -> DataFrame:
     """Reposted roles after all that has arrived; windows that are still open count too."""
-    return repost_windows(
-        run_to_table(stream_daily_postings(postings, delay), "update", path, checkpoint), days, n
+    daily = run_to_table(stream_daily_postings(postings, late), "update", path, checkpoint, SETTINGS)
+    return repost_windows(daily, days, n)
+
+
+def reposts_of(postings: DataFrame, days: int = 90, n: int = 2) -> DataFrame:
+    """The batch form over a table of postings."""
+    daily = postings.groupBy("company", "title", F.to_date("ts").alias("day")).agg(
+        F.count_distinct(F.struct("url")).alias("urls")
     )
+    return repost_windows(daily.withColumn("batch_id", F.lit(0)), days, n)
