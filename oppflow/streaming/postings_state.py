@@ -44,7 +44,8 @@ class DailyPostings(StatefulProcessor):
                 arrived.setdefault(day, set()).add(None if pd.isna(url) else url)
         changed = []
         for day, urls in sorted(arrived.items()):
-            held = set(self.days.getValue((day,))[0]) if self.days.containsKey((day,)) else set()
+            before = self.days.getValue((day,))
+            held = set(before[0]) if before else set()
             if not urls <= held:
                 held |= urls
                 self.days.updateValue((day,), (sorted(held, key=lambda u: (u is None, u or "")),))
