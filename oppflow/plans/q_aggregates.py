@@ -354,23 +354,54 @@ def recommendations(v):
     return patterns.recommendations(enriched_of(v))
 
 
-# Documents are compared by what they say: one row per figure of a section.
-@register("calibration_document", with_views(COHORT_VIEWS, f"""
-    SELECT 'base_rate' AS section, 'n' AS item, count(*)::DOUBLE AS figure FROM cohort
-    UNION ALL SELECT 'base_rate', 'k', COALESCE(sum(contact), 0) FROM cohort
-    UNION ALL SELECT 'correlation', s, r FROM (""" + " UNION ALL ".join(
-    f"SELECT '{s}' AS s, {places(f'corr({s}, contact)', 6)} AS r FROM cohort" for s in calibration.SCORES) + """)
-    UNION ALL SELECT 'orphans', 'rows', count(*) FROM outcome
+# Documents are compared by what they say: one row per figure of a section.  Per section the fields that name a row, and
+# its figures; those of the calibration are also queries of their own.
+_RATE = ["n", "k", "rate", "lo", "hi"]
+_CALIBRATION = {
+    "base_rate": ([], _RATE, "base_rate"),
+    "correlation": (["score"], ["r"], "score_correlation"),
+    "bands": (["score", "band"], _RATE, "banded_rates"),
+    "gates": (["cut", "side"], _RATE, "gate_options"),
+    "furthest_stage": (["stage"], ["rows"], "furthest_stage_histogram"),
+    "stages": ([], ["median_stages"], "median_stages"),
+}
+_UNMATCHED = with_views(COHORT_VIEWS, """
+    SELECT 'orphans' AS section, '' AS item, 'rows' AS field, count(*)::DOUBLE AS figure FROM outcome
         WHERE (company, date) NOT IN (SELECT (company, date) FROM cohort WHERE contact = 1)
-    UNION ALL SELECT 'mismatches', 'rows', count(*) FROM cohort WHERE contact = 1 AND outcome_report <> num""", COHORT_SQL))
+    UNION ALL SELECT 'mismatches', '', 'rows', count(*) FROM cohort WHERE contact = 1 AND outcome_report <> num""", COHORT_SQL)
+
+
+def _calibration_sql() -> str:
+    parts = [f"SELECT * FROM ({_UNMATCHED})"]
+    for section, (names, fields, query) in _CALIBRATION.items():
+        item = f"concat_ws(' ', {', '.join([*names, chr(39) * 2])})"
+        figures = ", ".join(f"struct_pack(field := '{f}', figure := CAST({f} AS DOUBLE))" for f in fields)
+        parts.append(
+            f"SELECT section, item, x.field AS field, x.figure AS figure FROM (SELECT '{section}' AS section, {item} AS item, "
+            f"unnest([{figures}]) AS x FROM ({ORACLES[query]}))"
+        )
+    return " UNION ALL ".join(parts)
+
+
+def _figures(documents, sections: dict):
+    """``(section, item, field, figure)`` of the documents of sections."""
+    rows = documents.select("section", F.explode(F.from_json("document", "array<map<string,string>>")).alias("m"))
+
+    def figures(section: str, names: list[str], fields: list[str]):
+        item = F.concat_ws(" ", *[F.col("m")[n] for n in names], F.lit(""))
+        found = F.array(*[
+            F.struct(item.alias("item"), F.lit(f).alias("field"), F.col("m")[f].cast("double").alias("figure")) for f in fields
+        ])
+        return F.when(F.col("section") == section, found)
+
+    every = F.coalesce(*[figures(s, names, fields) for s, (names, fields, _) in sections.items()])
+    return rows.select("section", F.explode(every).alias("x")).select("section", "x.*")
+
+
+@register("calibration_document", _calibration_sql())
 def calibration_document(v):
-    documents = calibration.calibration_document(cohort_of(v), v.outcome)
-    rows = documents.select("section", F.explode(F.from_json(
-        "document", "array<struct<n:double,k:double,score:string,r:double,rows:double>>")).alias("x"))
-    figures = [(F.lit(n), F.col(f"x.{n}")) for n in ("n", "k", "rows")] + [(F.col("x.score"), F.col("x.r"))]
-    items = F.array(*[F.struct(name.alias("item"), value.alias("figure")) for name, value in figures])
-    return rows.where("section IN ('base_rate', 'correlation', 'orphans', 'mismatches')").select(
-        "section", F.explode(items).alias("i")).select("section", "i.item", "i.figure").where("figure IS NOT NULL")
+    sections = _CALIBRATION | {"orphans": ([], ["rows"], ""), "mismatches": ([], ["rows"], "")}
+    return _figures(calibration.calibration_document(cohort_of(v), v.outcome), sections)
 
 
 # Per section the fields that name a row, its figures, and the query that has them too.
@@ -396,18 +427,7 @@ def _sections_sql() -> str:
 
 @register("analysis_document", _sections_sql())
 def analysis_document(v):
-    documents = patterns.analysis_document(enriched_of(v))
-    rows = documents.select("section", F.explode(F.from_json("document", "array<map<string,string>>")).alias("m"))
-
-    def figures(section: str, names: list[str], fields: list[str]):
-        item = F.concat_ws(" ", *[F.col("m")[n] for n in names], F.lit(""))
-        found = F.array(*[
-            F.struct(item.alias("item"), F.lit(f).alias("field"), F.col("m")[f].cast("double").alias("figure")) for f in fields
-        ])
-        return F.when(F.col("section") == section, found)
-
-    every = F.coalesce(*[figures(s, names, fields) for s, (names, fields, _) in _SECTIONS.items()])
-    return rows.select("section", F.explode(every).alias("x")).select("section", "x.*")
+    return _figures(patterns.analysis_document(enriched_of(v)), _SECTIONS)
 
 
 # --- quality -------------------------------------------------------------------
