@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from oppflow.functions import fixed
 from oppflow.functions.classify import literal_map
 from oppflow.functions.text import company_words, dedup_tokens, parse_score_loose
-from oppflow.operators.linked import groups_of
 from oppflow.operators.matching import overlap_signatures, overlap_witnesses
 from oppflow.session import durable
 
@@ -30,33 +29,101 @@ def _earlier(name: str, or_same: bool = False) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-#: After so many rounds what is left is cut into connected groups, and those of up to
-#: so many members are settled in one task each.
-ROUNDS_BEFORE_GROUPS = 10
-SETTLED_MEMBERS = 50_000
+#: After so many rounds the rows that are left are written in terms of one another, too.
+ROUNDS_BEFORE_GROUPS = 4
+#: So many first members of a key are looked at; a row behind all of them waits for a later round.
+SETTLED_MEMBERS = 3
 
 
-def _settle(group: pd.DataFrame) -> pd.DataFrame:
-    """The rule itself, row after row, for one connected group."""
-    taken, held, held_small = [], set(), set()
-    for pos, rows in group.sort_values("pos").groupby("pos", sort=False):
-        keys = list(zip(rows["key"], rows["small"]))
-        if not any(key in held_small or (small and key in held) for key, small in keys):
-            taken.append(pos)
-            held.update(key for key, _ in keys)
-            held_small.update(key for key, small in keys if small)
-    return pd.DataFrame({"pos": taken}, dtype="int64")
+def _heads(members: DataFrame, name: str) -> DataFrame:
+    """The first rows of every key; each task keeps only so many of a hot key."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy("pos"))
+    heads = members.withColumn("place", place).filter(F.col("place") <= SETTLED_MEMBERS)
+    return heads.groupBy("key").agg(F.array_sort(F.collect_list("pos")).alias(name))
 
 
-def _settle_groups(left: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows taken from the groups that fit into a task, and the members of the others."""
-    grouped = durable(left.join(groups_of(left.select("pos", "key")), "pos"))
-    sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    fits = grouped.join(sizes.filter(F.col("n") <= SETTLED_MEMBERS).select("group"), "group", "left_semi")
-    rest = grouped.join(sizes.filter(F.col("n") > SETTLED_MEMBERS).select("group"), "group", "left_semi")
-    kind = dict(left.dtypes)["pos"]
-    taken = fits.groupBy("group").applyInPandas(_settle, f"pos {kind}")
-    return durable(taken), durable(rest.select("pos", "key", "small"))
+def _excluders(left: DataFrame) -> DataFrame:
+    """``(pos, other, wide)``: the earlier rows that may exclude a row, and the row itself.
+
+    ``wide`` rows have more of them than are listed.
+    """
+    members = left.groupBy("key", "pos").agg(F.max("small").alias("small"))
+    listed = members.join(_heads(members, "heads"), "key").join(
+        _heads(members.filter("small"), "small_heads"), "key", "left"
+    )
+    heads = F.when(F.col("small"), F.col("heads")).otherwise(F.coalesce("small_heads", F.array()))
+    earlier = F.filter(heads, lambda p: p < F.col("pos"))
+    listed = listed.select("pos", earlier.alias("earlier")).select(
+        "pos", F.explode(F.concat("earlier", F.array("pos"))).alias("other"),
+        (F.size("earlier") >= SETTLED_MEMBERS).alias("wide"),
+    )
+    return listed.groupBy("pos", "other").agg(F.max("wide").alias("wide"))
+
+
+def _in_terms_of_others(excluders: DataFrame, terms: DataFrame) -> DataFrame:
+    """One step: every row by what is known of its excluders, then by what is known of the row it now depends on.
+
+    ``terms`` is ``(pos, root, flip)``: a row is taken if its root is and it is not flipped, or the root is not and it
+    is.  Without a root ``flip`` itself says whether it is taken.
+    """
+    known = terms.select(F.col("pos").alias("other"), "root", "flip")
+    is_self, is_open = F.col("other") == F.col("pos"), F.col("root").isNotNull()
+    term = F.struct("root", "flip")
+    seen = excluders.join(known, "other").groupBy("pos").agg(
+        F.max("wide").alias("wide"),
+        F.max(F.when(is_self, term)).alias("own"),
+        F.coalesce(F.max(F.when(~is_self & ~is_open, F.col("flip"))), F.lit(False)).alias("excluded"),
+        F.collect_set(F.when(~is_self & is_open, term)).alias("open"),
+    )
+    roots = F.array_distinct(F.transform("open", lambda t: t.root))
+    # A row and its opposite are both excluders: one of them is taken, whichever it is.
+    excluded = F.col("excluded") | (F.size(roots) < F.size("open"))
+    kind = dict(terms.dtypes)["root"]
+
+    def a_term(root, flip):
+        return F.struct(root.cast(kind).alias("root"), flip.alias("flip"))
+
+    settled = (
+        F.when(F.col("own.root").isNull(), F.col("own"))
+        .when(excluded, a_term(F.lit(None), F.lit(False)))
+        .when(F.col("wide") | (F.size("open") > 1), F.col("own"))
+        .when(F.size("open") == 0, a_term(F.lit(None), F.lit(True)))
+        .otherwise(a_term(F.get("open", F.lit(0)).root, ~F.get("open", F.lit(0)).flip))
+    )
+    now = seen.select("pos", "own", settled.alias("now")).select("pos", "own", "now.*")
+    roots_of = terms.select(F.col("pos").alias("root"), F.col("root").alias("next"), F.col("flip").alias("turned"))
+    jumped = now.join(roots_of, "root", "left")
+    there = F.when(F.col("root").isNull(), a_term(F.lit(None), F.col("flip"))).otherwise(
+        a_term(F.col("next"), F.col("flip") != F.col("turned"))
+    )
+    # Never back to a later row, so the steps come to an end.
+    keep = F.col("own.root") < F.col("there.root")
+    return jumped.select("pos", "own", there.alias("there")).select(
+        "pos", F.when(keep, F.col("own")).otherwise(F.col("there")).alias("t")
+    ).select("pos", "t.root", "t.flip")
+
+
+def _decided(left: DataFrame) -> DataFrame:
+    """``(pos, taken)`` of the rows that their first excluders decide, along chains of any length.
+
+    A row with one open excluder is its opposite.  Jumping from excluder to excluder's excluder halves
+    a chain with every step, so the steps grow with the logarithm of the longest one.
+    """
+    excluders = durable(_excluders(left))
+    terms = excluders.select("pos").distinct().select("pos", F.col("pos").alias("root"), F.lit(False).alias("flip"))
+    state = None
+    while True:
+        terms = durable(_in_terms_of_others(excluders, terms))
+        now = terms.agg(
+            F.count("root").alias("open"),
+            F.sum(F.xxhash64("pos", "root", "flip").cast("decimal(38,0)")).alias("s"),
+        ).first()
+        if (now.open, now.s) == state:
+            break
+        state = (now.open, now.s)
+        if not now.open:
+            break
+    return terms.filter("root IS NULL").select("pos", F.col("flip").alias("taken"))
 
 
 def greedy_first(members: DataFrame) -> DataFrame:
@@ -68,10 +135,10 @@ def greedy_first(members: DataFrame) -> DataFrame:
     the sequential one.  Only per-key minima are exchanged, never pairs, so a hot
     key costs one number per task.
 
-    The rounds follow the longest chain of rows that exclude one another.  Long chains
-    are cut short: every few rounds the groups of rows still connected by keys are
-    formed, in a number of steps that is the logarithm of the chain, and each group that
-    fits into a task is settled there.  Only larger groups stay with the rounds.
+    Rows that exclude one another in a long chain would need a round per link.  After a few
+    rounds a round therefore also decides what the first few members of each key tell
+    about one another, see ``_decided``: a chain then costs its logarithm, however many rows it
+    has.  A long chain of rows that each wait for several undecided, unrelated ones still follows its links.
     """
     everyone = durable(members.select("pos", "key", "small"))
     # A key with one member can make nobody clash, and most keys are of that kind.
@@ -80,23 +147,24 @@ def greedy_first(members: DataFrame) -> DataFrame:
     accepted = [everyone.select("pos").distinct().join(left, "pos", "left_anti")]
     rounds = 0
     while not left.isEmpty():
-        if rounds and rounds % ROUNDS_BEFORE_GROUPS == 0:
-            settled, left = _settle_groups(left)
-            accepted.append(settled)
-            if left.isEmpty():
-                break
         rounds += 1
-        taken = durable(
-            left.join(_firsts(left, "first"), "key")
-            .groupBy("pos")
-            .agg(F.max(_earlier("first")).alias("blocked"))
-            .filter(~F.col("blocked"))
-            .select("pos")
-        )
+        if rounds > ROUNDS_BEFORE_GROUPS:
+            decided = _decided(left)
+            taken, refused = decided.filter("taken").select("pos"), decided.filter("NOT taken").select("pos")
+        else:
+            taken = durable(
+                left.join(_firsts(left, "first"), "key")
+                .groupBy("pos")
+                .agg(F.max(_earlier("first")).alias("blocked"))
+                .filter(~F.col("blocked"))
+                .select("pos")
+            )
+            refused = None
         accepted.append(taken)
         winners = _firsts(left.join(taken, "pos", "left_semi"), "won")
         clashing = left.join(winners, "key").filter(_earlier("won")).select("pos")
-        left = durable(left.join(clashing.union(taken).distinct(), "pos", "left_anti"))
+        gone = clashing.union(taken) if refused is None else clashing.union(taken).union(refused)
+        left = durable(left.join(gone.distinct(), "pos", "left_anti"))
     return reduce(DataFrame.union, accepted)
 
 
