@@ -93,6 +93,16 @@ def _passed_day(watermark_ms: int) -> dt.date:
     return pd.Timestamp(watermark_ms, unit="ms").date() - DAY
 
 
+def _tracked(rows: pd.DataFrame) -> list[tuple]:
+    """States from tracker rows; nothing sent yet, and waiting since the application, unless the row says otherwise."""
+    out = []
+    for row in rows.itertuples():
+        last = row.applied if pd.isna(row.last) else row.last
+        sent = 0 if pd.isna(row.sent) else int(row.sent)
+        out.append((row.applied, last, sent, row.state or "waiting"))
+    return out
+
+
 def _as_frame(app, passed) -> pd.DataFrame:
     return pd.DataFrame({
         "app": pd.Series([app] * len(passed), dtype="int64"),
@@ -124,6 +134,11 @@ class FollowUpTimers(StatefulProcessor):
     def _current(self):
         return tuple(self.value.get()) if self.value.exists() else None
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """An application that a tracker knows already; what it passed before is not reported again."""
+        for state in _tracked(initialState):
+            self._store(state, timerValues.getCurrentWatermarkInMs())
+
     def handleInputRows(self, key, rows, timerValues):
         days = [
             (row.ts.date(), int(row.applied), int(row.followups))
@@ -148,25 +163,52 @@ class FollowUpTimers(StatefulProcessor):
         pass
 
 
-def stream_follow_up_timers(events: DataFrame, cfg: dict | None = None, delay: str = "1 day"):
+def _tracker_rows(tracker: DataFrame) -> DataFrame:
+    """One row per application that has applied; of several the one last touched, then the one furthest along."""
+    rows = tracker.filter("app IS NOT NULL AND applied IS NOT NULL").select(
+        F.col("app").cast("long"), F.col("applied").cast("date"), F.col("last").cast("date"),
+        F.col("sent").cast("int"), F.col("state").cast("string"),
+    )
+    newest = F.struct(F.coalesce("last", "applied").alias("touched"), "sent", "applied", "last", "state")
+    return rows.groupBy("app").agg(F.max(newest).alias("t")).select("app", "t.applied", "t.last", "t.sent", "t.state")
+
+
+def stream_follow_up_timers(
+    events: DataFrame, cfg: dict | None = None, delay: str = "1 day", tracker: DataFrame | None = None
+):
     """Transitions of every application as event time passes.
 
     ``events`` is (ts, app, kind).  A timer fires when the watermark passes its day;
     events after retirement change nothing.  Start the query under ``SETTINGS``.
+
+    ``tracker``, ``(app, applied, last, sent, state)``, holds the applications that were under way before the
+    first event: the query starts from their states and with their timers set.  It is read when the query starts
+    anew, not when it carries on from a checkpoint.  Null ``last``, ``sent`` and ``state`` mean that nothing
+    was sent yet.
     """
     cfg = {**fixed.CADENCE, "retire_days": fixed.RETIRE_DAYS, **(cfg or {})}
+    start = None if tracker is None else _tracker_rows(tracker).groupBy("app")
     return daily_touches(events, delay).groupBy("app").transformWithStateInPandas(
-        FollowUpTimers(cfg), OUTPUT, "append", "eventTime"
+        FollowUpTimers(cfg), OUTPUT, "append", "eventTime", start
     )
 
 
-def follow_up_transitions(events: DataFrame, until: dt.date, cfg: dict | None = None) -> DataFrame:
-    """The batch form: all transitions up to a day, from the same daily sums."""
+def follow_up_transitions(
+    events: DataFrame, until: dt.date, cfg: dict | None = None, tracker: DataFrame | None = None
+) -> DataFrame:
+    """The batch form: all transitions up to a day, from the same daily sums and the same tracker.
+
+    A model to test the stream with: an application is replayed in one task, which holds a row per day of it.
+    """
     cfg = {**fixed.CADENCE, "retire_days": fixed.RETIRE_DAYS, **(cfg or {})}
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         days = sorted((r.ts.date(), int(r.applied), int(r.followups)) for r in rows.itertuples())
         days = [d for d in days if d[0] <= until]
-        return _as_frame(key[0], replay(None, days, until, cfg)[1])
+        state = next(iter(_tracked(start)), None)
+        return _as_frame(key[0], replay(state, days, until, cfg)[1])
 
-    return daily_touches(events).drop("w").groupBy("app").applyInPandas(run, OUTPUT)
+    daily = daily_touches(events).drop("w")
+    if tracker is None:
+        tracker = events.sparkSession.createDataFrame([], "app long, applied date, last date, sent int, state string")
+    return daily.groupBy("app").cogroup(_tracker_rows(tracker).groupBy("app")).applyInPandas(run, OUTPUT)
