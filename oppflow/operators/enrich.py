@@ -36,8 +36,8 @@ def best_role_match(apps: DataFrame, candidates: DataFrame) -> DataFrame:
     ``apps`` is (company, role), ``candidates`` (company, title, pos); companies are
     compared by their base name.  A role word is looked for in the titles that hold its
     first three characters.  Titles are reduced to the role words they hold and
-    meet the roles through common word subsets, so a company with many openings
-    never has its roles multiplied by its titles.
+    meet the roles through common word subsets, so a company with many openings does not have its roles
+    multiplied by its titles.  Roles and titles of more than ten such words meet word by word.
     """
     roles = apps.select(company_base("company").alias("block"), F.col("role")).distinct()
     roles = roles.withColumns({"bag": _role_words("role")}).withColumn(
@@ -104,15 +104,28 @@ def best_role_match(apps: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
-def _by_company(apps: DataFrame, candidates: DataFrame, name: str) -> DataFrame:
+def _found(step: str, url: Column) -> Column:
+    return F.when(url.isNotNull(), F.struct(F.lit(step).alias("step"), url.alias("found")))
+
+
+def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose URL is found, and those that go on to the next step; worked out once."""
+    both = durable(df)
+    return both.filter("_at IS NOT NULL"), both.filter("_at IS NULL")
+
+
+def _by_company(apps: DataFrame, candidates: DataFrame, step: str) -> DataFrame:
+    """``apps`` with ``_at`` set where a candidate of the company has the best matching title."""
     match = best_role_match(apps, candidates)
     listed = candidates.select(
-        company_base("company").alias("block"), F.col("pos").alias("best_pos"), F.col("url").alias(name)
+        company_base("company").alias("_block"), F.col("pos").alias("best_pos"), F.col("url").alias("_url")
     )
-    urls = match.join(listed, ["block", "best_pos"]).select("block", F.col("role").alias("_role"), name)
-    return apps.withColumn("_block", company_base("company")).join(
-        urls, (F.col("_block") == F.col("block")) & F.col("role").eqNullSafe(F.col("_role")), "left"
-    ).drop("_block", "block", "_role")
+    urls = match.join(listed, (F.col("block") == F.col("_block")) & (match["best_pos"] == listed["best_pos"])).select(
+        "block", F.col("role").alias("_role"), "_url"
+    )
+    return apps.withColumn("_own_block", company_base("company")).join(
+        urls, (F.col("_own_block") == F.col("block")) & F.col("role").eqNullSafe(F.col("_role")), "left"
+    ).withColumn("_at", _found(step, F.col("_url"))).select(apps.columns)
 
 
 def enrich_urls(apps: DataFrame, items: DataFrame, state: DataFrame, history: DataFrame) -> DataFrame:
@@ -120,7 +133,8 @@ def enrich_urls(apps: DataFrame, items: DataFrame, state: DataFrame, history: Da
 
     Steps: the row's own URL; with a report, the URL in its header, its batch item,
     or the completed batch run with its number; then the best role match among the
-    company's scan history, and among its batch items.
+    company's scan history, and among its batch items.  A step sees only the rows that the steps
+    before it left open: a row with a URL of its own takes part in no join.
     """
     by_id = items.filter("job_url IS NOT NULL").groupBy("id").agg(
         F.max_by("job_url", "pos").alias("_batch_url")
@@ -136,24 +150,24 @@ def enrich_urls(apps: DataFrame, items: DataFrame, state: DataFrame, history: Da
         done.select(F.explode(spelled).alias("_report"), "pos", "_batch_url")
         .groupBy("_report").agg(F.max_by("_batch_url", "pos").alias("_state_url"))
     )
-    df = apps.join(by_id.withColumnRenamed("id", "_id"), F.col("batch_id") == F.col("_id"), "left").drop("_id")
-    df = df.join(by_report, F.col("report_number") == F.col("_report"), "left").drop("_report")
+    has_report = F.coalesce("has_report", F.lit(False))
+    given = F.coalesce(
+        F.when(F.col("url").startswith("http"), F.struct(F.lit("own").alias("step"), F.col("url").alias("found"))),
+        _found("report", F.when(has_report, F.col("report_url"))),
+    )
+    found, df = _split(apps.withColumn("_at", given))
+    # Only rows with a report can be named by a batch.
+    reported = df.filter(has_report).join(
+        by_id.withColumnRenamed("id", "_id"), F.col("batch_id") == F.col("_id"), "left"
+    ).join(by_report, F.col("report_number") == F.col("_report"), "left").withColumn(
+        "_at", F.coalesce(_found("batch id", F.col("_batch_url")), _found("report number", F.col("_state_url")))
+    ).select(df.columns)
+    by_number, df = _split(reported.unionByName(df.filter(~has_report)))
     listed = history.filter(F.col("url").startswith("http")).select("company", "title", "url", "pos")
-    df = _by_company(df, listed, "_history_url")
+    by_history, df = _split(_by_company(df, listed, "history"))
     named = items.filter("job_url IS NOT NULL AND company IS NOT NULL").select(
         "company", F.col("role").alias("title"), F.col("job_url").alias("url"), "pos"
     )
-    df = _by_company(df, named, "_items_url")
-    has_report = F.coalesce("has_report", F.lit(False))
-    steps = [
-        ("own", F.when(F.col("url").startswith("http"), F.col("url"))),
-        ("report", F.when(has_report, F.col("report_url"))),
-        ("batch id", F.when(has_report, F.col("_batch_url"))),
-        ("report number", F.when(has_report, F.col("_state_url"))),
-        ("history", F.col("_history_url")),
-        ("batch company", F.col("_items_url")),
-    ]
-    source = F.coalesce(*[F.when(v.isNotNull(), F.lit(n)) for n, v in steps])
-    return df.withColumns({
-        "job_url": F.coalesce(*[v for _, v in steps]), "url_from": source,
-    }).drop("_batch_url", "_state_url", "_history_url", "_items_url")
+    last = _by_company(df, named, "batch company")
+    every = found.unionByName(by_number).unionByName(by_history).unionByName(last)
+    return every.select(*apps.columns, F.col("_at.found").alias("job_url"), F.col("_at.step").alias("url_from"))

@@ -1,9 +1,9 @@
 """Title matching inside a company without comparing all pairs of its rows.
 
 Two facts carry the design.  Rows with the same company and the same words behave
-alike, so the work is done once per distinct word set.  And both matching rules
-amount to "the two share a certain subset of words", so each word set is written
-down under the subsets that prove a match and the rows meet by plain equality.
+alike, so the work is done once per distinct word set.  And rows that match share
+certain words: the rarest one of a set that lies inside the other, or, for the overlap
+rule, a subset that proves the match.  Word sets are filed under those and meet by plain equality.
 """
 
 from __future__ import annotations
@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from oppflow.functions.text import dedup_tokens, role_tokens, stem_key
 from oppflow.session import durable
 
-# Word sets up to this size are matched through their subsets; the rare longer
-# ones meet through a pair of shared words and are then checked one by one.
+# Word sets up to this size are scored through their subsets, longer ones word by word.
 MAX_SUBSET_WORDS = 10
 
 
@@ -58,6 +57,18 @@ def _signatures(df: DataFrame, block: str, title: str, pos: list[str]) -> DataFr
     )
 
 
+def _rarest_words(sigs: DataFrame) -> DataFrame:
+    """``(block, full, rarest)``: of each word set of two words and more the word that the fewest sets of its block hold."""
+    held = sigs.select("block", "full", "words").dropDuplicates(["block", "full"])
+    words = held.select("block", "full", F.size("words").alias("n"), F.explode("words").alias("word"))
+    counts = words.groupBy("block", "word").agg(F.count(F.lit(1)).alias("sets"))
+    return (
+        words.filter("n >= 2").join(counts, ["block", "word"])
+        .groupBy("block", "full").agg(F.min(F.struct("sets", "word")).alias("r"))
+        .select("block", "full", F.col("r.word").alias("rarest"))
+    )
+
+
 def first_same_role(
     queries: DataFrame, targets: DataFrame, block: str, title: str, pos: list[str]
 ) -> DataFrame:
@@ -66,54 +77,29 @@ def first_same_role(
     Several position columns (one per table half, say) are answered together.
 
     The rule is ``role_fuzzy_match``: equal word sets, or one inside the other when
-    the smaller has at least two words.
+    the smaller has at least two words.  A larger set can only hold a smaller one if it holds the
+    smaller one's rarest word, so a word that all titles of a company share brings none of them together,
+    and a title costs a row per word, however many words it has.
     """
     # Both are read by every branch below and are small next to their input.
     q = durable(_signatures(queries, block, title, []))
     t = durable(_signatures(targets, block, title, pos))
-    n = F.size("words")
-    short, long = n <= MAX_SUBSET_WORDS, n > MAX_SUBSET_WORDS
+    rare = durable(_rarest_words(q.unionByName(t.select(q.columns))))
+    q_rare, t_rare = q.join(rare, ["block", "full"]), t.join(rare, ["block", "full"])
     earliest = [F.min(p).alias(p) for p in pos]
 
-    def parts_of(df, *cols):
-        return df.filter(short & (n >= 3)).select(
-            "block", *cols, F.explode(subsets(F.col("words"), 2, n - 1)).alias("part")
-        )
+    def inside(smaller: DataFrame, larger: DataFrame) -> DataFrame:
+        """Word sets met by the larger ones that hold their rarest word, then compared whole."""
+        small = smaller.withColumnRenamed("words", "small").withColumnRenamed("rarest", "word")
+        big = larger.select("*", F.explode("words").alias("word"))
+        return small.join(big, ["block", "word"]).filter(
+            (F.size("small") < F.size("words")) & (F.size(F.array_except("small", "words")) == 0)
+        ).select("block", "full", *pos)
 
     equal = q.join(t.drop("words"), ["block", "full"]).select("block", "full", *pos)
-    # target is the longer one: look the query up among the target's subsets
-    inside = parts_of(t, *pos).groupBy("block", "part").agg(*earliest)
-    wider = (
-        q.filter(n >= 2).join(inside.withColumnRenamed("part", "full"), ["block", "full"])
-        .select("block", "full", *pos)
-    )
-    # query is the longer one: look its subsets up among the targets
-    narrower = (
-        parts_of(q, "full")
-        .join(t.filter(n >= 2).select("block", F.col("full").alias("part"), *pos), ["block", "part"])
-        .select("block", "full", *pos)
-    )
-    found = equal.unionByName(wider).unionByName(narrower)
-    first_pair = F.concat_ws(" ", F.col("words")[0], F.col("words")[1])
-
-    def by_pair(longer, longer_cols, shorter, shorter_cols):
-        big = longer.filter(long).select(
-            "block", F.col("words").alias("big"), *longer_cols,
-            F.explode(word_pairs(F.col("words"))).alias("pair"),
-        )
-        small = shorter.filter(n >= 2).select(
-            "block", F.col("words").alias("small"), *shorter_cols, first_pair.alias("pair")
-        )
-        return (
-            big.join(small, ["block", "pair"])
-            .filter(F.size(F.array_except("small", "big")) == 0).select("block", "full", *pos)
-        )
-
-    if not t.filter(long).isEmpty():
-        found = found.unionByName(by_pair(t, pos, q, ["full"]))
-    if not q.filter(long).isEmpty():
-        found = found.unionByName(by_pair(q, ["full"], t, pos))
-    return found.groupBy("block", "full").agg(*earliest)
+    wider = inside(q_rare, t.drop("full"))
+    narrower = inside(t_rare.drop("full"), q)
+    return equal.unionByName(wider).unionByName(narrower).groupBy("block", "full").agg(*earliest)
 
 
 def title_signature(title) -> Column:
@@ -158,7 +144,8 @@ def overlap_witnesses(sigs: DataFrame, block: list) -> DataFrame:
     words.  Titles are filed under every subset of that many words: "small" where
     the subset is what the title itself needs, not small where a shorter partner
     could need it.  Bags that repeat a word, and very long ones, are compared
-    directly with the bags they share words with, and each match becomes a key.
+    directly with the bags that share two words with them or one that they repeat, and each match
+    becomes a key.
     """
     n = F.size("bag")
     plain = (n >= 2) & (n <= MAX_WITNESS_WORDS) & (n == F.size(F.array_distinct("bag")))
@@ -177,20 +164,16 @@ def overlap_witnesses(sigs: DataFrame, block: list) -> DataFrame:
             (F.col("size") == F.col("own")).alias("small"),
         )
     )
-    odd = sigs.filter((n >= 2) & ~plain).withColumn("repeats", n != F.size(F.array_distinct("bag")))
-    odd_word = odd.filter("repeats").select(
-        *block, F.col("pos").alias("odd_pos"), F.col("bag").alias("odd_bag"),
-        F.explode(F.array_distinct("bag")).alias("part"),
-    )
+    odd = sigs.filter((n >= 2) & ~plain).select(*block, F.col("pos").alias("odd_pos"), F.col("bag").alias("odd_bag"))
+    # Two bags share two words, or one that the odd one repeats.
+    repeated = F.filter(F.array_distinct("odd_bag"), lambda w: F.size(F.filter("odd_bag", lambda v: v == w)) > 1)
+    odd_word = odd.select("*", F.explode(repeated).alias("part"))
     any_word = sigs.filter(n >= 2).select(
         *block, "pos", "bag", F.explode(F.array_distinct("bag")).alias("part")
     )
-    odd_pair = odd.filter("NOT repeats").select(
-        *block, F.col("pos").alias("odd_pos"), F.col("bag").alias("odd_bag"),
-        F.explode(word_pairs(F.col("bag"))).alias("part"),
-    )
-    any_pair = sigs.filter((n >= 2) & (n == F.size(F.array_distinct("bag")))).select(
-        *block, "pos", "bag", F.explode(word_pairs(F.col("bag"))).alias("part")
+    odd_pair = odd.select("*", F.explode(word_pairs(F.array_distinct("odd_bag"))).alias("part"))
+    any_pair = sigs.filter(n >= 2).select(
+        *block, "pos", "bag", F.explode(word_pairs(F.array_distinct("bag"))).alias("part")
     )
     met = odd_word.join(any_word, [*block, "part"]).unionByName(
         odd_pair.join(any_pair, [*block, "part"])
