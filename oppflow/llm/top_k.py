@@ -1,11 +1,16 @@
 """Exact inner-product top-k by dual cover trees.
 
-Candidates and queries are dealt into blocks by a hash of their ids.  For each block a cover tree is
-built once: a node is a center and the radius that covers its rows; its children's centers are taken
-farthest first, its own center among them, until they cover the rows within a fraction of the
-radius or the fan-out is reached; rows go to the nearest.  Each pair of a query tree and a
-candidate tree is one row of a table and one search: pairs of nodes are visited from the most promising
-one, and left out when
+Candidates and queries are dealt into blocks by their nearest pivot, so that a block is a region; a region with
+more rows than a block has is dealt out by a hash of the ids.  Pivots are taken farthest first from a sample of at
+most ``PIVOT_SAMPLE`` rows, one a block and at most ``PIVOTS``; they decide which rows lie together and never what is
+found.  For each block a cover tree is built once: a node is a center and the radius that covers its rows; its
+children's centers are taken farthest first, its own center among them, until they cover the rows within a fraction
+of the radius or the fan-out is reached; rows go to the nearest.
+
+A query block is first searched in the candidate block whose center promises most, which gives every query a kth
+score to beat.  Of all other pairs of blocks only those go on, with their trees, whose bound below reaches the worst
+of these scores; the centers and radii alone decide that.  Each pair that is left is one row of a table and one
+search: pairs of nodes are visited from the most promising one, and left out when
 
     q . c  +  |q| R  +  |c| r  +  r R  <  the worst kth score among the node's queries
 
@@ -21,7 +26,7 @@ Defined cases: vectors that are null, empty or hold a null or non-finite compone
 when counted in 1/``scale``), and rows without an id, take no part; components of any other size count, exactly; a
 score beyond 64 bits ranks by its value and is null, ``over`` (1 or -1) says on which side it is; vectors of different length are not compared; ties go to the smaller id; rows with the query's
 id are not its candidates, rows that repeat an id and a vector count once; fewer candidates than ``k`` give
-all; an empty table gives an empty result; other columns are not read.
+all; vector lengths beyond the ``PIVOT_DIMS`` most frequent are dealt into blocks by hash alone; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +45,10 @@ from oppflow.llm.tables import written
 
 CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 1024
 LEAF, FAN_OUT, SHRINK = 128, 32, 0.6
+#: Most pivots of a vector length, rows they are chosen from, and vector lengths that have some.
+PIVOTS, PIVOT_SAMPLE, PIVOT_DIMS = 1024, 8192, 16
+#: Blocks whose centers and radii travel in one row, on average.
+CHUNK_BLOCKS = 1024
 _RANK_BITS = 20
 
 
@@ -61,8 +70,10 @@ class Tree:
             with np.errstate(over="ignore"):
                 return np.sqrt(((x[rows] - x[center]) ** 2).sum(axis=1))
 
-        todo = [(0, len(ids), int(order[0]))]  # first row, end row, center; children follow breadth first
-        nodes.append([0, len(ids), order[0], 0, 0, 0])
+        with np.errstate(over="ignore", invalid="ignore"):
+            middle = int(((x - x.mean(axis=0)) ** 2).sum(axis=1).argmin())
+        todo = [(0, len(ids), middle)]  # first row, end row, center; children follow breadth first
+        nodes.append([0, len(ids), middle, 0, 0, 0])
         at = 0
         while at < len(nodes):
             low, high, center = todo[at]
@@ -121,6 +132,10 @@ class _Best:
         every = np.concatenate([self.best[low:high], found], axis=1)
         self.best[low:high] = np.partition(every, every.shape[1] - self.k, axis=1)[:, -self.k:]
 
+    def kth(self) -> list[int | None]:
+        """Every query's kth score, None if it has fewer."""
+        return [self.worst(at, at + 1) for at in range(len(self.queries.ids))]
+
     def rows(self) -> Iterator[tuple[int, int, int]]:
         by_rank = np.empty_like(self.rank)
         by_rank[self.rank] = np.arange(len(self.rank))
@@ -158,25 +173,32 @@ class _BestOfAnySize(_Best):
                 yield query, at, -less
 
 
+def _upper(products: np.ndarray, q_norm: float, q_radius: float, c_norms: np.ndarray, c_radii: np.ndarray) -> np.ndarray:
+    """The most that two rows can score that lie within the radii of centers with these products and norms."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        bound = products + q_norm * c_radii + c_norms * q_radius + q_radius * c_radii
+        # More than the bound can be off by rounding; what is no number bounds nothing.
+        bound = bound + 1e-3 + 1e-12 * (q_norm + q_radius) * (c_norms + c_radii)
+    return np.where(np.isnan(bound), np.inf, bound)
+
+
 def search(queries: Tree, candidates: Tree, k: int) -> list[tuple[int, int, int]]:
     """(query id, candidate id, score) of each query's best k candidates of the tree."""
+    return list(best_of(queries, candidates, k).rows())
+
+
+def best_of(queries: Tree, candidates: Tree, k: int, floors: np.ndarray | None = None) -> _Best:
+    """Each query's best k candidates of the tree; those that score less than the query's floor may be missing."""
     largest = [float(np.abs(t.vectors).max(initial=0.0)) for t in (queries, candidates)]
     small = largest[0] * largest[1] * queries.vectors.shape[1] < _Best.LIMIT
     best = (_Best if small else _BestOfAnySize)(queries, candidates, k)
     q_nodes, c_nodes = queries.nodes, candidates.nodes
 
     def bounds(q: int, nodes: np.ndarray) -> np.ndarray:
-        at, radius = int(q_nodes[q, 2]), q_nodes[q, 3]
-        centers, radii = nodes[:, 2].astype(np.int64), nodes[:, 3]
+        at, centers = int(q_nodes[q, 2]), nodes[:, 2].astype(np.int64)
         with np.errstate(over="ignore", invalid="ignore"):
-            most = (queries.norms[at] + radius) * (candidates.norms[centers] + radii)
-            bound = (
-                candidates.vectors[centers] @ queries.vectors[at] + queries.norms[at] * radii
-                + candidates.norms[centers] * radius + radius * radii
-            )
-            # More than the bound can be off by rounding; what is no number bounds nothing.
-            bound = bound + 1e-3 + 1e-12 * most
-        return np.where(np.isnan(bound), np.inf, bound)
+            products = candidates.vectors[centers] @ queries.vectors[at]
+        return _upper(products, queries.norms[at], q_nodes[q, 3], candidates.norms[centers], nodes[:, 3])
 
     def children(nodes: np.ndarray, node: int) -> np.ndarray:
         first, count = int(nodes[node, 4]), int(nodes[node, 5])
@@ -187,7 +209,7 @@ def search(queries: Tree, candidates: Tree, k: int) -> list[tuple[int, int, int]
         q, c, bound = todo.pop()
         low, high = int(q_nodes[q, 0]), int(q_nodes[q, 1])
         worst = best.worst(low, high)
-        if worst is not None and bound < worst:
+        if worst is not None and bound < worst or floors is not None and bound < floors[low:high].min():
             continue
         if not q_nodes[q, 5] and not c_nodes[c, 5]:
             best.compare(low, high, int(c_nodes[c, 0]), int(c_nodes[c, 1]))
@@ -199,7 +221,15 @@ def search(queries: Tree, candidates: Tree, k: int) -> list[tuple[int, int, int]
             of = np.array([c]) if split_q else children(c_nodes, c)
             pairs += [(int(below), int(n), float(b)) for n, b in zip(of, bounds(int(below), c_nodes[of]))]
         todo += sorted(pairs, key=lambda p: p[2])
-    return list(best.rows())
+    return best
+
+
+def _floor(score: int | None) -> float:
+    """A double that is at most the score."""
+    try:
+        return -np.inf if score is None else float(np.nextafter(float(score), -np.inf))
+    except OverflowError:  # beyond all doubles
+        return -np.inf if score < 0 else float(np.finfo(np.float64).max)
 
 
 def _ranked(score: int) -> tuple[int | None, int, str | None]:
@@ -210,33 +240,151 @@ def _ranked(score: int) -> tuple[int | None, int, str | None]:
     return None, 1 if score > 0 else -1, f"{score + 10**640:0641d}"
 
 
-def _trees(vectors: DataFrame, rows: int, name: str) -> DataFrame:
-    """One row per block: its tree.  Blocks have about ``rows`` rows."""
-    sizes = vectors.groupBy("dim").agg(F.count("*").alias("n"))
-    blocks = sizes.select("dim", F.ceil(F.col("n") / rows).cast("int").alias("blocks"))
-    blocked = vectors.join(blocks, "dim").withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+def farthest_first(x: np.ndarray, count: int) -> np.ndarray:
+    """At most ``count`` rows of ``x``, each as far as can be from those before it."""
+    chosen, nearest = [0], np.full(len(x), np.inf)
+    while len(chosen) < min(count, len(x)):
+        with np.errstate(over="ignore", invalid="ignore"):
+            nearest = np.fmin(nearest, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+        if not nearest.max() > 0:
+            break
+        chosen.append(int(nearest.argmax()))
+    return x[chosen]
+
+
+def _in_cells(vectors: DataFrame, candidate_block: int, query_block: int) -> DataFrame:
+    """``vectors`` written with the number of the nearest pivot as ``cell`` and, among as many pivots as there are query
+    blocks, as ``q_cell``."""
+    sizes = vectors.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).orderBy(
+        F.desc("n"), "dim"
+    ).limit(PIVOT_DIMS).collect()
+    counts = {
+        r["dim"]: [max(1, min(PIVOTS, -(-n // size))) for n, size in ((r["n"], candidate_block), (r["q"], query_block))]
+        for r in sizes
+    }
+    first = Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id", "vector")
+    chosen = vectors.where(F.col("dim").isin(list(counts))).withColumn("_at", F.row_number().over(first)).where(
+        F.col("_at") <= PIVOT_SAMPLE // max(1, len(counts))
+    ).select("dim", "vector").collect()
+    pivots = {
+        dim: farthest_first(np.array([r["vector"] for r in chosen if r["dim"] == dim]), max(many))
+        for dim, many in counts.items()
+    }
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cell, q_cell = np.zeros(len(batch), dtype=np.int64), np.zeros(len(batch), dtype=np.int64)
+            for dim, rows in batch.groupby("dim").indices.items():
+                if dim in pivots:
+                    x, near = np.array(batch["vector"].iloc[rows].tolist()), pivots[dim]
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        apart = np.nan_to_num((near * near).sum(axis=1) - 2 * (x @ near.T), nan=np.inf)
+                    many, q_many = counts[dim]
+                    cell[rows], q_cell[rows] = apart[:, :many].argmin(axis=1), apart[:, :q_many].argmin(axis=1)
+            yield batch.assign(cell=cell, q_cell=q_cell)
+
+    return written(vectors.mapInPandas(
+        cells, "id long, dim int, vector array<double>, is_query boolean, cell long, q_cell long"
+    ), "vectors_in_cells")
+
+
+_TREE = ["ids", "vectors", "nodes"]
+
+
+def _trees(vectors: DataFrame, cell: str, rows: int, name: str) -> DataFrame:
+    """One row per block: its tree, center and radius.  Blocks have at most about ``rows`` rows of one cell."""
+    sizes = vectors.groupBy("dim", cell).agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts"))
+    blocked = vectors.join(sizes, ["dim", cell]).select(
+        "dim", "id", "vector", (F.shiftleft(cell, 32) + part).alias("block")
     )
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
         tree = Tree.build(group["id"].to_numpy(), np.array(group["vector"].tolist()))
+        _, _, center, radius, _, _ = tree.nodes[0]
         return pd.DataFrame({
-            "dim": group["dim"].iloc[:1], "block": group["block"].iloc[:1], "blocks": group["blocks"].iloc[:1],
+            "dim": group["dim"].iloc[:1], "block": group["block"].iloc[:1],
             "ids": [tree.ids.astype("<i8").tobytes()], "vectors": [tree.vectors.astype("<f8").tobytes()],
             "nodes": [tree.nodes.astype("<f8").tobytes()],
+            "center": [tree.vectors[int(center)].astype("<f8").tobytes()], "radius": [radius],
         })
 
     return written(blocked.groupBy("dim", "block").applyInPandas(
-        build, "dim int, block int, blocks int, ids binary, vectors binary, nodes binary"
+        build, "dim int, block long, ids binary, vectors binary, nodes binary, center binary, radius double"
     ), name)
 
 
+def _chunks(candidates: DataFrame) -> DataFrame:
+    """Centers and radii of candidate blocks, many blocks to a row: ``dim, blocks, centers, radii``."""
+    chunks = -(-candidates.count() // CHUNK_BLOCKS)
+    dealt = candidates.select("dim", "block", "center", "radius").withColumn(
+        "_chunk", F.pmod(F.xxhash64("block"), F.lit(max(1, chunks)))
+    )
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({
+            "dim": group["dim"].iloc[:1], "blocks": [group["block"].to_numpy().astype("<i8").tobytes()],
+            "centers": [b"".join(group["center"])], "radii": [group["radius"].to_numpy().astype("<f8").tobytes()],
+        })
+
+    return dealt.groupBy("dim", "_chunk").applyInPandas(pack, "dim int, blocks binary, centers binary, radii binary")
+
+
+def _met(regions: DataFrame, chunks: DataFrame, pick, out: str) -> DataFrame:
+    """``dim, q_block`` and what ``pick(row, blocks, products, bounds)`` makes of a query block and a chunk."""
+    names = [c.strip().split(" ")[0] for c in out.split(",")]
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                centers = np.frombuffer(row.centers, dtype="<f8").reshape(-1, row.dim)
+                own = np.frombuffer(row.q_center, dtype="<f8")
+                with np.errstate(over="ignore", invalid="ignore"):
+                    products, norms = centers @ own, np.sqrt((centers * centers).sum(axis=1))
+                    norm = float(np.sqrt((own * own).sum()))
+                bounds = _upper(products, norm, row.q_radius, norms, np.frombuffer(row.radii, dtype="<f8"))
+                made = pick(row, np.frombuffer(row.blocks, dtype="<i8"), products, bounds)
+                if len(made[0]):
+                    yield pd.DataFrame(dict(zip(names, made))).assign(dim=row.dim, q_block=row.q_block)[
+                        ["dim", "q_block", *names]
+                    ]
+
+    return regions.join(chunks, "dim").mapInPandas(look, f"dim int, q_block long, {out}")
+
+
+def first_blocks(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``dim, q_block, block``: for every query block the candidate block whose center scores most with its own."""
+    def pick(row, blocks, products, bounds):
+        at = [int(np.nan_to_num(products, nan=-np.inf).argmax())]
+        return blocks[at], np.nan_to_num(products[at])
+
+    regions = queries.select("dim", F.col("block").alias("q_block"), F.col("center").alias("q_center"),
+                             F.col("radius").alias("q_radius"))
+    best = _met(regions, chunks, pick, "block long, product double")
+    return best.groupBy("dim", "q_block").agg(F.max_by("block", F.struct("product", "block")).alias("block"))
+
+
+def open_pairs(queries: DataFrame, chunks: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``dim, q_block, block`` of the pairs that can hold a result, but for those searched first."""
+    def pick(row, blocks, products, bounds):
+        return (blocks[(bounds >= row.floor) & (blocks != row.first)],)
+
+    regions = queries.select("dim", F.col("block").alias("q_block"), F.col("center").alias("q_center"),
+                             F.col("radius").alias("q_radius"))
+    known = firsts.select("dim", "q_block", F.col("block").alias("first"), "floor")
+    return _met(regions.join(known, ["dim", "q_block"]), chunks, pick, "block long")
+
+
 def _tree(dim: int, ids: bytes, vectors: bytes, nodes: bytes) -> Tree:
     x = np.frombuffer(vectors, dtype="<f8").reshape(-1, dim)
     return Tree(np.frombuffer(ids, dtype="<i8"), x, np.frombuffer(nodes, dtype="<f8").reshape(-1, 6))
 
 
+_FOUND = ["query_id", "vec_id", "score", "over", "digits"]
+_FOUND_TYPE = "array<struct<query_id:bigint,vec_id:bigint,score:bigint,over:int,digits:string>>"
+
+
 def top_k(
     df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
     scale: int = 256, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK,
@@ -255,33 +403,38 @@ def top_k(
     )
     vectors = rows.select(
         "id", F.size("_v").alias("dim"), F.transform("_v", lambda x: whole(value(x) * scale)).alias("vector")
-    ).dropDuplicates(["id", "vector"])
-    candidates = _trees(vectors, candidate_block, "candidate_trees")
-    queries = _trees(vectors.where(is_query), query_block, "query_trees")
-    # One copy of a query tree per candidate block: the whole grid of blocks, each pair once.
-    counts = candidates.select("dim", F.col("blocks").alias("_blocks")).distinct()
-    aimed = queries.join(counts, "dim").select(
-        "dim", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"),
-        *[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "nodes")],
-    )
+    ).dropDuplicates(["id", "vector"]).withColumn("is_query", F.coalesce(is_query, F.lit(False)))
+    celled = _in_cells(vectors, candidate_block, query_block)
+    candidates = _trees(celled, "cell", candidate_block, "candidate_trees")
+    queries = _trees(celled.where("is_query"), "q_cell", query_block, "query_trees")
+    chunks = written(_chunks(candidates), "regions")
+    own = queries.select("dim", F.col("block").alias("q_block"), *[F.col(c).alias(f"q_{c}") for c in _TREE])
+    other = candidates.select("dim", "block", *_TREE)
 
     def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for dim, q_ids, q_vectors, q_nodes, ids, x, nodes in batch.itertuples(index=False):
-                found = search(_tree(dim, q_ids, q_vectors, q_nodes), _tree(dim, ids, x, nodes), k)
-                if not found:
-                    continue
-                ranked = [_ranked(score) for _, _, score in found]
+            for r in batch.itertuples(index=False):
+                floors = None if r.floors is None else np.frombuffer(r.floors, dtype="<f8")
+                best = best_of(
+                    _tree(r.dim, r.q_ids, r.q_vectors, r.q_nodes), _tree(r.dim, r.ids, r.vectors, r.nodes), k, floors
+                )
+                kth = np.array([_floor(s) for s in best.kth()]) if floors is None else np.array([])
+                found = [(q, c, *_ranked(score)) for q, c, score in best.rows()]
                 yield pd.DataFrame({
-                    "query_id": [f[0] for f in found], "vec_id": [f[1] for f in found],
-                    "score": pd.array([r[0] for r in ranked], dtype="Int64"),
-                    "over": [r[1] for r in ranked], "digits": [r[2] for r in ranked],
+                    "dim": [r.dim], "q_block": [r.q_block], "block": [r.block],
+                    "floors": [kth.astype("<f8").tobytes()], "floor": [float(kth.min(initial=np.inf))],
+                    "found": [[dict(zip(_FOUND, f)) for f in found]],
                 })
 
-    pairs = aimed.join(candidates.drop("blocks"), ["dim", "block"]).select(
-        "dim", "q_ids", "q_vectors", "q_nodes", "ids", "vectors", "nodes"
-    )
-    best = pairs.mapInPandas(searched, "query_id long, vec_id long, score long, over int, digits string")
+    def searches(pairs: DataFrame) -> DataFrame:
+        return pairs.join(own, ["dim", "q_block"]).join(other, ["dim", "block"]).select(
+            "dim", "q_block", "block", "floors", *[f"q_{c}" for c in _TREE], *_TREE
+        ).mapInPandas(searched, f"dim int, q_block long, block long, floors binary, floor double, found {_FOUND_TYPE}")
+
+    firsts = written(searches(first_blocks(queries, chunks).withColumn("floors", F.lit(None).cast("binary"))), "first_blocks")
+    pairs = written(open_pairs(queries, chunks, firsts), "open_pairs", narrow=True)
+    others = searches(pairs.join(firsts.select("dim", "q_block", "floors"), ["dim", "q_block"]))
+    best = firsts.select(F.inline("found")).unionByName(others.select(F.inline("found")))
     order = Window.partitionBy("query_id").orderBy(
         F.col("over").desc(), F.col("score").desc(), F.col("digits").desc(), "vec_id"
     )

@@ -137,6 +137,26 @@ def test_search_prunes(monkeypatch):
         assert scores[q] == every.astype(int).tolist()
 
 
+def test_few_pairs_of_blocks_are_left(spark, monkeypatch):
+    """On clustered vectors fewer than a tenth of the pairs of blocks get their trees, and all answers are right."""
+    rows = [(i, [20 * c for c in v]) for i, v in vectors(9, 6000, 6, clusters=30)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, id int")
+    grid, left = [], []
+    real = search.open_pairs
+
+    def watched(queries, chunks, firsts):
+        grid.append(queries.count() * sum(len(r.blocks) // 8 for r in chunks.collect()))
+        pairs = real(queries, chunks, firsts)
+        left.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(search, "open_pairs", watched)
+    monkeypatch.setattr(search, "CHUNK_BLOCKS", 7)
+    got = top_k(df, F.col("id") % 50 == 0, candidate_block=100, query_block=4).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_force(rows, 5)
+    assert grid[0] > 900 and left[0] < grid[0] / 10, (grid, left)
+
+
 def test_tree_covers():
     rows = vectors(4, 3000, 5, clusters=7)
     x = np.array([v for _, v in rows]) * 256
