@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oppflow.functions.text import company_base
-from oppflow.operators.matching import MAX_SUBSET_WORDS, subsets
+from oppflow.operators.matching import MAX_SUBSET_WORDS, SHUFFLED, subsets
 from oppflow.session import durable
 
 # Role words are longer than two characters, so each has a part of this length.
@@ -43,8 +43,8 @@ def best_role_match(apps: DataFrame, candidates: DataFrame) -> DataFrame:
     roles = roles.withColumns({"bag": _role_words("role")}).withColumn(
         "words", F.array_sort(F.array_distinct("bag"))
     )
-    # Read by several branches below, and small next to their inputs.
-    roles = durable(roles)
+    # Read by several branches below, and small next to their inputs.  The number stands for the role in what is exploded.
+    roles = durable(roles.withColumn("id", F.monotonically_increasing_id()))
     cands = durable(candidates.select(company_base("company").alias("block"), "title", "pos"))
     titles = cands.groupBy("block", "title").agg(F.min("pos").alias("pos"))
     vocabulary = roles.select("block", F.explode("words").alias("word")).distinct().withColumn(
@@ -53,13 +53,13 @@ def best_role_match(apps: DataFrame, candidates: DataFrame) -> DataFrame:
     # Each word of a company's titles is looked up once.
     title_words = titles.select("block", F.explode(F.array_distinct(_words("title"))).alias("title_word")).distinct()
     inside = (
-        title_words.withColumn("part", F.explode(F.array_distinct(_parts(F.col("title_word")))))
+        title_words.withColumn("part", F.explode(F.array_distinct(_parts(F.col("title_word"))))).hint(SHUFFLED)
         .join(vocabulary, ["block", "part"]).filter(F.contains("title_word", "word"))
         .select("block", "title_word", "word").distinct()
     )
     pieces = titles.select(
         "block", "pos", F.explode(F.array_distinct(_words("title"))).alias("title_word")
-    ).join(inside, ["block", "title_word"])
+    ).hint(SHUFFLED).join(inside, ["block", "title_word"])
     held = durable(
         pieces.groupBy("block", "pos").agg(F.array_sort(F.collect_set("word")).alias("held"))
         .groupBy("block", F.array_join("held", " ").alias("held_key"))
@@ -73,33 +73,34 @@ def best_role_match(apps: DataFrame, candidates: DataFrame) -> DataFrame:
         short_held.select("block", "pos", F.explode(subsets(F.col("held"), 1, F.size("held"))).alias("part"))
         .groupBy("block", "part").agg(F.min("pos").alias("pos"))
     )
-    asked = short_roles.select(
-        "block", "role", "bag", F.explode(subsets(F.col("words"), 1, F.size("words"))).alias("part")
-    )
-    weight = F.size(F.filter("bag", lambda w: F.array_contains(F.split("part", " "), w)))
-    through_parts = asked.join(by_part, ["block", "part"]).select(
-        "block", "role", weight.cast("bigint").alias("score"), "pos"
+    # A word that the role repeats counts as often as it stands there.
+    weight = F.when(F.size("bag") == F.size("words"), F.size(F.split("part", " "))).otherwise(
+        F.size(F.filter("bag", lambda w: F.array_contains(F.split("part", " "), w)))
     )
+    asked = short_roles.select(
+        "block", "id", "bag", "words", F.explode(subsets(F.col("words"), 1, F.size("words"))).alias("part")
+    ).select("block", "id", "part", weight.cast("bigint").alias("score"))
+    through_parts = asked.hint(SHUFFLED).join(by_part, ["block", "part"]).select("id", "score", "pos")
 
     # Very long titles on either side are scored word by word; two short ones never meet here.
     def by_word(some_roles: DataFrame, some_held: DataFrame) -> DataFrame:
-        role_word = some_roles.select("block", "role", F.explode("bag").alias("word"))
+        role_word = some_roles.select("block", "id", F.explode("bag").alias("word")).hint(SHUFFLED)
         held_word = some_held.select("block", "pos", F.explode("held").alias("word"))
         return (
             role_word.join(held_word, ["block", "word"])
-            .groupBy("block", "role", "pos").agg(F.count(F.lit(1)).alias("score"))
-            .select("block", "role", "score", "pos")
+            .groupBy("id", "pos").agg(F.count(F.lit(1)).alias("score"))
+            .select("id", "score", "pos")
         )
 
     word_by_word = by_word(long_roles, held).unionByName(by_word(short_roles, long_held))
     best = (
-        through_parts.unionByName(word_by_word).groupBy("block", "role")
+        through_parts.unionByName(word_by_word).groupBy("id")
         .agg(F.max(F.struct("score", (-F.col("pos")).alias("back"))).alias("b"))
-        .select("block", "role", (-F.col("b.back")).alias("best"))
+        .select("id", (-F.col("b.back")).alias("best"))
     )
     first = cands.groupBy("block").agg(F.min("pos").alias("first"))
     return (
-        roles.select("block", "role").join(first, "block").join(best, ["block", "role"], "left")
+        roles.select("block", "role", "id").join(first, "block").join(best, "id", "left")
         .select("block", "role", F.coalesce("best", "first").alias("best_pos"))
     )
 

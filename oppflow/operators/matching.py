@@ -16,6 +16,9 @@ from oppflow.session import durable
 
 # Word sets up to this size are scored through their subsets, longer ones word by word.
 MAX_SUBSET_WORDS = 10
+# For a join with an exploded table, whose size Spark takes for that of the table before, or with word sets, whose
+# files are far smaller than their rows: never to be broadcast.
+SHUFFLED = "merge"
 
 
 def subsets(words: Column, fewest, most) -> Column:
@@ -63,7 +66,7 @@ def _rarest_words(sigs: DataFrame) -> DataFrame:
     words = held.select("block", "full", F.size("words").alias("n"), F.explode("words").alias("word"))
     counts = words.groupBy("block", "word").agg(F.count(F.lit(1)).alias("sets"))
     return (
-        words.filter("n >= 2").join(counts, ["block", "word"])
+        words.filter("n >= 2").hint(SHUFFLED).join(counts, ["block", "word"])
         .groupBy("block", "full").agg(F.min(F.struct("sets", "word")).alias("r"))
         .select("block", "full", F.col("r.word").alias("rarest"))
     )
@@ -84,19 +87,19 @@ def first_same_role(
     # Both are read by every branch below and are small next to their input.
     q = durable(_signatures(queries, block, title, []))
     t = durable(_signatures(targets, block, title, pos))
-    rare = durable(_rarest_words(q.unionByName(t.select(q.columns))))
+    rare = durable(_rarest_words(q.unionByName(t.select(q.columns)))).hint(SHUFFLED)
     q_rare, t_rare = q.join(rare, ["block", "full"]), t.join(rare, ["block", "full"])
     earliest = [F.min(p).alias(p) for p in pos]
 
     def inside(smaller: DataFrame, larger: DataFrame) -> DataFrame:
         """Word sets met by the larger ones that hold their rarest word, then compared whole."""
         small = smaller.withColumnRenamed("words", "small").withColumnRenamed("rarest", "word")
-        big = larger.select("*", F.explode("words").alias("word"))
+        big = larger.select("*", F.explode("words").alias("word")).hint(SHUFFLED)
         return small.join(big, ["block", "word"]).filter(
             (F.size("small") < F.size("words")) & (F.size(F.array_except("small", "words")) == 0)
         ).select("block", "full", *pos)
 
-    equal = q.join(t.drop("words"), ["block", "full"]).select("block", "full", *pos)
+    equal = q.join(t.drop("words").hint(SHUFFLED), ["block", "full"]).select("block", "full", *pos)
     wider = inside(q_rare, t.drop("full"))
     narrower = inside(t_rare.drop("full"), q)
     return equal.unionByName(wider).unionByName(narrower).groupBy("block", "full").agg(*earliest)

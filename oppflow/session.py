@@ -17,6 +17,12 @@ SETTINGS = {
 }
 
 
+# Before a run Spark knows a table only by its compressed files, a hundredth of its rows at times, and takes an
+# exploded array for a single row.  So little is broadcast by that guess; sizes measured at run time decide the rest.
+# A session that has a threshold of its own keeps it.
+BROADCAST, BROADCAST_DEFAULT = "spark.sql.autoBroadcastJoinThreshold", "10485760b"
+GUESSED, MEASURED = "1m", ("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+
 # Before every explode this rule adds a filter "array not empty" that works the array
 # out once more.  Here the arrays are parsed payloads, split texts and word subsets,
 # and hardly ever empty, so the filter costs more than the rows it would drop.
@@ -32,6 +38,10 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    if spark.conf.get(BROADCAST, BROADCAST_DEFAULT) == BROADCAST_DEFAULT:
+        spark.conf.set(BROADCAST, GUESSED)
+        if spark.conf.get(MEASURED[0], None) is None:
+            spark.conf.set(*MEASURED)
     excluded = spark.conf.get("spark.sql.optimizer.excludedRules", None) or ""
     if EXCLUDED_RULE not in excluded:
         rules = ",".join(r for r in (excluded, EXCLUDED_RULE) if r)
