@@ -21,7 +21,9 @@ def with_rank(df: DataFrame, order: list, name: str = "rank", within: list[str]
     The rows are range-sorted over all executors and written once, so the ids are
     frozen; a row's rank is then its place in its partition plus the size of the
     partitions before it.  A hot sort key is spread over several partitions.  With
-    ``within`` the count restarts for every group, again without a window over it.
+    ``within`` the count restarts for every group, again without a window over it: a group's
+    first place is kept with every partition that holds some of it, and rows meet it by both,
+    so that a group of any size is dealt out as the sort has dealt it.
     """
     within = within or []
     ids = f"_{name}_id"
@@ -46,19 +48,25 @@ def with_rank(df: DataFrame, order: list, name: str = "rank", within: list[str]
         .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     )
     place = F.col("_start") + F.col(ids).bitwiseAND(F.lit((1 << _PARTITION_SHIFT) - 1)) + 1
-    ranked = (
+    placed = (
         frozen.withColumn("_part", part)
         .join(F.broadcast(starts), "_part")
         .withColumn(name, place.cast("bigint"))
-        .drop("_part", "_start", ids)
+        .drop("_start", ids)
     )
     if not within:
-        return ranked
-    first = ranked.groupBy(*within).agg((F.min(name) - 1).alias("_offset"))
-    keys = [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in within]
-    joined = ranked.alias("r").join(first.alias("o"), keys)
-    kept = [F.col(f"r.{c}") for c in ranked.columns if c != name]
-    return joined.select(*kept, (F.col(f"r.{name}") - F.col("o._offset")).alias(name))
+        return placed.drop("_part")
+    # A row per partition and group that it holds rows of.
+    held = placed.groupBy("_part", *within).agg(F.min(name).alias("_first"))
+    first = held.groupBy(*within).agg((F.min("_first") - 1).alias("_offset"))
+
+    def same(a: str, b: str) -> list:
+        return [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in within]
+
+    offsets = held.alias("h").join(first.alias("o"), same("h", "o")).select("h._part", *[f"h.{k}" for k in within], "o._offset")
+    joined = placed.alias("r").join(offsets.alias("f"), [F.col("r._part") == F.col("f._part"), *same("r", "f")])
+    kept = [F.col(f"r.{c}") for c in placed.columns if c not in (name, "_part")]
+    return joined.select(*kept, (F.col(f"r.{name}") - F.col("f._offset")).alias(name))
 
 
 def top_per_key(df: DataFrame, keys: list, order: list, k: int = 1, name: str = "_rn"):
