@@ -10,7 +10,7 @@ from oppflow.functions.classify import (
     ALIAS_TO_STATUS, STATUS_TO_SYMBOL, normalize_status, repaired_status,
 )
 from oppflow.functions.text import company_key, report_path, split_row, strip_bold
-from oppflow.sources.lines import is_separator
+from oppflow.sources.lines import is_separator, with_header
 
 
 def exact_duplicates(apps: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def row_format(lines: DataFrame) -> DataFrame:
     header = rows.filter(is_header).groupBy("file").agg(
         (F.min_by(F.size("cells"), "line_no") - 2).alias("expected")
     )
-    data = rows.filter(~F.coalesce(is_header, F.lit(False))).join(header, "file")
+    data = with_header(rows.filter(~F.coalesce(is_header, F.lit(False))), header)
     width = F.size("cells") - 2
     message = F.when(
         F.element_at("cells", -1) != "", F.lit("row is missing its closing pipe")

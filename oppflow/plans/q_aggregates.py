@@ -13,6 +13,7 @@ from oppflow.plans.duck import any_word, pct, places, with_views
 from oppflow.plans.q_joins import COHORT_SQL, COHORT_VIEWS, FILES_SQL, cohort_of, report_files
 from oppflow.plans.q_rules import TECH_SQL, _GAP, _SEV, _TEAM, blocker_sql
 from oppflow.plans.registry import ORACLES, register
+from oppflow.session import durable
 
 CLOSED = D.in_list(fixed.CLOSED_STATUSES)
 APP = ["app", "app_s"]
@@ -511,7 +512,8 @@ def lines_of(v):
         F.struct(F.lit(1).cast("bigint").alias("line_no"), F.lit(HEADER).alias("line")),
         F.struct(F.lit(2).cast("bigint").alias("line_no"), F.lit("| --- | --- |").alias("line")),
     )).alias("h")).select("file", "h.line_no", "h.line")
-    return head.unionByName(body)
+    # Written once: the checks pass over the lines several times.
+    return durable(head.unionByName(body))
 
 
 FORMAT_SQL = """

@@ -237,7 +237,8 @@ def tsv_of(df, key: str, columns: list[str], header: str, file: str):
                      F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("line"))
     spark = df.sparkSession
     head = spark.createDataFrame([(file, 1, header), (file, 2, "")], "file string, line_no bigint, line string")
-    return head.unionByName(body)
+    # Written once: the reader passes over its lines several times.
+    return durable(head.unionByName(body))
 
 
 @register("read_scan_history", with_views(["posting"], """

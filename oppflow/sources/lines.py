@@ -42,6 +42,21 @@ def read_lines(spark: SparkSession, paths) -> DataFrame:
     )
 
 
+#: So many line numbers of a file meet its header together.
+HEADER_RUN = 1 << 16
+
+
+def with_header(rows: DataFrame, header: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` of ``(file, line_no, ...)`` joined with what ``header`` says of their file.
+
+    A file's lines meet its header in runs of line numbers, each run with a copy of the header's rows, so
+    that the lines of one long file are dealt out over the tasks.
+    """
+    run = F.coalesce(F.floor(F.col("line_no") / HEADER_RUN), F.lit(0)).alias("_run")
+    runs = rows.select("file", run).distinct().join(header, "file")
+    return rows.select("*", run).join(runs, ["file", "_run"], how).drop("_run")
+
+
 def read_inbox_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Inbox entries out of ``- [ ] url | company | title | location | markers``.
 
@@ -135,7 +150,7 @@ def read_tracker(lines: DataFrame) -> DataFrame:
                 & F.array_contains("fields", "company"))
         .groupBy("file").agg(F.min_by("fields", "slot").alias("fields"))
     )
-    joined = data.join(header, "file", "left")
+    joined = with_header(data, header, "left")
 
     def cell(i):
         return F.get("cells", F.lit(i))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oppflow.functions.text import blank_to_null, parse_int, split_row
-from oppflow.sources.lines import read_lines
+from oppflow.sources.lines import read_lines, with_header
 
 
 def _header_mapped(lines: DataFrame, fields: dict[str, list[str]], comment: str | None) -> DataFrame:
@@ -23,7 +23,7 @@ def _header_mapped(lines: DataFrame, fields: dict[str, list[str]], comment: str
                 F.transform("cells", lambda c: F.lower(c)).alias("header"))
         .filter(F.arrays_overlap("header", F.array(*map(F.lit, labels))))
     )
-    rows = cells.join(header, "file").filter("line_no > _first")
+    rows = with_header(cells, header).filter("line_no > _first")
 
     def at(names):
         places = [F.nullif(F.array_position("header", F.lit(n)), F.lit(0).cast("bigint")) for n in names]
