@@ -49,14 +49,14 @@ def _queue_keys(apps: DataFrame) -> tuple[DataFrame, list]:
     return df, keys
 
 
-def sort_tracker(apps: DataFrame, file: str | None = "file") -> DataFrame:
+def sort_tracker(apps: DataFrame, file: str | None = "file", then: tuple = ()) -> DataFrame:
     """Tracker rows with ``queue_rank``, their place in their file's queue.
 
     The keys form a total order that ends in the old position, so sorting a sorted
-    tracker changes nothing.
+    tracker changes nothing.  ``then`` are columns that order rows of the same position.
     """
     df, keys = _queue_keys(apps)
-    ranked = with_rank(df, keys, "queue_rank", [file] if file else None)
+    ranked = with_rank(df, [*keys, *then], "queue_rank", [file] if file else None)
     return ranked.drop("_sent", "_posted")
 
 

@@ -227,7 +227,7 @@ def queue_position(v):
         row_number() OVER (PARTITION BY file ORDER BY pos) AS index FROM grouped) WHERE queue_rank <> index""", QUEUE_SQL))
 def moved_rows(v):
     numbered = with_rank(v.app, [F.col("pos")], "index", ["file"])
-    return queues.moved_rows(queues.sort_tracker(numbered)).select("pos", "queue_rank", "index")
+    return queues.moved_rows(queues.sort_tracker(numbered, then=("index",))).select("pos", "queue_rank", "index")
 
 
 _VIEW_RANK = "CASE status_id " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(fixed.VIEW_STATUS_ORDER)) + " ELSE 9 END"
