@@ -1,17 +1,16 @@
 """Search of texts for many literals at once, the literals kept as a table.
 
-``corpus.scan_literals`` tests every literal on every line, which suits a handful.  Here each literal is
-filed under one piece of ``gram`` characters of its own, its anchor: the piece that the fewest lines hold.
-A line meets a literal only if it holds its anchor, by equality of pieces, and is then tested for the
-whole literal.  No line meets a literal without sharing a piece with it.
-
-* Pieces of lines that belong to no literal are dropped before anything is shuffled, by a bit map of fixed
-  size (``BITS`` bits, a constant of the plan) that is built from the literals' pieces; false hits of the
-  map are removed by the join.
+``corpus.scan_literals`` tests every literal on every line, which suits a handful.  Here literals and lines meet
+by equality of pieces of at most ``gram`` characters, and a line's text is never shipped with a piece of it.
+
+* A literal of up to ``gram`` characters is a piece itself: a line that has the piece holds the literal, and nothing
+  is left to test.  There is a pass over the pieces of each length up to ``gram`` that a literal has.
+* A longer literal is filed under one piece of ``gram`` characters of its own, its anchor: the piece that the
+  fewest lines hold.  A line that has the anchor meets the literal by its key and number, and is tested for all of it.
+* Pieces of lines that belong to no literal are dropped before anything is shuffled, by a bit map that is built from the
+  literals' pieces; false hits of the map are removed by the join.  It has a few bits a piece, ``MOST_BITS`` at most.
 * Pieces are counted with partial sums per task; a piece that most lines hold is one row per task.
-* Lines are met by number, so a line is shipped once per candidate literal's anchor, not per literal;
-  a hot anchor is a skewed key with one row on the other side and is split by adaptive execution.
-* A literal shorter than ``gram`` is its own anchor; there is a pass over the pieces of each such length.
+* A hot piece is a skewed key with one row on the other side and is split by adaptive execution.
 
 Defined cases: a null or empty literal finds nothing; equal literals count once; a literal that spans
 lines is in no line; a null text has no lines; repeated rows are each reported.
@@ -26,72 +25,110 @@ from pyspark.sql.window import Window
 from oppflow.operators.corpus import numbered_lines
 from oppflow.session import durable
 
-GRAM = 6
-#: Bits of the map of pieces; a power of two.
-BITS = 1 << 22
+GRAM = 16
+#: Bits of the map of pieces, powers of two: per piece, at least and at most.
+PIECE_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 25
 
 
 def pieces(text: Column, lengths: list[int]) -> Column:
-    """The distinct pieces of a text, of every given length, in time linear in the text."""
-    return F.array_distinct(F.concat(*[
-        F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths
-    ]))
+    """The distinct pieces of a text, of every given length."""
+    return F.array_distinct(F.flatten(F.transform(_stretches(text, lengths), lambda s: _starts(s, lengths))))
 
 
-def _slot(piece: Column) -> Column:
-    return F.pmod(F.xxhash64(piece), F.lit(BITS))
+def _stretches(text: Column, lengths: list[int]) -> Column:
+    """What follows every place of a text, as far as the longest piece, in time linear in the text."""
+    # The character is consumed, so that no stretch begins within a pair of surrogates.
+    pattern = f"(?s)(?=(.{{{min(lengths)},{max(lengths)}}}))."
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
 
 
-def _bit_map(wanted: DataFrame) -> Column:
-    """The 64-bit words of the map, in order, as one constant: at most ``BITS / 64`` rows are collected."""
-    slots = wanted.select(_slot(F.col("_piece")).alias("_slot"))
+def _starts(stretch: Column, lengths: list[int], keep=None) -> Column:
+    """The pieces that a stretch begins with, those that ``keep`` holds of."""
+    def start(n: int) -> Column:
+        piece = F.left(stretch, F.lit(n))
+        whole = F.length(stretch) >= n
+        return F.when(whole if keep is None else whole & keep(piece), piece)
+
+    return F.array_compact(F.array(*map(start, lengths)))
+
+
+def _slots(piece: Column, bits: int) -> list[Column]:
+    """Two places in the map."""
+    code = F.xxhash64(piece)
+    return [F.pmod(code, F.lit(bits)), F.pmod(F.shiftright(code, 32), F.lit(bits))]
+
+
+def _bit_map(wanted: DataFrame) -> tuple[Column, int]:
+    """The 64-bit words of the map, in order, as one constant, and its bits: at most ``MOST_BITS / 64`` rows are collected."""
+    bits, room = LEAST_BITS, wanted.count() * PIECE_BITS
+    while bits < min(room, MOST_BITS):
+        bits *= 2
+    slots = wanted.select(F.explode(F.array(*_slots(F.col("_piece"), bits))).alias("_slot"))
     filled = slots.groupBy(F.shiftright("_slot", 6).alias("_word")).agg(
         F.expr("bit_or(shiftleft(1L, CAST(_slot & 63 AS int)))").alias("_bits")
     )
-    words = ["0"] * (BITS // 64)
+    words = ["0"] * (bits // 64)
     for r in filled.collect():
         words[r["_word"]] = str(r["_bits"])
-    return F.split(F.lit(",".join(words)), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(words)), ",").cast("array<bigint>"), bits
+
 
+def _in_map(piece: Column, words: Column, bits: int) -> Column:
+    def is_set(slot: Column) -> Column:
+        return F.getbit(F.get(words, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-def _in_map(piece: Column, bits: Column) -> Column:
-    slot = _slot(piece)
-    return F.getbit(F.get(bits, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+    first, second = (is_set(slot) for slot in _slots(piece, bits))
+    return first & second
+
+
+def _found(lines: DataFrame, wanted: DataFrame, lengths: list[int], key: str) -> DataFrame:
+    """``(key, line_no, _piece)`` for the pieces of lines that may be wanted: all that are, and a few more."""
+    words, bits = _bit_map(wanted)
+    held = F.transform(
+        _stretches(F.col("line"), lengths), lambda s: _starts(s, lengths, lambda p: _in_map(p, words, bits))
+    )
+    return lines.select(key, "line_no", F.explode(F.array_distinct(F.flatten(held))).alias("_piece"))
+
+
+def _of_long(lines: DataFrame, long: DataFrame, key: str, gram: int) -> DataFrame:
+    """``(key, line_no, _literal)`` for literals longer than a piece, by their anchors."""
+    filed = long.select("_literal", F.explode(pieces(F.col("_literal"), [gram])).alias("_piece"))
+    known = filed.groupBy("_piece").agg(F.count("*").alias("_literals"))
+    found = _found(lines, known.select("_piece"), [gram], key)
+    seen = found.groupBy("_piece").agg(F.count("*").alias("_lines"))
+    rarest = Window.partitionBy("_literal").orderBy("_lines", "_literals", "_piece")
+    anchors = durable(
+        filed.join(known, "_piece").join(seen, "_piece")
+        .withColumn("_at", F.row_number().over(rarest)).filter("_at = 1").select("_piece", "_literal")
+    )
+    # Rows may share a key, so a line is told by what it holds once they have met.
+    near = found.join(anchors, "_piece").select(F.col(key).alias("_key"), F.col("line_no").alias("_no"), "_literal").distinct()
+    met = lines.join(near, F.col(key).eqNullSafe(F.col("_key")) & (F.col("line_no") == F.col("_no")))
+    return met.filter(F.contains("line", F.col("_literal"))).select(key, "line_no", "_literal")
 
 
 def scan_many(docs: DataFrame, literals: DataFrame, literal: str = "pattern", allow: list[str] = (),
               key: str = "doc_id", text: str = "text", name: str = "source", gram: int = GRAM) -> DataFrame:
     """``(key, line_no, literal)`` for every line that holds a literal, except in allowed sources.
 
-    The lines are read twice, to count pieces and to search; the anchors are written in between.
+    The lines are read once for literals of up to ``gram`` characters; for longer ones they are read three times, to
+    count pieces, to meet anchors and to test, and the anchors are written in between.
     """
     checked = docs
     for allowed in allow:
         checked = checked.filter(~F.contains(F.coalesce(name, F.lit("")), F.lit(allowed)))
     lines = numbered_lines(checked, key, text)
     wanted = literals.select(F.col(f"`{literal}`").alias("_literal")).filter("length(_literal) > 0").distinct()
-    sizes = sorted(r[0] for r in wanted.select(F.least(F.length("_literal"), F.lit(gram))).distinct().collect())
+    sizes = sorted(r[0] for r in wanted.select(F.least(F.length("_literal"), F.lit(gram + 1))).distinct().collect())
     if not sizes:
         return lines.select(key, "line_no", F.lit("").alias(literal)).limit(0)
-
-    def own(n: int) -> Column:
-        return pieces(F.col("_literal"), [n])
-
-    filed = wanted.select("_literal", F.explode(F.coalesce(*[
-        F.when(F.least(F.length("_literal"), F.lit(gram)) == n, own(n)) for n in sizes
-    ])).alias("_piece"))
-    known = filed.groupBy("_piece").agg(F.count("*").alias("_literals"))
-    bits = _bit_map(known)
-    met = lines.select(
-        key, "line_no", "line",
-        F.filter(pieces(F.col("line"), sizes), lambda p: _in_map(p, bits)).alias("_pieces"),
-    ).filter(F.size("_pieces") > 0)
-    seen = met.select(F.explode("_pieces").alias("_piece")).groupBy("_piece").agg(F.count("*").alias("_lines"))
-    rarest = Window.partitionBy("_literal").orderBy("_lines", "_literals", "_piece")
-    counted = filed.join(known, "_piece").join(seen, "_piece", "left")
-    anchors = durable(
-        counted.withColumn("_lines", F.coalesce("_lines", F.lit(0)))
-        .withColumn("_at", F.row_number().over(rarest)).filter("_at = 1 AND _lines > 0").select("_piece", "_literal")
-    )
-    hits = met.select(key, "line_no", "line", F.explode("_pieces").alias("_piece")).join(anchors, "_piece")
-    return hits.filter(F.contains("line", F.col("_literal"))).select(key, "line_no", F.col("_literal").alias(literal))
+    parts, lengths = [], [n for n in sizes if n <= gram]
+    if lengths:
+        short = wanted.filter(F.length("_literal") <= gram).select(F.col("_literal").alias("_piece"))
+        # A task's share of the literals is small, so lines' pieces are looked up in it and not sorted.
+        found = _found(lines, short, lengths, key).join(short.hint("shuffle_hash"), "_piece")
+        parts.append(found.select(key, "line_no", F.col("_piece").alias("_literal")))
+    if sizes[-1] > gram:
+        parts.append(_of_long(lines, wanted.filter(F.length("_literal") > gram), key, gram))
+    hits = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return hits.select(key, "line_no", F.col("_literal").alias(literal))

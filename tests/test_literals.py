@@ -49,3 +49,27 @@ def test_ten_thousand_literals_meet_few_lines(spark):
     assert rows_of(found) == [(i, 1, f"user{i:06d}") for i in range(0, 4000, 2)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "Python" not in plan
+
+
+def test_a_piece_of_a_line_never_carries_the_line(spark):
+    """A line used to be shuffled with every piece of it: 40,000 characters as often as they have pieces."""
+    import re
+
+    line = " ".join(f"w{i}" for i in range(8000))
+    df = spark.createDataFrame([(1, line, "s"), (1, line, "s"), (1, "w1 w2", "s"), (None, "x😀abc w7 w8", "s")], "doc_id int, text string, source string")
+    wanted = [line[i:i + 5 + i % 30] for i in range(0, len(line) - 40, 97)] + ["?abc", "\ufffdabc", "😀abc", " w5 w6 w7 w8 w9 w10 w11 w12"]
+    found = L.scan_many(df, spark.createDataFrame([(w,) for w in wanted], "pattern string"))
+    docs = [(1, line), (1, line), (1, "w1 w2"), (None, "x😀abc w7 w8")]
+    assert sorted(map(str, rows_of_any(found))) == sorted(map(str, brute_any(docs, wanted)))
+    short = L.scan_many(df, spark.createDataFrame([(w,) for w in wanted if len(w) <= L.GRAM], "pattern string"))
+    plan = short._jdf.queryExecution().executedPlan().toString().split("\n")
+    exploded = [n for n in plan if "Generate explode" in n and re.search(r"\[_piece#\d+\]$", n)]
+    assert exploded and all(re.search(r", \[doc_id#\d+L?, line_no#\d+L?\], false, ", n) for n in exploded)
+
+
+def rows_of_any(df):
+    return [(r.doc_id, r.line_no, r.pattern) for r in df.collect()]
+
+
+def brute_any(docs, wanted):
+    return [(i, 1, p) for i, text in docs for p in set(wanted) if p in text]
