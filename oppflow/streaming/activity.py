@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from oppflow.functions.text import iso_week
 from oppflow.streaming.jobs import run_to_table
-from oppflow.streaming.postings_state import OUTPUT, DailyPostings
+from oppflow.streaming.postings_state import BUCKETS, OUTPUT, DailyPostings
 from oppflow.streaming.timers import SETTINGS
 
 
@@ -31,8 +31,9 @@ def stream_daily_postings(postings: DataFrame, late: str = LATE) -> DataFrame:
     on, so a posting counts however late it arrives within that time, in this run or a later one.  Older ones are
     dropped.  Start the query under ``timers.SETTINGS``.
     """
-    dated = postings.select("ts", F.to_date("ts").alias("day"), "company", "title", "url")
-    return dated.withWatermark("ts", late).groupBy("company", "title").transformWithStateInPandas(
+    bucket = F.pmod(F.hash("company", "title"), F.lit(BUCKETS))
+    dated = postings.select("ts", F.to_date("ts").alias("day"), "company", "title", "url", bucket.alias("bucket"))
+    return dated.withWatermark("ts", late).groupBy("bucket").transformWithStateInPandas(
         DailyPostings(), OUTPUT, "update", "eventTime"
     )
 
