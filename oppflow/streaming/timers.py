@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from oppflow.functions import fixed
 
 OUTPUT = "app long, day date, state string"
-STATE = "applied date, last date, sent int, state string"
+STATES = ("apps array<long>, applied array<date>, last array<date>, sent array<int>, state array<string>, wake date")
 # What the session must be set to while the query is started and run.
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -103,61 +103,85 @@ def _tracked(rows: pd.DataFrame) -> list[tuple]:
     return out
 
 
-def _as_frame(app, passed) -> pd.DataFrame:
+def _as_frame(passed: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({
-        "app": pd.Series([app] * len(passed), dtype="int64"),
-        "day": pd.Series([d for d, _ in passed], dtype="object"),
-        "state": pd.Series([s for _, s in passed], dtype="object"),
+        "app": pd.Series([a for a, _, _ in passed], dtype="int64"),
+        "day": pd.Series([d for _, d, _ in passed], dtype="object"),
+        "state": pd.Series([s for _, _, s in passed], dtype="object"),
     })
 
 
+#: Applications are dealt to so many buckets by hash.  Part of what a checkpoint holds, as in ``postings_state``.
+BUCKETS = 256
+
+
+def _bucket():
+    return F.pmod(F.hash(F.col("app").cast("long")), F.lit(BUCKETS)).alias("bucket")
+
+
 class FollowUpTimers(StatefulProcessor):
-    """Keeps one small state per application and wakes up at its next deadline."""
+    """Keeps one small state per application and wakes up at the next deadline.
+
+    The states of a bucket are one value and share a timer, for the earliest of their deadlines: a call from Python
+    costs far more than the states that it brings along.
+    """
 
     def __init__(self, cfg: dict):
         self.cfg = cfg
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("application", STATE)
-
-    def _store(self, state, now_ms: int) -> None:
-        self.value.update(state)
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        if state[3] != "retired":
-            day = deadlines(state, self.cfg)[0][0]
+        self.value = handle.getValueState("applications", STATES)
+
+    def _load(self) -> tuple[dict[int, tuple], dt.date | None]:
+        held = self.value.get()
+        if held is None:
+            return {}, None
+        apps, *parts, wake = held
+        return dict(zip(apps, zip(*parts))), wake
+
+    def _store(self, states: dict[int, tuple], wake: dt.date | None, now_ms: int) -> None:
+        """A timer that is no longer needed fires all the same and finds nothing to do."""
+        due = min((deadlines(s, self.cfg)[0][0] for s in states.values() if s[3] != "retired"), default=None)
+        if due is not None and (wake is None or due < wake):
             # Fires once the watermark has passed the whole day.
-            when = int(pd.Timestamp(day + DAY).timestamp() * 1000)
+            when = int(pd.Timestamp(due + DAY).timestamp() * 1000)
             self.handle.registerTimer(max(when, now_ms + 1))
-
-    def _current(self):
-        return tuple(self.value.get()) if self.value.exists() else None
+            wake = due
+        if states:
+            self.value.update((list(states), *map(list, zip(*states.values())), wake))
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        """An application that a tracker knows already; what it passed before is not reported again."""
-        for state in _tracked(initialState):
-            self._store(state, timerValues.getCurrentWatermarkInMs())
+        """Applications that a tracker knows already; what they passed before is not reported again."""
+        states, wake = self._load()
+        states.update(zip(map(int, initialState["app"]), _tracked(initialState)))
+        self._store(states, wake, timerValues.getCurrentWatermarkInMs())
 
     def handleInputRows(self, key, rows, timerValues):
-        days = [
-            (row.ts.date(), int(row.applied), int(row.followups))
-            for batch in rows for row in batch.itertuples()
-        ]
+        days: dict[int, list] = {}
+        for batch in rows:
+            for app, ts, applied, followups in zip(batch["app"], batch["ts"], batch["applied"], batch["followups"]):
+                days.setdefault(int(app), []).append((ts.date(), int(applied), int(followups)))
         # Days before the watermark are complete, so their deadlines can run at once.
         mark = timerValues.getCurrentWatermarkInMs()
-        until = _passed_day(mark) if mark > 0 else None
-        state, passed = replay(self._current(), sorted(days), until, self.cfg)
-        if state is not None:
-            self._store(state, mark)
-        yield _as_frame(key[0], passed)
+        states, wake = self._load()
+        yield self._move(states, wake, days, mark, _passed_day(mark) if mark > 0 else None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = timerValues.getCurrentWatermarkInMs()
-        state, passed = advance(self._current(), _passed_day(mark), self.cfg)
-        if state is not None:
-            self._store(state, mark)
-        yield _as_frame(key[0], passed)
+        states, _ = self._load()
+        yield self._move(states, None, {app: [] for app in states}, mark, _passed_day(mark))
+
+    def _move(self, states: dict, wake: dt.date | None, days: dict[int, list], mark: int, until: dt.date | None):
+        """Applications through their new days and up to ``until``; what they passed."""
+        out = []
+        for app, touched in days.items():
+            state, passed = replay(states.get(app), sorted(touched), until, self.cfg)
+            out += [(app, *p) for p in passed]
+            if state is not None:
+                states[app] = state
+        self._store(states, wake, mark)
+        return _as_frame(out)
 
     def close(self) -> None:
         pass
@@ -187,8 +211,8 @@ def stream_follow_up_timers(
     was sent yet.
     """
     cfg = {**fixed.CADENCE, "retire_days": fixed.RETIRE_DAYS, **(cfg or {})}
-    start = None if tracker is None else _tracker_rows(tracker).groupBy("app")
-    return daily_touches(events, delay).groupBy("app").transformWithStateInPandas(
+    start = None if tracker is None else _tracker_rows(tracker).withColumn("bucket", _bucket()).groupBy("bucket")
+    return daily_touches(events, delay).withColumn("bucket", _bucket()).groupBy("bucket").transformWithStateInPandas(
         FollowUpTimers(cfg), OUTPUT, "append", "eventTime", start
     )
 
@@ -206,7 +230,7 @@ def follow_up_transitions(
         days = sorted((r.ts.date(), int(r.applied), int(r.followups)) for r in rows.itertuples())
         days = [d for d in days if d[0] <= until]
         state = next(iter(_tracked(start)), None)
-        return _as_frame(key[0], replay(state, days, until, cfg)[1])
+        return _as_frame([(key[0], *p) for p in replay(state, days, until, cfg)[1]])
 
     daily = daily_touches(events).drop("w")
     if tracker is None:

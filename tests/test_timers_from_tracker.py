@@ -33,3 +33,18 @@ def test_timers_go_on_from_a_tracker(spark, tmp_path):
     ]
     batch = timers.follow_up_transitions(events, day(23), tracker=tracker)
     assert sorted(map(tuple, batch.collect())) == got
+
+
+def test_applications_share_their_state(spark, tmp_path):
+    """A state per application cost a dozen calls from Python each; now a bucket's applications are one value."""
+    rows = [(day(1 + i % 9), i, k) for i in range(2000) for k in ("applied", "followup") if k == "applied" or i % 3 == 0]
+    rows += [(day(29), 5000, "view")]
+    folder = f"{tmp_path}/in"
+    events = spark.createDataFrame([(dt.datetime(d.year, d.month, d.day, 12), a, k) for d, a, k in rows], "ts timestamp, app long, kind string")
+    events.coalesce(1).write.parquet(folder)
+    stream = timers.stream_follow_up_timers(spark.readStream.schema(events.schema).parquet(folder))
+    table = jobs.run_to_table(stream, "append", checkpoint=f"{tmp_path}/offsets", settings=timers.SETTINGS)
+    got = sorted(tuple(r)[:3] for r in table.collect())
+    assert got == sorted(map(tuple, timers.follow_up_transitions(events, day(27)).collect())) and len(got) > 4000
+    kept = spark.read.format("statestore").option("path", f"{tmp_path}/offsets").option("stateVarName", "applications").load()
+    assert kept.count() <= 256
