@@ -258,11 +258,17 @@ def resolve_tier(location, tiers=None, cities=None, outside=None) -> Column:
     # Which kinds of word a term stands for, one bit per kind.
     bits = {t: sum(1 << i for i, k in enumerate(kinds) if with_prefixes(t, k)) for t in terms}
 
+    # A map is searched entry by entry, so terms are looked up among those of their first letter.
+    facts: dict[str, list[str]] = {}
+    for t in terms:
+        code = f"{best_place[t]}" if t in best_place else "CAST(NULL AS INT)"
+        facts.setdefault(t[0], []).append(f"{sql_literal(t)}, struct({code} AS code, {bits[t]} AS seen)")
+    by_letter = F.expr("map(" + ", ".join(f"{sql_literal(c)}, map({', '.join(f)})" for c, f in facts.items()) + ")")
+
     def judge(hits: Column) -> Column:
-        code = F.array_min(F.transform(hits, lambda g: F.try_element_at(literal_map(best_place), g)))
-        seen = F.aggregate(
-            hits, F.lit(0), lambda acc, g: acc.bitwiseOR(F.try_element_at(literal_map(bits), g))
-        )
+        known = F.transform(hits, lambda g: F.try_element_at(F.try_element_at(by_letter, F.left(g, F.lit(1))), g))
+        code = F.array_min(F.transform(known, lambda k: k["code"]))
+        seen = F.aggregate(known, F.lit(0), lambda acc, k: acc.bitwiseOR(k["seen"]))
         return F.struct(code.alias("code"), seen.alias("seen"))
 
     def decide(found: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from oppflow.functions import fixed
-from oppflow.functions.regex import BOUND, literal, word
+from oppflow.functions.regex import BOUND, WORD, literal, word
 
 
 def as_col(value) -> Column:
@@ -222,19 +222,15 @@ def company_base(name) -> Column:
 def normalize_role(title) -> Column:
     """Spell out what hand-written rows abbreviate, then fold to plain words."""
     c = F.lower(F.coalesce(as_col(title), F.lit("")))
-    rules = [
-        (r"\((?:all genders|[mwfdx](?:\s*/\s*[mwfdx])+)\)", " "),
-        (word(r"[mwfdx]\s*/\s*[mwfdx](?:\s*/\s*[mwfdx])?"), " "),
-        (word("tpm"), " technical product manager "),
-        (word("pm"), " product manager "),
-        (word("po"), " product owner "),
-        (word("(?:sr|snr)") + r"\.?", " senior "),
-        (word("jr") + r"\.?", " junior "),
-        ("[^a-z0-9]+", " "),
-    ]
-    for pattern, replacement in rules:
-        c = F.regexp_replace(c, pattern, replacement)
-    return F.trim(c)
+    # Patterns begin with a character of their own, so that most places are passed over at once.
+    letter, slash = "[mwfdx]", r"\s*/\s*"
+    c = F.regexp_replace(c, rf"\((?:all genders|{letter}(?:{slash}{letter})+)\)", " ")
+    c = F.regexp_replace(c, rf"{letter}(?=\s*/)(?<!{WORD}{letter}){slash}{letter}(?:{slash}{letter})?(?!{WORD})", " ")
+    # Two blanks between words, so that each has blanks of its own and is replaced as plain text.
+    c = F.concat(F.lit(" "), F.regexp_replace(c, "[^a-z0-9_]+", "  "), F.lit(" "))
+    for short, words in fixed.ROLE_ABBREVIATIONS.items():
+        c = F.replace(c, F.lit(f" {short} "), F.lit(f" {words} "))
+    return F.trim(F.regexp_replace(c, "[ _]+", " "))
 
 
 def group_title(title) -> Column:

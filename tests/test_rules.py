@@ -234,3 +234,13 @@ def test_lint_by_kind(spark):
     labels = {i: sorted(r.label for r in found if r.doc_id == i) for i in range(1, 5)}
     every = ["DASH_IN_MD", "MISSING_PRODUCT_SUBTITLE", "TITLE_WITH_PRODUCT"]
     assert labels == {1: every, 2: every[:2], 3: every[2:], 4: every}
+
+
+def test_roles_are_folded_in_four_patterns(spark):
+    from oppflow.functions.text import normalize_role
+
+    rows = [("Sr. PM (m/w/d)/TPM pm_x PO-jr.",), ("PM pm PM",), ("m (m/w) / w",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(normalize_role("t")).collect()]
+    assert got == ["senior product manager technical product manager pm x product owner junior",
+                   "product manager product manager product manager", "", ""]
+    assert str(normalize_role("t")).count("regexp_replace") <= 4
