@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +14,22 @@ from oppflow.functions.text import blank_to_null, drop_first
 # The date ranges whose dash is no dash of the text.
 MONTHS = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 DAY = rf"(?:{MONTHS}\s+)?\d{{4}}"
-DATE_RANGE = rf"({DAY})\s*[–—]\s*({DAY}|Present|present)"
+# A month before the first year stays as it is, so the pattern begins at the year and passes over most places at once.
+DATE_RANGE = rf"(\d{{4}})\s*[–—]\s*({DAY}|Present|present)"
 SAMPLE = 80
 
+LEADING_DIGITS = re.compile(r"(\(\?i\))?\\b\\d\{([1-9]\d*),(\d*)\}")
+
 
 def ascii_bounds(pattern: str) -> str:
-    """A rule's word boundaries, made ASCII; one that opens the rule looks back only."""
+    """A rule's word boundaries, made ASCII; one that opens the rule looks back only.
+
+    A rule that opens with digits looks back from its first digit, so that other places cost no look.
+    """
+    if digits := LEADING_DIGITS.match(pattern):
+        flag, least, most = digits.groups()
+        more = f"{int(least) - 1},{int(most) - 1 if most else ''}"
+        pattern = f"{flag or ''}\\d(?<!{WORD}\\d)\\d{{{more}}}" + pattern[digits.end():]
     for opening in (r"(?i)\b", r"\b"):
         if pattern.startswith(opening):
             pattern = pattern.replace(opening, opening[:-2] + f"(?<!{WORD})(?={WORD})", 1)
@@ -28,7 +40,11 @@ def ascii_bounds(pattern: str) -> str:
 def dash_text(text: Column) -> Column:
     """The text with date ranges and inline code taken out of the dash rule."""
     ranges = F.regexp_replace(text, DATE_RANGE, "$1-$2")
-    return F.regexp_replace(ranges, r"`[^`\n]*`", "``")
+    return F.when(F.contains(text, F.lit("`")), F.regexp_replace(ranges, r"`[^`\n]*`", "``")).otherwise(ranges)
+
+
+def has_dash(text: Column) -> Column:
+    return F.contains(text, F.lit("—")) | F.contains(text, F.lit("–"))
 
 
 def missing_subtitles(text: Column) -> Column:
@@ -56,38 +72,64 @@ def missing_subtitles(text: Column) -> Column:
 TITLE_RULE = "TITLE_WITH_PRODUCT"
 
 
+def looks_ahead(pattern: str) -> str:
+    """A rule ``(?i)(?:word|…)``, with ``\\b`` before the words or not, that compares them only where four letters
+    are among the first, second, third and fourth ones of the words."""
+    opening, words = re.match(r"\(\?i\)(\\b)?\(\?:([^()]*)\)", pattern).groups()
+    letters = zip(*[w[:4].lower() for w in words.split("|")], strict=True)
+    ahead = "".join(f"[{''.join(sorted(set(x)))}]" for x in letters)
+    rest = pattern.removeprefix("(?i)" + (opening or ""))
+    return f"(?i)(?={ahead})" + (f"(?<!{WORD})" if opening else "") + rest
+
+
+_RULES = dict(fixed.LINT_RULES)
+#: By pattern: a text that all its findings hold, or None, and a pattern with the same first finding that is faster to search for.
+FORMS = {
+    _RULES["CLICHE_VERBS"]: (None, looks_ahead(_RULES["CLICHE_VERBS"])),
+    _RULES["OVERSELL_CLOSER"]: (None, looks_ahead(_RULES["OVERSELL_CLOSER"])),
+    _RULES["EMDASH_CONTINUATION"]: ("--", _RULES["EMDASH_CONTINUATION"]),
+}
+
+
 def lint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                   rules: list | None = None, name: str | None = None) -> DataFrame:
+                   rules: list | None = None, name: str | None = None, forms: dict | None = None) -> DataFrame:
     """``(key, label, sample)`` for every rule a text breaks, with the first finding.
 
     ``name`` is a column with the document's file name, which tells its kind: the dash and
     subtitle rules are about Markdown and pass over HTML, the title rule passes over cover
-    letters.  Without a name every rule applies.
+    letters.  Without a name every rule applies.  ``forms`` adds to ``FORMS`` for rules of the caller's.
     """
     c = F.col(text)
     named = F.lower(F.coalesce(F.col(name), F.lit(""))) if name else F.lit("")
     markdown = ~named.endswith(".html")
     letter = F.contains(named, F.lit("cover letter"))
-
-    def finding(label, sample, applies=None):
-        broken = sample.isNotNull() if applies is None else applies & sample.isNotNull()
-        return F.when(broken, F.struct(F.lit(label).alias("label"), sample.alias("sample")))
-
-    found = [
-        finding(label, F.left(blank_to_null(F.regexp_extract(c, ascii_bounds(pattern), 0)), F.lit(SAMPLE)),
-                ~letter if label == TITLE_RULE else None)
-        for label, pattern in (rules or fixed.LINT_RULES)
-    ]
-    stripped = dash_text(c)
-    dash = F.when(stripped.rlike("[—–]"), F.left(stripped, F.lit(SAMPLE)))
-    found.append(finding("DASH_IN_MD", dash, markdown))
+    forms = FORMS | (forms or {})
+
+    def first(label, pattern):
+        held, form = forms.get(pattern, (None, pattern))
+        finding = F.left(F.regexp_extract(c, ascii_bounds(form), 0), F.lit(SAMPLE))
+        if label == TITLE_RULE:
+            finding = F.when(~letter, finding)
+        return finding if held is None else F.when(F.contains(c, F.lit(held)), finding)
+
+    # Samples are columns of a step of their own, where each is worked out once.
+    plain = F.col("_plain")
+    samples = [(label, first(label, pattern)) for label, pattern in (rules or fixed.LINT_RULES)]
+    samples.append(("DASH_IN_MD", F.when(has_dash(plain), F.left(plain, F.lit(SAMPLE)))))
     subtitles = F.transform(
-        F.when(markdown, missing_subtitles(c)).otherwise(F.array().cast("array<string>")),
+        F.when(markdown & F.contains(c, F.lit("### ")), missing_subtitles(c)).otherwise(
+            F.array().cast("array<string>")),
         lambda s: F.struct(F.lit("MISSING_PRODUCT_SUBTITLE").alias("label"), s.alias("sample")),
     )
-    return docs.select(
-        key, F.explode(F.concat(F.array_compact(F.array(*found)), subtitles)).alias("f")
-    ).select(key, "f.label", "f.sample")
+    found = docs.withColumn("_plain", F.when(markdown & has_dash(c), dash_text(c))).select(
+        key,
+        F.array(*[F.struct(F.lit(label).alias("label"), s.alias("sample")) for label, s in samples]).alias("_found"),
+        subtitles.alias("_subtitles"),
+    )
+    broken = F.filter("_found", lambda f: f["sample"] != "")
+    return found.select(key, F.explode(F.concat(broken, "_subtitles")).alias("f")).select(
+        key, "f.label", "f.sample"
+    )
 
 
 def numbered_lines(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from oppflow.functions import classify as C
 from oppflow.functions import fixed
 from oppflow.functions import text as T
+from oppflow.functions.regex import WORD
 from oppflow.functions.stats import fixed_places
 from oppflow.operators import cadence, calibration, corpus, merge, quality, queues, scores, seen
 from oppflow.plans import duck as D
@@ -456,13 +457,18 @@ LINT = fixed.LINT_RULES + [
     ("ADDRESS", r"[a-z]+\d*@[a-z0-9.]+\.[a-z]+"),
     ("LONG_NUMBER", r"\b\d{4,}\b"),
 ]
+# An address begins where its run of letters does, so that a long run is searched once.
+LINT_FORMS = {
+    dict(LINT)["REPEATED_THE"]: (None, rf"(?i)the the(?<!{WORD}the the)(?!{WORD})"),
+    dict(LINT)["ADDRESS"]: ("@", r"(?<![a-z])[a-z]++\d*+@[a-z0-9.]+\.[a-z]+"),
+}
 
 
 @register("lint_documents", with_views(
     ["doc"], _lint_sql(), f"linted AS MATERIALIZED (SELECT doc_id, {_SECTION} AS body, {_NAME} AS name FROM doc)"))
 def lint_documents(v):
     docs = v.doc.select("doc_id", F.expr(_SECTION).alias("text"), F.expr(_NAME).alias("name"))
-    return corpus.lint_documents(docs, rules=LINT, name="name")
+    return corpus.lint_documents(docs, rules=LINT, name="name", forms=LINT_FORMS)
 
 
 # Each text gets a closing line with a figure of its own, as the corpus holds few.
