@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oppflow.functions.text import (
-    dedup_keys, first_filled, normalize_role, role_key, url_key,
+    first_filled, linkedin_job_id, normalize_role, role_key, url_key,
 )
 from oppflow.operators.ranks import first_per_key, top_per_key
+from oppflow.session import durable
 
 
 def seen_keys(*frames: DataFrame) -> DataFrame:
@@ -18,33 +19,30 @@ def seen_keys(*frames: DataFrame) -> DataFrame:
     """
     parts = []
     for df in frames:
-        role = F.when(
-            (first_filled("company") != "") & (first_filled("title") != ""),
-            F.struct(F.lit("role").alias("kind"), role_key("company", "title").alias("key")),
-        )
-        urls = F.transform(
-            F.when(first_filled("url") != "", dedup_keys("url")).otherwise(
-                F.array().cast("array<string>")),
-            lambda u: F.struct(F.lit("url").alias("kind"), u.alias("key")),
-        )
-        parts.append(df.select(F.explode(F.array_compact(F.concat(urls, F.array(role)))).alias("k")))
+        # Keys are plain columns, stacked, so that no row goes through arrays and their lambdas.
+        url = F.when(F.col("url") != "", F.col("url"))
+        job = F.when(F.col("url") != "", F.concat(F.lit("li:"), linkedin_job_id("url")))
+        role = F.when((F.col("company") != "") & (F.col("title") != ""), role_key("company", "title"))
+        kinds = F.stack(F.lit(3), F.lit("url"), url, F.lit("url"), job, F.lit("role"), role)
+        parts.append(df.select(kinds.alias("kind", "key")).filter("key IS NOT NULL"))
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
-    return union.select("k.kind", "k.key").distinct()
+    return union.distinct()
 
 
 def new_postings(postings: DataFrame, seen: DataFrame) -> DataFrame:
     """Postings none of whose keys is seen.
 
-    Two equality anti joins rather than one with OR, which no hash or sort-merge
-    join could run.
+    Equality anti joins rather than one with OR, which no hash or sort-merge
+    join could run.  The seen keys are written once, as each join would work them out anew.
     """
+    seen = durable(seen)
     urls = seen.filter("kind = 'url'").select(F.col("key").alias("_u"))
     roles = seen.filter("kind = 'role'").select(F.col("key").alias("_r"))
     keyed = postings.withColumns({
         "_url": F.col("url"),
-        "_job": F.element_at(dedup_keys("url"), -1),
+        "_job": url_key("url"),
         "_role": role_key("company", "title"),
     })
     return (

@@ -44,8 +44,7 @@ def stream_intake(
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = durable(batch.select(*columns))
         store.merge(batch_id)
-        seen = durable(store.among(seen_keys(rows), batch_id))
-        fresh = dedup_within_scan(new_postings(rows, seen))
+        fresh = dedup_within_scan(new_postings(rows, store.among(seen_keys(rows), batch_id)))
         accepted = f"{path}/accepted/batch_id={batch_id}"
         fresh.write.mode("overwrite").parquet(accepted)
         written = spark.read.schema(batch.select(*columns).schema).parquet(accepted)

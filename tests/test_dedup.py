@@ -209,6 +209,21 @@ def test_empty_inputs(spark):
     assert dedup.dedup_clusters(apps)[0].count() == 0
 
 
+def test_seen_keys_are_worked_out_once(spark):
+    """The joins of new postings read the keys; none of them makes the keys again.  A posting without URL is known by its role only."""
+    columns = "pos long, url string, company string, title string"
+    job = "https://de.linkedin.com/jobs/view/x-1234567?trk=1"
+    known = [(1, "u1", "Acme", "PM"), (2, job, None, "PM"), (3, "", "Beta", ""), (4, None, " Gamma ", "Owner"), (5, "u1", "Acme", "PM")]
+    keys = seen.seen_keys(spark.createDataFrame(known[:3], columns), spark.createDataFrame(known[3:], columns))
+    assert sorted(map(tuple, keys.collect())) == [
+        ("role", "acme::pm"), ("role", "gamma::owner"), ("url", job), ("url", "li:1234567"), ("url", "u1")]
+    rows = [(1, "u1", "X", "Y"), (2, "https://www.linkedin.com/jobs/view/1234567", "X", "Y"), (3, "u3", "ACME", "pm "), (4, "u4", "X", "Y"),
+            (5, "", "X", "Y"), (6, "u6", None, "PM"), (7, None, "X", "Y"), (8, None, "gamma", "owner")]
+    fresh = seen.new_postings(spark.createDataFrame(rows, columns), keys)
+    assert sorted(r.pos for r in fresh.collect()) == [4, 5, 6, 7]
+    assert "Generate" not in fresh._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_long_chain_needs_few_tables(spark, monkeypatch):
     """A thousand rows of which each excludes the next."""
     from oppflow.operators import dedup, linked
