@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oppflow.llm.tables import written
+from oppflow.llm.tables import SHUFFLED, written
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return (
-        both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        both.where("v > u").hint(SHUFFLED).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         .where("u <> v").distinct()
     )
 

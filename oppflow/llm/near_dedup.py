@@ -19,6 +19,9 @@ So every pair that meets in a band and is not yet known to be connected is compa
 components is left out.  A pair at the threshold of 0.8 meets in no band with probability 5e-8, and its
 estimate falls below the margin of ``MARGIN`` with probability 1e-8.
 
+Bands are ``REGISTERS / BAND`` rows a class and links and blocks lie in files far smaller than their rows, so their joins
+are never by broadcast; Spark's own guess once sent all bands of a quarter of a million classes through the driver.
+
 Defined cases: null and empty texts, or texts of white space, have an empty set and are linked with nothing;
 rows that repeat an id count as one document with the row's own set each; rows with a null id are kept and linked
 with nothing; an empty table gives an empty result; other columns are not read.
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from oppflow.llm.batches import sliced
 from oppflow.llm.components import components
-from oppflow.llm.tables import whole_text, without, written
+from oppflow.llm.tables import SHUFFLED, whole_text, without, written
 
 WORDS = 5
 THRESHOLD = 80  # per cent
@@ -177,7 +180,7 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
             ]
             yield batch.loc[near, ["u", "v"]]
 
-    both = pairs.join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v").join(
+    both = pairs.hint(SHUFFLED).join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v").join(
         sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u"
     )
     return both.select("u", "v", "a", "b").mapInPandas(links, f"u {kind}, v {kind}")
@@ -313,10 +316,10 @@ def _more_links(groups: DataFrame, classes: DataFrame, sets_of, threshold: int)
             if found:
                 yield pd.DataFrame(found, columns=["u", "v"])
 
-    sketched = groups.join(classes.select("id", "sketch"), "id").select(*columns)
+    sketched = groups.hint(SHUFFLED).join(classes.select("id", "sketch"), "id").select(*columns)
     active = written(_grouped(sketched).mapInPandas(paired, schema), "active")
     sets = sets_of(active.select("id").distinct())
-    return _grouped(active.join(sets, "id")).mapInPandas(links, f"u {kind}, v {kind}")
+    return _grouped(active.hint(SHUFFLED).join(sets, "id")).mapInPandas(links, f"u {kind}, v {kind}")
 
 
 def near_copies(
@@ -337,7 +340,7 @@ def near_copies(
     classes = written(classes, "classes")
     bands = _banded(classes)
     buckets = bands.groupBy("key").agg(F.min("id").alias("u"), F.max("id").alias("top")).where("u <> top")
-    met = bands.join(buckets.select("key", "u"), "key")
+    met = bands.hint(SHUFFLED).join(buckets.select("key", "u"), "key")
     pairs = met.where("id <> u").select("u", F.col("id").alias("v")).distinct()
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -347,14 +350,14 @@ def near_copies(
     ends = likely.select(F.col("u").alias("id")).unionByName(likely.select(F.col("v").alias("id"))).distinct()
     links = written(_links(likely, sets_of(ends), threshold), "star_links")
     stars = components(links)
-    parts = met.join(stars, "id", "left").join(classes.select("id", "n"), "id").select(
+    parts = met.join(stars.hint(SHUFFLED), "id", "left").join(classes.select("id", "n"), "id").select(
         "key", "band", "id", F.coalesce("component", "id").alias("component"), "n"
     )
     more = _more_links(_split_buckets(parts, block), classes, sets_of, threshold)
     more = written(more, "block_links")
     known = stars.select(F.col("id").alias("u"), F.col("component").alias("v"))
     every = stars if more.isEmpty() else components(known.unionByName(more))
-    named = classes.select("digest", "id").join(every, "id", "left").select(
+    named = classes.select("digest", "id").join(every.hint(SHUFFLED), "id", "left").select(
         "digest", F.coalesce("component", "id").alias("component")
     )
     alone = F.concat(F.lit("row"), F.col("_id").cast("string")).cast("binary")

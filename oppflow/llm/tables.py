@@ -52,6 +52,10 @@ def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Hint for a join with a table that Spark takes for smaller than it is: exploded, which it counts as one row an
+#: array, or known by compressed files of a few numbers a row.  Such a table is never broadcast.
+SHUFFLED = "merge"
+
 #: Keys that are sent to every task to pick rows; beyond it rows are moved to the keys.
 BROADCAST_KEYS = 1_000_000
 
@@ -65,7 +69,7 @@ def without(df: DataFrame, gone: DataFrame, id_col: str, text_col: str, broadcas
     few = gone.count() <= broadcast_keys
     text = F.coalesce(df[f"`{text_col}`"].cast("string"), F.lit(""))
     same = (df[f"`{id_col}`"] == gone["_id"]) & (F.xxhash64(text) == gone["_hash"])
-    return df.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    return df.join(F.broadcast(gone) if few else gone.hint(SHUFFLED), same, "left_anti")
 
 
 def whole_text(column: str):
