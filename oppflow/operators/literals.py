@@ -8,7 +8,8 @@ by equality of pieces of at most ``gram`` characters, and a line's text is never
 * A longer literal is filed under one piece of ``gram`` characters of its own, its anchor: the piece that the
   fewest lines hold.  A line that has the anchor meets the literal by its key and number, and is tested for all of it.
 * Pieces of lines that belong to no literal are dropped before anything is shuffled, by a bit map that is built from the
-  literals' pieces; false hits of the map are removed by the join.  It has a few bits a piece, ``MOST_BITS`` at most.
+  literals' pieces; false hits of the map are removed by the join.  It has a few bits a piece, ``MOST_BITS`` at most, and
+  is one written row that Spark reads as a scalar: as a constant it would stand in full in every plan that the driver keeps.
 * Pieces are counted with partial sums per task; a piece that most lines hold is one row per task.
 * A hot piece is a skewed key with one row on the other side and is split by adaptive execution.
 
@@ -32,7 +33,8 @@ PIECE_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 25
 
 def pieces(text: Column, lengths: list[int]) -> Column:
     """The distinct pieces of a text, of every given length."""
-    return F.array_distinct(F.flatten(F.transform(_stretches(text, lengths), lambda s: _starts(s, lengths))))
+    return F.array_distinct(F.flatten(F.transform(
+        _stretches(text, lengths), lambda s: F.array_compact(_starts(s, lengths)))))
 
 
 def _stretches(text: Column, lengths: list[int]) -> Column:
@@ -42,52 +44,50 @@ def _stretches(text: Column, lengths: list[int]) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
 
 
-def _starts(stretch: Column, lengths: list[int], keep=None) -> Column:
-    """The pieces that a stretch begins with, those that ``keep`` holds of."""
-    def start(n: int) -> Column:
-        piece = F.left(stretch, F.lit(n))
-        whole = F.length(stretch) >= n
-        return F.when(whole if keep is None else whole & keep(piece), piece)
+def _starts(stretch: Column, lengths: list[int]) -> Column:
+    """The pieces that a stretch begins with; null for those that it is too short for."""
+    return F.array(*[F.when(F.length(stretch) >= n, F.left(stretch, F.lit(n))) for n in lengths])
 
-    return F.array_compact(F.array(*map(start, lengths)))
 
-
-def _slots(piece: Column, bits: int) -> list[Column]:
-    """Two places in the map."""
+def _place(piece: Column, size: int) -> tuple[Column, Column]:
+    """Which of the map's words a piece stands in, and its two bits there; a shift goes by the last six bits of its count."""
     code = F.xxhash64(piece)
-    return [F.pmod(code, F.lit(bits)), F.pmod(F.shiftright(code, 32), F.lit(bits))]
+    first, second = (
+        F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(code, n).cast("int")) for n in (32, 48)
+    )
+    return code.bitwiseAND(F.lit(size - 1).cast("bigint")).cast("int"), first.bitwiseOR(second)
 
 
 def _bit_map(wanted: DataFrame) -> tuple[Column, int]:
-    """The 64-bit words of the map, in order, as one constant, and its bits: at most ``MOST_BITS / 64`` rows are collected."""
+    """The 64-bit words of the map, in order, as one scalar, and how many: ``MOST_BITS / 64`` at most, a power of two.
+
+    A piece's bits are cleared, so that a look at the map needs them once.
+    """
     bits, room = LEAST_BITS, wanted.count() * PIECE_BITS
     while bits < min(room, MOST_BITS):
         bits *= 2
-    slots = wanted.select(F.explode(F.array(*_slots(F.col("_piece"), bits))).alias("_slot"))
-    filled = slots.groupBy(F.shiftright("_slot", 6).alias("_word")).agg(
-        F.expr("bit_or(shiftleft(1L, CAST(_slot & 63 AS int)))").alias("_bits")
-    )
-    words = ["0"] * (bits // 64)
-    for r in filled.collect():
-        words[r["_word"]] = str(r["_bits"])
-    return F.split(F.lit(",".join(words)), ",").cast("array<bigint>"), bits
-
-
-def _in_map(piece: Column, words: Column, bits: int) -> Column:
-    def is_set(slot: Column) -> Column:
-        return F.getbit(F.get(words, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-    first, second = (is_set(slot) for slot in _slots(piece, bits))
-    return first & second
+    size = bits // 64
+    word, mask = _place(F.col("_piece"), size)
+    filled = wanted.select(word.alias("_word"), mask.alias("_mask"))
+    empty = wanted.sparkSession.range(size).select(F.col("id").cast("int").alias("_word"), F.lit(0).cast("bigint").alias("_mask"))
+    words = filled.unionByName(empty).groupBy("_word").agg(F.bit_or("_mask").alias("_mask"))
+    in_order = F.sort_array(F.collect_list(F.struct("_word", F.bitwise_not("_mask").alias("_free"))))
+    return durable(words.agg(in_order["_free"].alias("_words"))).scalar(), size
 
 
 def _found(lines: DataFrame, wanted: DataFrame, lengths: list[int], key: str) -> DataFrame:
     """``(key, line_no, _piece)`` for the pieces of lines that may be wanted: all that are, and a few more."""
-    words, bits = _bit_map(wanted)
-    held = F.transform(
-        _stretches(F.col("line"), lengths), lambda s: _starts(s, lengths, lambda p: _in_map(p, words, bits))
-    )
-    return lines.select(key, "line_no", F.explode(F.array_distinct(F.flatten(held))).alias("_piece"))
+    words, size = _bit_map(wanted)
+
+    def in_map(piece: Column) -> Column:
+        word, mask = _place(piece, size)
+        return F.get("_words", word).bitwiseAND(mask) == 0
+
+    held = F.transform(_stretches(F.col("line"), lengths), lambda s: F.filter(_starts(s, lengths), in_map))
+    # Lambdas take no scalar. As a column that one place reads, the optimizer puts it in there, and no row carries it.
+    mapped = lines.select(key, "line_no", "line", words.alias("_words"))
+    pieces_held = mapped.select(key, "line_no", F.array_distinct(F.flatten(held)).alias("_pieces"))
+    return pieces_held.select(key, "line_no", F.explode("_pieces").alias("_piece"))
 
 
 def _of_long(lines: DataFrame, long: DataFrame, key: str, gram: int) -> DataFrame:
