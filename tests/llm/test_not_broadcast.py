@@ -2,6 +2,7 @@
 
 import re
 
+import corpus_pipeline
 from oppflow.llm import components, near_dedup, tables
 from tests.llm.test_dedup import brute_force, frame, near_rows
 
@@ -32,6 +33,14 @@ def test_bands_blocks_and_links_are_shuffled(spark, monkeypatch):
         assert "SortMergeJoin" in by_name[name], name
 
 
+def test_the_stage_of_the_pipeline_shuffles_its_bands(spark, monkeypatch):
+    plans, rows = [], near_rows(6, groups=5, chain=10)
+    recorded(monkeypatch, near_dedup, plans)
+    kept = corpus_pipeline.without_near_copies(spark, frame(spark, rows), "")
+    assert "SortMergeJoin [key" in dict(plans)["likely"]
+    assert {r.doc_id for r in kept.collect()} == {i for i, _, _, stays in brute_force(rows, 5, 80) if stays}
+
+
 def test_many_rows_that_go_are_shuffled(spark):
     rows = frame(spark, [(i, f"text {i % 3}") for i in range(30)])
     gone = rows.where("doc_id < 20").selectExpr("doc_id AS _id", "xxhash64(text) AS _hash")
